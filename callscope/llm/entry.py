@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import mixing, packing, search, sharding
+from callscope.llm import mixing, neardup, packing, search, sharding
 from callscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes_of(table(spark, sf_dir, "documents"), shingle_words=3, similarity=0.85)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op6_mixing, op8_kd_sharding, op10_mtree_search)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op6_mixing, op8_kd_sharding, op10_mtree_search)}
 
 
 def oracle_sql() -> dict[str, str]:
