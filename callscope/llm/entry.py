@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import linededup, mixing, neardup, packing, quality, search, sharding, toxicity
+from callscope.llm import linededup, mixing, neardup, packing, perplexity, quality, search, sharding, toxicity
 from callscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes_of(table(spark, sf_dir, "documents"), shingle_words=3, similarity=0.85)
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing, op8_kd_sharding, op9_toxicity, op10_mtree_search)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_kneser_ney_quality, op3_line_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing, op8_kd_sharding, op9_toxicity, op10_mtree_search)}
 
 
 def oracle_sql() -> dict[str, str]:
