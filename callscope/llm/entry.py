@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import linededup, mixing, neardup, packing, perplexity, quality, search, sharding, toxicity
+from callscope.llm import licences, linededup, mixing, neardup, packing, perplexity, quality, search, sharding, toxicity
 from callscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", F.round(mixing.P + "probability", 6).alias("probability"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -55,7 +59,7 @@ def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_kneser_ney_quality, op3_line_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing, op8_kd_sharding, op9_toxicity, op10_mtree_search)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_kneser_ney_quality, op3_line_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing, op7_licence_scan, op8_kd_sharding, op9_toxicity, op10_mtree_search)}
 
 
 def oracle_sql() -> dict[str, str]:
