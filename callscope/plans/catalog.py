@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callscope.plans.bridge import code_graph
+from callscope.plans.change_queries import CHANGE_CTES, CHANGES, changes
 from callscope.plans.graph_queries import GRAPH, ask
 from callscope.plans.rule_queries import RULES, classify
 from callscope.plans.texts import for_checking
@@ -19,8 +20,9 @@ def _over_graph(answer: Callable, name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES}
+    over_changes = {n: (lambda spark, sf_dir, n=n: changes(spark, sf_dir, n)) for n in CHANGES}
+    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES} | over_changes
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()}
+    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()} | {n: for_checking(t, CHANGE_CTES) for n, t in CHANGES.items()}
