@@ -11,8 +11,10 @@ distance shares a key.
 No group is expanded into pairs. Each key's members meet one member of the key, drawn by hash, so members of
 one large group meet many different partners over their keys. Pairs within the signature distance are
 confirmed on full shingle sets, and confirmed links merge into components. Keys that then still hold more than
-one component give the pairs across components, which are confirmed in the same way: what is skipped is
-only pairs that are already connected. Components are found by repeated large-star and small-star steps.
+one component are gone through in full: small ones as pairs across components, confirmed in the same way;
+members of large ones, and what these connect, as blocks of about ``BLOCK`` that meet each other in a task of two
+blocks, which counts common shingles over an index and returns no more links than merge its members. What is
+skipped is only pairs that are already connected. Components are found by repeated large-star and small-star steps.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing; texts with
 fewer words than a shingle have one shingle, the whole; repeated rows and repeated ids are one document;
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import encoded, materialize, mix64, parallelism, sliced
 
+SMALL_KEY, BLOCK = 24, 256
 _words: dict[bytes, int] = {}
 
 
@@ -205,6 +208,53 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def block_links(hot: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links across components among the members of large keys (``id, component, pivot``), block by block."""
+    percent = round(similarity * 100)
+    group = components(hot.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    of = materialize(hot.select("id", "component").distinct().join(group.withColumnRenamed("component", "grp"), "id"), "dup-groups")
+    sizes = of.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = of.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "component", "grp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        ids, comp, block = (t.column(c).to_pylist() for c in ("id", "component", "block"))
+        two = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        hi = t.column("hi")[0].as_py()
+        sets = [shingles(unpack(x), k) for x in t.column("packed").to_pylist()]
+        right = [i for i in range(len(ids)) if not two or block[i] == hi]
+        sizes = np.array([len(sets[i]) for i in right], np.int64)
+        owner = np.repeat(np.arange(len(right)), sizes)
+        every = np.concatenate([sets[i] for i in right] or [np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = parent.get(y, y)
+                x = y
+            return x
+
+        out: list[tuple[int, int]] = []
+        for i in range(len(ids)):
+            if two and block[i] == hi:
+                continue
+            a, b = np.searchsorted(every, sets[i]), np.searchsorted(every, sets[i], side="right")
+            n = b - a
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            common = np.bincount(owner[at], minlength=len(right))
+            for j in np.flatnonzero(100 * common >= percent * (sizes + len(sets[i]) - common)).tolist():
+                x, y = root(comp[i]), root(comp[right[j]])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((ids[i], ids[right[j]]))
+        return pa.table([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
+
+    return met.join(texts, "id").groupBy("grp", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def packed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``id, packed``: each text compressed, so that it moves and is kept small."""
 
@@ -250,12 +300,14 @@ def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hash
     links = materialize(confirmed(tried, texts, shingle_words, similarity), "dup-links")
     of = materialize(components(links), "dup-components")
 
-    member = live.select("key", "id").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    member = live.join(of, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component"))
+    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     rest = materialize(member.join(open_, "key"), "dup-open")
-    x, y = rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    few = rest.where(F.col("n") <= SMALL_KEY)
+    x, y = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     across = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(confirmed(close(across, reps, scheme).join(tried, ["a", "b"], "left_anti"), texts, shingle_words, similarity), "dup-links")
+    more = confirmed(close(across, reps, scheme).join(tried, ["a", "b"], "left_anti"), texts, shingle_words, similarity)
+    more = materialize(more.unionByName(block_links(rest.where(F.col("n") > SMALL_KEY), texts, shingle_words, similarity)), "dup-links")
     if not more.isEmpty():
         of = materialize(components(links.unionByName(more)), "dup-components")
 

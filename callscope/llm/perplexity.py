@@ -144,13 +144,18 @@ class Model:
     """What is kept for each word class, and the filter of seen bigrams: all of fixed size."""
 
     def __init__(self, discounts: np.ndarray, total: np.ndarray, mass: np.ndarray, continuation: np.ndarray, seen: np.ndarray) -> None:
-        self.discounts, self.total, self.seen = discounts, total, seen
-        n1 = max(1.0, float(continuation.sum()))
-        # unseen classes share one more continuation, so nothing has probability 0
-        self.p1 = ((continuation + 1.0 / len(continuation)) / (n1 + 1.0)).astype(np.float64)
-        self.backoff = np.where(total > 0, mass / np.maximum(total, 1), 1.0)
-        self.log_low = np.log(np.maximum(self.backoff, 1e-9)).astype(np.float32)
-        self.log_p1 = np.log(self.p1).astype(np.float32)
+        self.discounts, self.total, self.mass, self.continuation, self.seen = discounts, total, mass, continuation, seen
+
+    def ready(self) -> Model:
+        """With what follows from the sums; tasks derive it, so that it isn't sent."""
+        if not hasattr(self, "p1"):
+            n1 = max(1.0, float(self.continuation.sum(dtype=np.float64)))
+            # unseen classes share one more continuation, so nothing has probability 0
+            self.p1 = ((self.continuation + 1.0 / len(self.continuation)) / (n1 + 1.0)).astype(np.float32)
+            self.backoff = np.where(self.total > 0, self.mass / np.maximum(self.total, 1), 1.0).astype(np.float32)
+            self.log_low = np.log(np.maximum(self.backoff, 1e-9))
+            self.log_p1 = np.log(self.p1)
+        return self
 
     def base(self, pair: np.ndarray) -> np.ndarray:
         return self.log_low[pair >> VOCABULARY] + self.log_p1[pair & ((1 << VOCABULARY) - 1)]
@@ -158,7 +163,7 @@ class Model:
     def gain(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
         """What a seen bigram's log-probability has over its base."""
         v, w = pair >> VOCABULARY, pair & ((1 << VOCABULARY) - 1)
-        low = np.maximum(self.backoff[v], 1e-9) * self.p1[w]
+        low = np.maximum(self.backoff[v], 1e-9).astype(np.float64) * self.p1[w]
         d = self.discounts[np.minimum(count, 3)]
         return np.log1p(np.maximum(count - d, 0) / np.maximum(self.total[v], 1) / low)
 
@@ -190,29 +195,38 @@ def model_of(counts: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(on), np.int32)), pa.array(on), *(pa.array(k[on].astype(np.int64)) for k in cols)], names=names)
                 n = [int((c == k).sum()) for k in (1, 2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0]), *(pa.array([k]) for k in (*n, 0))], names=names)
-                bit = x >> np.uint64(2 * VOCABULARY - FILTER)
-                at, first = np.unique(bit >> np.uint64(6), return_index=True)
-                word = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(first) else np.zeros(0, np.uint64)
-                zero = pa.array(np.zeros(len(at), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2, np.int32)), pa.array(at.astype(np.int64)), pa.array(word.view(np.int64)), zero, zero, zero, zero], names=names)
 
     names = ["kind", "at", "c", "n1", "n2", "n3", "cont"]
     parts = counts.mapInArrow(words, "kind int, at long, c long, n1 long, n2 long, n3 long, cont long").groupBy("kind", "at")
-    summed = parts.agg(F.sum(F.when(F.col("kind") < 2, F.col("c"))).alias("c"), F.bit_or(F.when(F.col("kind") == 2, F.col("c"))).alias("bits"), *[F.sum(n).alias(n) for n in ("n1", "n2", "n3", "cont")])
-    t = summed.toArrow()  # at most 2^VOCABULARY + 2^(FILTER - 6) + 1 rows
-    kind, at = t.column("kind").to_numpy(), t.column("at").to_numpy()
-    size = 1 << VOCABULARY
-
-    def dense(name: str) -> np.ndarray:
-        out = np.zeros(size)
-        out[at[kind == 0]] = t.column(name).to_numpy()[kind == 0]
-        return out
+    summed = materialize(parts.agg(*[F.sum(n).alias(n) for n in names[2:]]), "lm-sums")  # at most 2^VOCABULARY + 1 rows
 
-    tops = [int(t.column(n).to_numpy()[kind == 1].sum()) for n in ("c", "n1", "n2", "n3")]
-    d = discounts_of(tops)
+    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a shard is a range of keys, so its part of the filter is a range of words
+        for b in batches:
+            for r in b.to_pylist():
+                if r["block"]:
+                    d, _ = unpacked(r["payload"], r["block"], "<u8", "<u4")
+                    bit = np.cumsum(d, dtype=np.uint64) >> np.uint64(2 * VOCABULARY - FILTER)
+                    at, first = np.unique(bit >> np.uint64(6), return_index=True)
+                    low, high = int(at[0]), int(at[-1])
+                    part = np.zeros(high - low + 1, np.uint64)
+                    part[(at - np.uint64(low)).astype(np.int64)] = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first)
+                    yield rows_out([(r["shard"], low, len(part), zstandard.ZstdCompressor(level=1).compress(part.tobytes()))])
+
+    tops = summed.where("kind = 1").select("c", "n1", "n2", "n3").first() or (0, 0, 0, 0)
+    d = discounts_of([int(x) for x in tops])
+    size = 1 << VOCABULARY
+    mass = d[1] * F.col("n1") + d[2] * F.col("n2") + d[3] * F.col("n3")
+    t = summed.where("kind = 0").select(F.col("at").cast("int").alias("at"), F.col("c").cast("double").alias("total"), mass.cast("float").alias("mass"), F.col("cont").cast("float").alias("cont")).toArrow()
+    dense = []
+    for name in ("total", "mass", "cont"):
+        x = t.column(name).to_numpy()
+        dense.append(np.zeros(size, x.dtype))
+        dense[-1][t.column("at").to_numpy()] = x
     seen = np.zeros(1 << (FILTER - 6), np.uint64)
-    seen[at[kind == 2]] = t.column("bits").filter(pa.array(kind == 2)).to_numpy().astype(np.int64).view(np.uint64)
-    return Model(d, dense("c"), d[1] * dense("n1") + d[2] * dense("n2") + d[3] * dense("n3"), dense("cont"), seen)
+    for r in counts.mapInArrow(filters, BLOCK).toLocalIterator():  # 2^(FILTER - 3) bytes in all
+        seen[r["block"] : r["block"] + r["kind"]] |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["payload"]), np.uint64)
+    return Model(d, *dense, seen)
 
 
 def scored(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> DataFrame:
@@ -223,7 +237,7 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m, part, block = held.value, TaskContext.get().partitionId(), 0
+        m, part, block = held.value.ready(), TaskContext.get().partitionId(), 0
         for whole in batches:
             for b in sliced(whole, "text", 16_000_000):
                 n, base, pairs = [], [], []
@@ -248,10 +262,8 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
                 yield rows_out([*rows, (name % shards, name, 2, sink.getvalue().to_pybytes())])
                 block += 1
 
-    names = ["block", "doc", "doc_id", "lang", "n", "log_p"]
-
     def answer(_key: tuple, asked: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, keys, seen = held.value, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        m, keys, seen = held.value.ready(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch_ in asked:  # the shard's counts come first
             for r in batch_.to_pylist():
                 if r["kind"] == 0:
@@ -264,18 +276,27 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, shards: int) -> Dat
                     x = np.cumsum(d, dtype=np.uint64)
                     at = np.searchsorted(keys, x)
                     hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == x) if len(keys) else np.zeros(n, bool)
-                    gain = np.bincount(doc[hit], seen[at[hit]])
-                    who = np.flatnonzero(gain)
-                    none = pa.nulls(len(who))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), r["block"])), pa.array(who), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.int64()), pa.array(gain[who])], names=names)
+                    gain = np.bincount(doc[hit], seen[at[hit]]).astype("<f4")
+                    yield rows_out([(r["shard"], r["block"], 1, zstandard.ZstdCompressor(level=1).compress(gain.tobytes()))])
                 else:
-                    f = pa.ipc.open_stream(r["payload"]).read_all().combine_chunks()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(f.num_rows, r["block"])), pa.array(np.arange(f.num_rows)), *(f.column(c).combine_chunks() if f.num_rows else pa.array([], f.schema.field(c).type) for c in range(4))], names=names)
+                    yield rows_out([(r["shard"], r["block"], 2, r["payload"])])
+
+    def total(t: pa.Table) -> pa.Table:
+        facts, gains = None, []
+        for kind, payload in zip(t.column("kind").to_pylist(), t.column("payload").to_pylist(), strict=True):
+            if kind == 2:
+                facts = pa.ipc.open_stream(payload).read_all()
+            else:
+                gains.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), "<f4"))
+        log_p = facts.column("log_p").to_numpy().copy()
+        for g in gains:
+            log_p[: len(g)] += g
+        return pa.table([facts.column("doc_id"), facts.column("lang"), facts.column("n"), pa.array(log_p)], names=["doc_id", "lang", "n_bigrams", "log_p"])
 
     asked = docs.select("doc_id", "lang", "text").mapInArrow(ask, BLOCK)
     both = asked.unionByName(counts).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block")
-    parts = both.groupBy("shard").applyInArrow(answer, "block long, doc long, doc_id long, lang string, n long, log_p double")
-    return parts.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_bigrams"), F.sum("log_p").alias("log_p"))
+    parts = both.groupBy("shard").applyInArrow(answer, BLOCK)
+    return parts.groupBy("block").applyInArrow(total, "doc_id long, lang string, n_bigrams long, log_p double")  # a block is one batch of texts
 
 
 def calibrates(key: Column) -> Column:
