@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = 20_000, text: str = "text", key: str = "doc_id") -> list[tuple[str, int]]:
     """Texts and labels of at most ``per_class`` documents of each class, drawn by a hash of the id.
 

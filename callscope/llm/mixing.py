@@ -52,9 +52,8 @@ def raked(cells: DataFrame, alphas: dict[str, float], rounds: int) -> DataFrame:
     """``cells`` (dimensions, tokens) with the weight fitted to every marginal's target share."""
     out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))))
     for d in DIMENSIONS:
-        sums = cells.groupBy(d).agg((F.pow(F.sum("tokens").cast("double"), alphas[d])).alias("mass"))
-        whole = sums.agg(F.sum("mass").alias("whole"))
-        target = sums.crossJoin(F.broadcast(whole)).select(F.col(d).alias("group_"), (F.col("mass") / F.col("whole")).alias(f"target_{d}"))  # one row, of a group's totals
+        sums = cells.groupBy(F.col(d).alias("group_")).agg(F.pow(F.sum("tokens").cast("double"), alphas[d]).alias("mass"))
+        target = sums.select("group_", (F.col("mass") / F.sum("mass").over(Window.partitionBy(F.lit(1)))).alias(f"target_{d}"))  # a row for each group
         out = out.join(target, out[d].eqNullSafe(target["group_"])).drop("group_")
     for _ in range(rounds):
         for d in DIMENSIONS:

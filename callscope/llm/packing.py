@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, *, width: int = 1024, json_path: str | None = None,
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)
 
 
-def pack(docs: DataFrame, *, width: int = 1024, most_open: int = 65_536, pieces_per_packer: int = 100_000, json_path: str | None = None, end_id: int = 2, n_docs: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, width: int = 1024, most_open: int = 65_536, pieces_per_packer: int = 20_000, json_path: str | None = None, end_id: int = 2, n_docs: int | None = None) -> DataFrame:
     """Pieces of all documents with the sequence and the offset they are packed at."""
     n_docs = docs.count() if n_docs is None else n_docs
     packers = max(1, -(-n_docs // (pieces_per_packer // 2)))  # about two pieces a document

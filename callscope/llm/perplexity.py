@@ -319,9 +319,9 @@ def judged(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, least
     held = scores.join(F.broadcast(late) if small else late, "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = held.groupBy(F.col("lang").alias("l")).agg(at.alias("by_lang"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    overall = held.agg(at.alias("overall"))
-    out = scores.join(by_lang, scores["lang"].eqNullSafe(by_lang["l"]), "left").crossJoin(F.broadcast(overall))  # one row
-    limit = F.coalesce("by_lang", "overall")
+    overall = held.agg(at.alias("overall")).first()[0]
+    out = scores.join(by_lang, scores["lang"].eqNullSafe(by_lang["l"]), "left")
+    limit = F.coalesce("by_lang", F.lit(overall).cast("double"))
     return out.select("doc_id", "lang", "n_bigrams", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("kept"))
 
 
