@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.llm import licences, linededup, mixing, neardup, packing, perplexity, quality, search, sharding, toxicity
 from callscope.llm.common import table
+from callscope.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
