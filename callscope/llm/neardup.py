@@ -14,7 +14,7 @@ confirmed on full shingle sets, and confirmed links merge into components. Keys
 one component are gone through in full: small ones as pairs across components, confirmed in the same way;
 members of large ones, and what these connect, as blocks of about ``BLOCK`` that meet each other in a task of two
 blocks, which counts common shingles over an index and returns no more links than merge its members. What is
-skipped is only pairs that are already connected. Components are found by repeated large-star and small-star steps.
+skipped is only pairs that are already connected. Components are found by contraction in random order.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing; texts with
 fewer words than a shingle have one shingle, the whole; repeated rows and repeated ids are one document;
@@ -267,24 +267,33 @@ def packed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``id, component`` (smallest id reachable) of the ids in ``links`` (a, b), by large-star and small-star steps."""
-    edges = materialize(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "cc-edges")
-    for _ in range(most_rounds):
-        # large star: greater neighbours of a node link to its least neighbour; small star: the lesser ones do
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u != v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select("m", "u", "v")
-        small = small.select(F.col("m").alias("u"), "v").unionByName(small.select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u != v").distinct()
-        new = materialize(small, "cc-edges")
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "id").unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
+    """``id, component`` (smallest id reachable) of the ids in ``links`` (a, b), by contraction.
+
+    In a round each node joins that of its neighbours and itself which a random order puts first, and links are led
+    over to these; a node stays only if it comes before all its neighbours, so each round leaves half the nodes at
+    most, and far fewer in dense groups. Then the rounds' labels are put together from the last to the first.
+    """
+    links = materialize(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "cc-links")
+    labels: list[DataFrame] = []
+    while not links.isEmpty():
+        if len(labels) == most_rounds:
+            raise RuntimeError("components did not settle")
+        order = lambda c: F.xxhash64(F.col(c), F.lit(len(labels)))  # noqa: E731, B023
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        first = both.groupBy("u").agg(F.min_by("v", order("v")).alias("v"))
+        label = materialize(first.select(F.col("u").alias("id"), F.when(order("v") < order("u"), F.col("v")).otherwise(F.col("u")).alias("label")), "cc-labels")
+        x, y = (label.select(F.col("id").alias(n), F.col("label").alias("l" + n)) for n in "uv")
+        led = links.join(x, "u").join(y, "v").where("lu != lv")
+        links = materialize(led.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct(), "cc-links")
+        labels.append(label)
+    if not labels:
+        return links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = labels.pop()
+    while labels:
+        later = out.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        out = labels.pop().join(later, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    out = materialize(out, "cc-roots")
+    return out.join(out.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component")
 
 
 def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hashes: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
