@@ -78,7 +78,11 @@ def test_perplexity_against_brute_force(spark, docs, labels):
     """The model by plain dictionaries gives the same perplexities."""
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     good = {r["doc_id"] for r in labels.where("quality = 1").where(~perplexity.calibrates(F.col("doc_id"))).collect()}
-    pair = lambda t: [tuple(p) for p in zip(c := perplexity.word_classes((t or "").encode().lower().split()).tolist(), c[1:])]
+
+    def pair(t):
+        c = perplexity.word_classes((t or "").encode().lower().split()).tolist()
+        return list(zip(c, c[1:]))
+
     n = Counter(p for i, t in rows if i in good for p in pair(t))
     d = perplexity.discounts_of([sum(c == k for c in n.values()) for k in (1, 2, 3, 4)])
     total, mass, cont = Counter(), Counter(), Counter()
