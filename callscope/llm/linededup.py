@@ -1,24 +1,28 @@
 """Line dedup by winnowing (operator 3).
 
-A text is a sequence of lines; a line ends at a line break or a sentence's stop, so passages that were
-set into other text are seen. From each line on, the fewest lines that hold ``SHINGLE`` words make a line shingle.
-Winnowing: of the shingles that start within a window of ``GUARANTEE - SHINGLE`` words, the one with the least hash is a
-fingerprint; a run of ``GUARANTEE`` words or more that stands in two places so gives both the same fingerprint.
+A text is a sequence of words, parted by ASCII white space; how they are parted doesn't count. Each ``SHINGLE`` words on end
+are a shingle. Winnowing: of the shingles that start within a window of ``GUARANTEE - SHINGLE + 1`` words, the one with the
+least hash is a fingerprint; a run of ``GUARANTEE`` words or more that stands in two places so gives both the same fingerprint,
+wherever sentences and lines begin or end.
 
-Spark finds each fingerprint's first place (least id, then line) with a partial aggregate, and joins it with the
-later places. A match is extended line by line both ways; fingerprints carry the hashes of the ``CONTEXT`` lines before and
-after, beyond which the next fingerprint goes on. The matched lines of the later place are deleted, so each run keeps
-its first place only; a deleted line's text still stands at an earlier place.
+Spark finds each fingerprint's first place (least id, then word) with a partial aggregate, and joins it with the
+later places. A match is extended word by word both ways by at most ``CONTEXT`` words, which is as far as a run can go on beyond its
+first or last fingerprint; only the first places of repeated fingerprints fetch the hashes of the words around them. The matched words
+of the later place are deleted, so each run keeps its first place only; a deleted word still stands at an earlier place.
+
+Limits: up to ``CONTEXT`` words at an end of a later run stay where the end's fingerprint has its first place in other
+surroundings. A line (which ends at a line break or a sentence's stop) is never cut by itself: where both places begin in one
+line of one document, the later stays.
 
 Defined results: null texts stay null, empty ones empty; a text that is wholly a repetition becomes empty, its row stays;
-rows with a repeated id are one document, changed alike; rows with a null id are never changed; a run repeated inside one
+rows with a repeated id are one document, changed alike where they are alike; rows with a null id are never changed; a run repeated inside one
 document is deleted too; an empty table gives no rows; all columns stay, ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.llm.common import materialize, mix64, sliced
+from callscope.llm.common import encoded, materialize, mix64, sliced
 
-GUARANTEE, SHINGLE, CONTEXT = 50, 30, 6
+GUARANTEE, SHINGLE = 50, 30
+CONTEXT = GUARANTEE - SHINGLE
 STOPS = re.compile(r"[.!?\n]+")
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def lines(text: str) -> list[str]:
@@ -46,130 +52,205 @@ def lines(text: str) -> list[str]:
     return out
 
 
-class Lines:
-    """The lines with words of a batch of texts: hash, words, document and place."""
-
-    def __init__(self, texts: list[str]) -> None:
-        h, n, doc, at = [], [], [], []
-        digest = xxhash.xxh3_64_intdigest
-        for d, t in enumerate(texts):
-            for i, p in enumerate(lines(t)):
-                if p := p.strip():
-                    h.append(digest(p.encode("utf-8", "replace")))
-                    n.append(p.count(" ") + 1)
-                    doc.append(d)
-                    at.append(i)
-        self.h, self.n, self.doc, self.at = np.array(h, np.uint64), np.array(n, np.int64), np.array(doc, np.int64), np.array(at, np.int32)
-
-    def fingerprints(self, guarantee: int = GUARANTEE, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first and last line (numbers in the batch) of each winnowed shingle."""
-        c = np.concatenate([[0], np.cumsum(self.n)])
-        stop = np.searchsorted(self.doc, self.doc, side="right")  # where each line's document ends
-        end = np.searchsorted(c, c[:-1] + shingle)  # the shingle from line i is lines i .. end[i] - 1
-        start = np.flatnonzero((end <= stop) & (end < len(c)))
-        if not len(start):
-            return np.zeros(0, np.uint64), start, start
-        g = np.zeros(len(start), np.uint64)
-        size = end[start] - start
-        with np.errstate(over="ignore"):
-            for j in range(int(size.max())):
-                on = np.flatnonzero(size > j)
-                g[on] = mix64(g[on] * np.uint64(0x9E3779B97F4A7C15) + self.h[start[on] + j] + np.uint64(1))
-        # a repeated run of the guaranteed length holds the shingles that start in a window: the least stands for it
-        limit = np.minimum(np.searchsorted(c[:-1], c[start] + guarantee - shingle, side="right"), stop[start])
-        width = np.maximum(np.searchsorted(start, limit) - np.arange(len(start)), 1)
-        best = np.arange(len(start))
-        for j in range(1, int(width.max())):
-            on = np.flatnonzero(width > j)
-            on = on[g[on + j] < g[best[on]]]
-            best[on] = on + j
-        picked = np.unique(best)
-        return g[picked], start[picked], end[start[picked]] - 1
-
-    def around(self, lines_: np.ndarray, step: int) -> pa.Array:
-        """32-bit hashes of the ``CONTEXT`` lines beyond each line of a document, 0 where it has no more."""
-        to = lines_[:, None] + step * np.arange(1, CONTEXT + 1)[None]
-        inside = (to >= 0) & (to < len(self.h))
-        to = np.where(inside, to, 0)
-        same = inside & (self.doc[to] == self.doc[lines_][:, None])
-        short = np.where(same, (self.h[to] & np.uint64(0xFFFFFFFF)) | np.uint64(1), 0).astype("<u4")
-        return pa.Array.from_buffers(pa.binary(4 * CONTEXT), len(lines_), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
+def hashes(text: bytes) -> np.ndarray:
+    """A hash of each word."""
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends."""
+    x = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(x) + 2, np.int8)
+    inside[1:-1] = (x != 32) & ((x < 9) | (x > 13))
+    steps = np.diff(inside)
+    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+
+
+def ahead(x: np.ndarray, n: int, fill: int | np.uint64) -> np.ndarray:
+    """``x[i + n]`` at each i."""
+    return np.concatenate([x[n:], np.full(min(n, len(x)), fill, x.dtype)])
+
+
+def shingled(h: np.ndarray) -> np.ndarray:
+    """The hash of the ``SHINGLE`` words from each word on, by doubling; the last ones lack words."""
+    out, done, power, x = np.zeros(len(h), np.uint64), 0, 0x9E3779B97F4A7C15, h
+    with np.errstate(over="ignore"):
+        scale = 1
+        for bit in range(SHINGLE.bit_length()):
+            if SHINGLE >> bit & 1:
+                out += np.uint64(scale) * ahead(x, done, 0)
+                done += 1 << bit
+                scale = scale * power & (1 << 64) - 1
+            x = x + np.uint64(power) * ahead(x, 1 << bit, 0)
+            power = power * power & (1 << 64) - 1
+    return mix64(out)
+
+
+def slid(x: np.ndarray, n: int, f: Callable, fill: int | np.uint64) -> np.ndarray:
+    """``f`` over ``x[i] .. x[i + n - 1]`` at each i."""
+    size = 1
+    while 2 * size <= n:
+        x = f(x, ahead(x, size, fill))
+        size *= 2
+    return f(x, ahead(x, n - size, fill))
+
+
+def fingerprints(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and first word of each winnowed shingle of texts of hashed words."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    h = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(h)) - first
+    last = sizes[doc] - SHINGLE  # the last shingle of the text
+    valid = at <= last
+    g = np.where(valid, np.minimum(shingled(h), NONE - np.uint64(1)), NONE)
+    # texts are kept apart by the SHINGLE - 1 words without a shingle, which no window spans
+    window = CONTEXT + 1
+    least = np.where(valid & ((at + CONTEXT <= last) | (at == 0)), slid(g, window, np.minimum, NONE), 0)
+    best = slid(least[::-1], window, np.maximum, 0)[::-1]
+    picked = np.flatnonzero(valid & (best == g))
+    # neighbours with one hash (a word said again and again): one of a window stands for them
+    follows = np.zeros(len(picked), bool)
+    follows[1:] = (picked[1:] == picked[:-1] + 1) & (g[picked[1:]] == g[picked[:-1]]) & (doc[picked[1:]] == doc[picked[:-1]])
+    if follows.any():
+        order = np.arange(len(picked))
+        nth = order - np.maximum.accumulate(np.where(follows, 0, order))
+        picked = picked[nth % window == 0]
+    return g[picked], doc[picked], at[picked].astype(np.int32)
+
+
+def around(h: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """32-bit hashes of the ``CONTEXT`` words before (-1) or after (1) the shingles at ``at``, the nearest first; 0 where there are no more."""
+    to = (at if step < 0 else at + SHINGLE - 1)[:, None] + step * np.arange(1, CONTEXT + 1)[None]
+    inside = (to >= 0) & (to < len(h))
+    return np.where(inside, (h[np.where(inside, to, 0)] & np.uint64(0xFFFFFFFF)) | np.uint64(1), 0).astype("<u4")
+
+
+def standing(h: np.ndarray, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which fingerprints stand at ``at`` in a text; rows with a repeated id may differ."""
+    n = len(h) - SHINGLE + 1
+    return (at < n) & (np.minimum(shingled(h), NONE - np.uint64(1))[np.minimum(at, max(n - 1, 0))] == fp.view(np.uint64)) if n > 0 else np.zeros(len(at), bool)
 
 
 def found(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Each fingerprint's place, with the hashes of the lines around it."""
+    """Each fingerprint's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in sliced(whole, "t", 4_000_000):
-                x = Lines(b.column(1).to_pylist())
-                if len(x.h):
-                    g, first, last = x.fingerprints()
-                    doc = b.column(0).to_numpy(zero_copy_only=False)[x.doc[first]].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(x.at[first]), pa.array(x.at[last]), x.around(first, -1), x.around(last, 1)], names=["fp", "doc", "at", "to", "before", "after"])
+                g, row, at = fingerprints([hashes(t) for t in encoded(b.column(1))])
+                doc = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc), pa.array(at)], names=["fp", "doc", "at"])
 
     t = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    return t.mapInArrow(run, "fp long, doc long, at int, to int, before binary, after binary")
+    return t.mapInArrow(run, "fp long, doc long, at int")
 
 
-def common(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Leading equal line hashes of each pair."""
-    a, b = (np.frombuffer(b"".join(z), "<u4").reshape(-1, CONTEXT) for z in (x, y))
-    return np.cumprod((a == b) & (a > 0), axis=1).sum(1)
+def surrounded(docs: DataFrame, firsts: DataFrame, text: str, key: str) -> DataFrame:
+    """``fp, doc0, at0, before, after``: first places with the hashes of the words around them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in sliced(whole, "t", 4_000_000):
+                out: list[list] = [[], [], [], [], []]
+                for d, t, asked in zip(b.column(0).to_pylist(), encoded(b.column(1)), b.column(2), strict=True):
+                    h, fp, at = hashes(t), *(asked.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    on = standing(h, fp, at)
+                    fp, at = fp[on], at[on]
+                    parts = [fp, np.full(len(fp), d, np.int64), at.astype(np.int32), around(h, at, -1), around(h, at, 1)]
+                    for o, p in zip(out, parts, strict=True):
+                        o.append(p)
+                columns = [np.concatenate(x) for x in out]
+                wide = [pa.Array.from_buffers(pa.binary(4 * CONTEXT), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in columns[3:]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), *wide], names=["fp", "doc0", "at0", "before", "after"])
+
+    asked = firsts.groupBy("doc0").agg(F.collect_list(F.struct("fp", "at0")).alias("asked"))  # at most as many as the document has words
+    t = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
+    rows = t.join(asked, F.col("d") == F.col("doc0")).select("d", "t", "asked").mapInArrow(run, "fp long, doc0 long, at0 int, before binary, after binary")
+    return rows.groupBy("fp").agg(F.max(F.struct("doc0", "at0", "before", "after")).alias("f")).select("fp", "f.*")  # rows with a repeated id say the same
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc, ranges``: first and last lines of each document's repeated shingles, and how many lines with words more match on each side."""
+    """``doc, matches``: the later places of fingerprints in each document, with the words around the first place, or ``own``, its first word, if that is in the document too."""
     places = materialize(found(docs, text, key), "line-places")  # read twice
+    firsts = materialize(places.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("f")).where("n > 1").select("fp", F.col("f.doc").alias("doc0"), F.col("f.at").alias("at0")), "line-firsts")
     # written first, so that the join has a shuffle of its own, whose hot fingerprints AQE can split
-    firsts = materialize(places.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "before", "after")).alias("f")).where("n > 1").drop("n"), "line-firsts")
-    both = places.join(firsts, "fp").where("doc != f.doc or at != f.at").select("doc", "at", "to", "before", "after", F.col("f.before").alias("b0"), F.col("f.after").alias("a0"))
+    known = materialize(surrounded(docs, firsts, text, key), "line-surroundings")
+    same = F.col("doc") == F.col("doc0")
+    both = places.join(known, "fp").where("doc != doc0 or at != at0").select("doc", F.struct("at", "fp", F.when(same, F.col("at0")).alias("own"), F.when(~same, F.col("before")).alias("before"), F.when(~same, F.col("after")).alias("after")).alias("m"))
+    return both.groupBy("doc").agg(F.collect_set("m").alias("matches"))  # at most as many as the document has words
+
+
+def gone(text: bytes, h: np.ndarray, start: np.ndarray, matches: pa.StructArray) -> np.ndarray:
+    """Which words of a text go."""
+    at, fp = (matches.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    own = matches.field(2).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    on = standing(h, fp, at)
+    inner = np.flatnonzero(own >= 0)
+    if len(inner):
+        begins = np.cumsum([0, *(len(p.encode("utf-8", "surrogateescape")) for p in lines(text.decode("utf-8", "surrogateescape")))])
+        line = np.searchsorted(begins, start, side="right")
+        on[inner] &= standing(h, fp[inner], own[inner])
+        inner = inner[on[inner]]
+        on[inner] = line[at[inner]] != line[own[inner]]
+    reach = []
+    for i, step in ((3, -1), (4, 1)):
+        there = np.zeros((len(at), CONTEXT), "<u4")
+        outer = own < 0
+        if outer.any():
+            there[outer] = np.frombuffer(b"".join(matches.field(i).filter(pa.array(outer)).to_pylist()), "<u4").reshape(-1, CONTEXT)
+        keep = np.flatnonzero(~outer & on)
+        there[keep] = around(h, own[keep], step)
+        here = around(h, np.where(on, at, 0), step)
+        reach.append(np.cumprod((here == there) & (here > 0), axis=1).sum(1))
+    steps = np.zeros(len(h) + 1, np.int64)
+    np.add.at(steps, (at - reach[0])[on], 1)
+    np.add.at(steps, (at + SHINGLE + reach[1])[on], -1)
+    return np.cumsum(steps[:-1]) > 0
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = (common(b.column(x).to_pylist(), b.column(y).to_pylist()) for x, y in (("before", "b0"), ("after", "a0")))
-            # lines without words between matched ones have places too: a span is stretched by lines with words
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("at"), b.column("to"), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["doc", "at", "to", "left", "right"])
 
-    return both.mapInArrow(extend, "doc long, at int, to int, left int, right int").groupBy("doc").agg(F.collect_set(F.struct("at", "to", "left", "right")).alias("ranges"))  # at most as many as the document has lines
+def cut(text: bytes, matches: pa.StructArray) -> bytes:
+    """The text without its repeated words; what stood apart stays apart, by a line break where one stood there."""
+    h = hashes(text)
+    start, end = bounds(text)
+    off = gone(text, h, start, matches)
+    if not off.any():
+        return text
+    steps = np.diff(np.concatenate([[False], off, [False]]).astype(np.int8))
+    out, kept_to = [], 0  # kept_to: the byte from which on the text is kept
+    for a, b in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True):  # words a .. b - 1 go
+        if a:
+            before = text[end[a - 1] : start[a]]
+            out.append(text[kept_to : end[a - 1]])
+            if b < len(start):
+                behind = text[end[b - 1] : start[b]]
+                out.append(behind if b"\n" in behind and b"\n" not in before else before)
+        kept_to = int(start[b]) if b < len(start) else len(text)
+    out.append(text[kept_to:])
+    return b"".join(out)
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", count: str = "n_chars") -> DataFrame:
-    """All rows and columns of ``docs``, without the later repeated runs of lines."""
-    gone = materialize(repeated(docs, text, key), "line-runs")
+    """All rows and columns of ``docs``, without the later repeated runs of words."""
+    runs = materialize(repeated(docs, text, key), "line-runs")
     shape = T.StructType([*docs.schema.fields])
-    ranges = "__line_ranges"
-
-    def cut(t: str, spans: list[dict]) -> str:
-        parts = lines(t)
-        keep = np.ones(len(parts), bool)
-        on = np.flatnonzero([bool(p.strip()) for p in parts])  # lines with words
-        for s in spans:
-            lo, hi = np.searchsorted(on, s["at"]) - s["left"], np.searchsorted(on, s["to"]) + s["right"]
-            keep[on[lo] : on[hi] + 1] = False
-        out, gone = [], ""
-        for p, k in zip(parts, keep.tolist(), strict=True):
-            if not k:
-                gone = p
-                continue
-            if gone and out and not out[-1][-1].isspace() and not p[0].isspace():  # what stood apart stays apart
-                out.append("\n" if gone.endswith("\n") else " ")
-            out.append(p)
-            gone = ""
-        return "".join(out)
+    matched = "__line_matches"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column(b.num_columns - 1)
-            texts = b.column(text).to_pylist() if spans.null_count < b.num_rows else None
+            matches = b.column(b.num_columns - 1)
             columns = list(b.columns[:-1])
-            if texts is not None:
-                new = [cut(t, s) if s else t for t, s in zip(texts, spans.to_pylist(), strict=True)]
-                columns[b.schema.get_field_index(text)] = pa.array(new, b.schema.field(text).type)
+            if matches.null_count < b.num_rows:
+                held = b.column(text)
+                new = {i: cut(held[i].as_py().encode("utf-8"), matches[i].values) for i in np.flatnonzero(matches.is_valid().to_numpy(zero_copy_only=False)).tolist() if held[i].is_valid}
+                at = b.schema.get_field_index(text)
+                columns[at] = pa.array([new[i].decode("utf-8") if i in new else t for i, t in enumerate(held.to_pylist())], b.schema.field(at).type)
                 if count in shape.names:
                     i = b.schema.get_field_index(count)
-                    columns[i] = pa.array([len(t) if s and t is not None else c for t, s, c in zip(new, spans.to_pylist(), columns[i].to_pylist(), strict=True)], b.schema.field(count).type)
+                    columns[i] = pa.array([len(new[j].decode("utf-8")) if j in new else c for j, c in enumerate(columns[i].to_pylist())], b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
-    g = gone.select(F.col("doc").alias("__line_doc"), F.col("ranges").alias(ranges))
-    return docs.join(g, docs[key] == g["__line_doc"], "left").select(*docs.columns, ranges).mapInArrow(run, shape)
+    g = runs.select(F.col("doc").alias("__line_doc"), F.col("matches").alias(matched))
+    return docs.join(g, docs[key] == g["__line_doc"], "left").select(*docs.columns, matched).mapInArrow(run, shape)

@@ -141,3 +141,31 @@ def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts[2] is None and texts[3] == "" and len(texts[4]) > 100_000
     assert linededup.dedup_lines(no_docs).isEmpty()
+
+
+def words(r, n):
+    return [f"w{r.randrange(5000)}" for _ in range(n)]
+
+
+def deduped(spark, texts):
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    return {x["doc_id"]: x["text"] for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+
+
+def test_passages_within_sentences_go(spark):
+    """Passages of 51 words, with stops of their own, begin and end amid sentences of each document, or of one document."""
+    r = random.Random(4)
+    passages = []
+    for k in range(12):
+        p = words(r, 51)
+        for at in ((), (25,), (7, 30), (45,))[k % 4]:
+            p[at] += "."
+        passages.append(" ".join(p))
+    own = [(" ".join([*words(r, 11 + i % 9), f"left{i}"]), " ".join([f"right{i}", *words(r, 14), "end."])) for i in range(36)]
+    texts = [f"{a} {passages[i % 12]} {b}" for i, (a, b) in enumerate(own)]
+    inside = words(r, 60)
+    texts.append(" ".join(["once", *inside, "over. Then", *inside, "again."]))
+    out = deduped(spark, texts)
+    for i, (a, b) in enumerate(own):
+        assert out[i] == (texts[i] if i < 12 else f"{a} {b}")
+    assert out[36] == " ".join(["once", *inside, "over. Then again."])
