@@ -169,3 +169,14 @@ def test_passages_within_sentences_go(spark):
     for i, (a, b) in enumerate(own):
         assert out[i] == (texts[i] if i < 12 else f"{a} {b}")
     assert out[36] == " ".join(["once", *inside, "over. Then again."])
+
+
+@pytest.mark.parametrize("sep", ["\n", "\t", " \r\n\t"])
+def test_menus_and_tab_separated_lines_go_whole(spark, sep):
+    """Lines of one word each, and few lines of words parted by tabs: all words of each later copy go."""
+    r = random.Random(5)
+    runs = [words(r, 51 + k) for k in range(10)]
+    own = [(" ".join([*words(r, 40), f"left{i}."]), " ".join([f"right{i}", *words(r, 40), "end."])) for i in range(30)]
+    out = deduped(spark, [f"{a}\n{sep.join(runs[i % 10])}\n{b}" for i, (a, b) in enumerate(own)])
+    for i, (a, b) in enumerate(own):
+        assert out[i] == (f"{a}\n{sep.join(runs[i % 10])}\n{b}" if i < 10 else f"{a}\n{b}")
