@@ -1,13 +1,14 @@
 """Licence scans (operator 7), with DataFrame functions only.
 
-Paragraphs that hold a licence word are classified by a multinomial logistic regression over hashed word unigrams and
+A paragraph ends at a blank line, or one of comment marks only. Of each that holds a licence word, the single lines, the sentences and clauses across
+its wrapped lines, and overlapping windows of ``2 * SPAN`` words are units; those with a licence word are classified by a multinomial logistic regression over hashed word unigrams and
 bigrams. It is trained on notices of each family with words left out by hash, and on paragraphs of no
 family. The class of no family is calibrated: a family is only claimed from the probability that ``1 - miss`` of
-held-out notices of the families reach. A claim is confirmed if the share of a template's word bigrams that the paragraph
+held-out notices of the families reach. A claim is confirmed if the share of a template's word bigrams that the unit
 contains is at least ``overlap`` for some template of that family.
 
 Defined results: null and empty texts, and texts without a licence word, have no family (``none``); a licence paragraph of no known
-family is ``unknown``; of several families the most probable confirmed one is a document's; repeated rows are
+family is ``unknown``; ``families`` has all confirmed families of a document, ``family`` the most probable one; repeated rows are
 scanned each; a null id stays; an empty table gives no rows; other columns are ignored.
 """
 
@@ -72,6 +73,9 @@ OTHER = [
 ]
 WORDS = r"licen[cs]|copyright|rights reserved|permission|redistribut|warrant|creative commons|public domain|\bGPL\b"
 FAMILIES = [*TEMPLATES, "other"]
+MARKS = r"[ \t\r#*/;!%-]*"  # of comments, at the start of a line
+LICENSED = "(?i)" + WORDS.replace(" ", "[^a-z0-9]+")  # across wrapped lines too
+SPAN = 64  # more words than any template has
 
 
 def tokens(text: Column) -> Column:
@@ -83,6 +87,16 @@ def pairs(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def units(paragraphs: DataFrame) -> DataFrame:
+    """``row_id, p``, what is classified of each ``paragraph``: lines, sentences and clauses across lines, and windows in which each run of ``SPAN`` words is whole."""
+    # columns of their own, as a lambda function would work them out again for each window
+    held = paragraphs.withColumn("joined", F.regexp_replace("paragraph", rf"\n{MARKS}", " ")).withColumn("w", tokens(F.col("joined"))).withColumn("n", F.size("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / SPAN).cast("int") - 2))
+    windows = F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i * SPAN + 1, F.lit(2 * SPAN))))
+    parts = F.concat(F.split("paragraph", r"\n"), F.split("joined", r"(?<=[.!?])\s+"), F.split("joined", r"(?<=[.!?:;])\s+"), windows)
+    return held.select("row_id", F.explode(F.array_distinct(F.filter(parts, lambda u: u.rlike(LICENSED)))).alias("p"))
+
+
 def notices(spark: SparkSession, copies: int) -> DataFrame:
     """Training paragraphs: each notice, and copies of it that lack about a sixth of the words."""
     rows = [(t, FAMILIES.index(f), f) for f, ts in TEMPLATES.items() for t in ts] + [(t, FAMILIES.index("other"), "other") for t in OTHER]
@@ -114,21 +128,21 @@ class Scanner:
 
 
 def scan(docs: DataFrame, *, overlap: float = 0.6, text: str = "text", key: str = "doc_id", scanner: Scanner | None = None) -> DataFrame:
-    """``doc_id, family, confidence, n_paragraphs`` (that hold a licence word) of each document."""
+    """``doc_id, family, families, confidence, n_paragraphs`` (that hold a licence word) of each document."""
     spark = docs.sparkSession
     s = scanner or Scanner(spark)
     t = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    held = F.filter(F.split("t", r"\n"), lambda p: p.rlike("(?i)" + WORDS))
+    held = F.filter(F.split("t", rf"\n{MARKS}\n"), lambda p: p.rlike(LICENSED))
     with_id = materialize(t.withColumn("row_id", F.monotonically_increasing_id()).withColumn("held", held).drop("t"), "licence-paragraphs")
-    each = with_id.where(F.size("held") > 0).select("row_id", F.explode("held").alias("p")).withColumn("words", tokens(F.col("p")))
+    each = units(with_id.where(F.size("held") > 0).select("row_id", F.explode("held").alias("paragraph"))).withColumn("words", tokens(F.col("p")))
     templates = [(f, F.array(*[F.lit(x) for x in template_pairs(x)])) for f, xs in TEMPLATES.items() for x in xs]
     seen = pairs(F.col("words"))
     likeness = [F.when(F.col("family") == f, F.size(F.array_intersect(seen, a)) / F.size(a)) for f, a in templates]
     claimed = s.classified(each).withColumn("likeness", F.greatest(F.lit(0.0), *likeness))
     sure = claimed.withColumn("family", F.when(F.col("likeness") >= overlap, F.col("family")).otherwise("unknown")).withColumn("rank", (F.col("family") != "unknown").cast("int"))
-    best = sure.groupBy("row_id").agg(F.max(F.struct("rank", "confidence", "family")).alias("b"), F.count(F.lit(1)).alias("n"))
-    out = with_id.select("doc_id", "row_id").join(best, "row_id", "left")
-    return out.select("doc_id", F.coalesce("b.family", F.lit("none")).alias("family"), F.round(F.coalesce("b.confidence", F.lit(0.0)), 4).alias("confidence"), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"))
+    best = sure.groupBy("row_id").agg(F.max(F.struct("rank", "confidence", "family")).alias("b"), F.array_sort(F.collect_set(F.when(F.col("rank") == 1, F.col("family")))).alias("families"))
+    out = with_id.select("doc_id", "row_id", F.size("held").alias("n")).join(best, "row_id", "left")
+    return out.select("doc_id", F.coalesce("b.family", F.lit("none")).alias("family"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.round(F.coalesce("b.confidence", F.lit(0.0)), 4).alias("confidence"), F.col("n").cast("long").alias("n_paragraphs"))
 
 
 def template_pairs(text: str) -> list[str]:

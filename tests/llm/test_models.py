@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, brute-force counts, odd rows."""
 
 import math
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,26 @@ def test_licences(spark):
     got = {r["doc_id"]: r["family"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == "MIT" and got[5] == "Apache-2.0" and got[None] == "CC-BY-4.0"
     assert got[2] == got[6] == "unknown" and got[3] == got[4] == got[8] == "none"
+
+
+def test_wrapped_and_double_licence_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify and sell copies of the Software."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at the address below."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    prose = "A plain line about rivers and hills that says nothing of the terms."
+    rows, want = [], {}
+    for width in (30, 44, 72):
+        for mark in ("", "# ", " * ", "-- "):
+            for families, texts in ((["MIT"], [mit]), (["Apache-2.0"], [apache]), (["GPL-3.0"], [gpl]), (["BSD"], [bsd]), (["Apache-2.0", "MIT"], [mit, apache]), (["BSD", "GPL-3.0"], [bsd, gpl])):
+                for gap in ("\n", f"\n{mark.rstrip()}\n") if len(texts) > 1 else ("\n",):
+                    block = gap.join("\n".join(mark + x for x in textwrap.wrap(t, width)) for t in texts)
+                    want[len(rows)] = families
+                    rows.append((len(rows), f"{prose}\n\n{block}\n\n{prose}"))
+    want[len(rows)] = ["Apache-2.0", "MIT"]
+    rows.append((len(rows), "Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0."))
+    want[len(rows)] = []
+    rows.append((len(rows), f"{prose}\n\n{prose}\nYou need a driving\nlicence to rent a car."))
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = {i: (got[i]["families"], f, rows[i][1]) for i, f in want.items() if got[i]["families"] != f or (got[i]["family"] not in f if f else got[i]["family"] != "unknown")}
+    assert not wrong
