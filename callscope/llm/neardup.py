@@ -8,13 +8,13 @@ most one; the errors are enumerated by leaving out one position of the chunk in
 values that it could take. So each class has ``n_hashes`` keys, and every pair within the allowed signature
 distance shares a key.
 
-No group is expanded into pairs. Each key's members meet one member of the key, drawn by hash, so members of
-one large group meet many different partners over their keys. Pairs within the signature distance are
-confirmed on full shingle sets, and confirmed links merge into components. Keys that then still hold more than
-one component are gone through in full: small ones as pairs across components, confirmed in the same way;
-members of large ones, and what these connect, as blocks of about ``BLOCK`` that meet each other in a task of two
-blocks, which counts common shingles over an index and returns no more links than merge its members. What is
-skipped is only pairs that are already connected. Components are found by contraction in random order.
+No group is expanded into pairs. Each key's members meet the first member of the key in one order by hash, which
+is the same for all keys, so that members of a large group that share many keys meet few partners. Pairs within the
+signature distance are confirmed on full shingle sets, and confirmed links merge into components. Keys that then still
+hold more than one component are gone through in full: up to ``SPLIT`` members as pairs across components, confirmed in
+the same way; larger ones, and what these connect, are split into blocks of about ``BLOCK`` members and ``BLOCK_BYTES``
+that meet each other in a task of two blocks, which counts common shingles over an index and returns no more links than
+merge its components. What is skipped is only pairs that are already connected. Components are found by contraction.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing; texts with
 fewer words than a shingle have one shingle, the whole; repeated rows and repeated ids are one document;
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import encoded, materialize, mix64, parallelism, sliced
 
-SMALL_KEY, BLOCK = 24, 256
+SPLIT, BLOCK, BLOCK_BYTES = 24, 768, 2_000_000
 _words: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, with a bounded memory of those seen."""
-    if len(_words) > 1_000_000:
+    if len(_words) > 200_000:
         _words.clear()
     get, out = _words.get, []
     for w in words:
@@ -121,7 +121,7 @@ def signed(docs: DataFrame, scheme: Scheme, k: int, text: str, key: str) -> Data
 
 
 def live_keys(reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``key, id, pivot`` of keys with two members or more; pivot is the key's first member by hash."""
+    """``key, id, pivot`` of keys with two members or more; pivot is the key's first member in the order of ``xxhash64(id)``."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,33 +166,34 @@ def live_keys(reps: DataFrame, scheme: Scheme) -> DataFrame:
 
     n = parallelism(reps.sparkSession)
     keyed = reps.where("sig is not null").select("id", "sig").mapInArrow(spread, "key long, id long").repartition(n, "key")
-    return keyed.sortWithinPartitions("key", F.xxhash64("id", "key")).mapInArrow(runs, "key long, id long, pivot long")
+    return keyed.sortWithinPartitions("key", F.xxhash64("id"), "id").mapInArrow(runs, "key long, id long, pivot long")
 
 
 def close(pairs: DataFrame, sigs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs within the allowed signature distance."""
+    """The rows of ``pairs`` (a, b, more) within the allowed signature distance."""
+    kept = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, scheme.n) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, scheme.n) for c in ("sa", "sb"))
             near = (x != y).sum(1) <= scheme.most
-            yield b.select(["a", "b"]).filter(pa.array(near))
+            yield b.select(kept).filter(pa.array(near))
 
     s = sigs.select("id", "sig")
     both = pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select(*kept, "sa", "sb").mapInArrow(run, pairs.schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity: exact, in hundredths."""
-    percent = round(similarity * 100)
+    """The rows of ``pairs`` (a, b, more) whose full shingle sets have the similarity: exact, in hundredths."""
+    percent, kept = round(similarity * 100), pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             held: dict[int, np.ndarray] = {}
             keep = []
-            for a, c, x, y in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for a, c, x, y in zip(*(b.column(i).to_pylist() for i in ("a", "b", "ta", "tb")), strict=True):
                 for i, z in ((a, x), (c, y)):
                     if i not in held:
                         if len(held) > 500:
@@ -202,27 +203,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
                     held[a] = shingles(unpack(x), k)
                 common = len(np.intersect1d(held[a], held[c], assume_unique=True))
                 keep.append(100 * common >= percent * (len(held[a]) + len(held[c]) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(kept).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select(*kept, "ta", "tb").mapInArrow(run, pairs.schema)
 
 
 def block_links(hot: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links across components among the members of large keys (``id, component, pivot``), block by block."""
+    """``ca, cb``: links between components among the members of large keys (``id, component, pivot``), block by block."""
     percent = round(similarity * 100)
     group = components(hot.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    of = materialize(hot.select("id", "component").distinct().join(group.withColumnRenamed("component", "grp"), "id"), "dup-groups")
-    sizes = of.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = of.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    of = materialize(hot.select("id", "component").distinct().join(group.withColumnRenamed("component", "grp"), "id").join(texts.select("id", "bytes"), "id"), "dup-groups")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    placed = of.join(of.groupBy("grp").agg(blocks.alias("blocks"), F.countDistinct("component").alias("n")).where("n > 1"), "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "component", "grp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def compare(t: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         ids, comp, block = (t.column(c).to_pylist() for c in ("id", "component", "block"))
-        two = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
         hi = t.column("hi")[0].as_py()
-        sets = [shingles(unpack(x), k) for x in t.column("packed").to_pylist()]
+        two = t.column("lo")[0].as_py() != hi
+        sets = [shingles(unpack(x.as_py()), k) for x in t.column("packed")]
         right = [i for i in range(len(ids)) if not two or block[i] == hi]
         sizes = np.array([len(sets[i]) for i in right], np.int64)
         owner = np.repeat(np.arange(len(right)), sizes)
@@ -249,36 +250,38 @@ def block_links(hot: DataFrame, texts: DataFrame, k: int, similarity: float) ->
                 x, y = root(comp[i]), root(comp[right[j]])
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    out.append((ids[i], ids[right[j]]))
-        return pa.table([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
+                    out.append((min(x, y), max(x, y)))
+        return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["ca", "cb"])
 
-    return met.join(texts, "id").groupBy("grp", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return met.join(texts.select("id", "packed"), "id").groupBy("grp", "lo", "hi").applyInArrow(compare, "ca long, cb long")
 
 
 def packed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``id, packed``: each text compressed, so that it moves and is kept small."""
+    """``id, packed, bytes``: each text compressed, so that it moves and is kept small, and the size of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in encoded(b.column(1))], pa.binary())], names=["id", "packed"])
+            texts = [pack(t) for t in encoded(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), pa.array(map(len, texts), pa.int64())], names=["id", "packed", "bytes"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null").mapInArrow(run, "id long, packed binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null").mapInArrow(run, "id long, packed binary, bytes long")
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``id, component`` (smallest id reachable) of the ids in ``links`` (a, b), by contraction.
 
-    In a round each node joins that of its neighbours and itself which a random order puts first, and links are led
+    In a round each node joins that of its neighbours and itself which an order by hash puts first, and links are led
     over to these; a node stays only if it comes before all its neighbours, so each round leaves half the nodes at
-    most, and far fewer in dense groups. Then the rounds' labels are put together from the last to the first.
+    most, and far fewer in dense groups. The first round's order is the one that chooses pivots, so what links to one
+    pivot becomes one node at once; later rounds have an order each. Then the rounds' labels are put together from the last to the first.
     """
     links = materialize(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "cc-links")
     labels: list[DataFrame] = []
     while not links.isEmpty():
         if len(labels) == most_rounds:
             raise RuntimeError("components did not settle")
-        order = lambda c: F.xxhash64(F.col(c), F.lit(len(labels)))  # noqa: E731, B023
+        order = lambda c: F.xxhash64(F.col(c), *[F.lit(len(labels))] * bool(labels))  # noqa: E731, B023
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = both.groupBy("u").agg(F.min_by("v", order("v")).alias("v"))
         label = materialize(first.select(F.col("u").alias("id"), F.when(order("v") < order("u"), F.col("v")).otherwise(F.col("u")).alias("label")), "cc-labels")
@@ -306,21 +309,19 @@ def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hash
     texts = materialize(packed_texts(docs, text, key).join(ids, "id", "left_semi").dropDuplicates(["id"]), "dup-texts")
 
     tried = materialize(close(live.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), reps, scheme), "dup-pairs")
-    links = materialize(confirmed(tried, texts, shingle_words, similarity), "dup-links")
-    of = materialize(components(links), "dup-components")
+    of = materialize(components(confirmed(tried, texts, shingle_words, similarity)), "dup-components")
 
     member = live.join(of, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component"))
-    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+    open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("key", "n")
     rest = materialize(member.join(open_, "key"), "dup-open")
-    few = rest.where(F.col("n") <= SMALL_KEY)
+    few = rest.where((F.col("n") <= SPLIT) & (F.col("id") != F.col("pivot")))  # the pivot has met all
     x, y = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(close(across, reps, scheme).join(tried, ["a", "b"], "left_anti"), texts, shingle_words, similarity)
-    more = materialize(more.unionByName(block_links(rest.where(F.col("n") > SMALL_KEY), texts, shingle_words, similarity)), "dup-links")
-    if not more.isEmpty():
-        of = materialize(components(links.unionByName(more)), "dup-components")
-
-    rep_of = reps.select("d1", "d2", "id").join(of, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
+    across = x.join(y, "key").where("a < b and ca != cb").select("a", "b", "ca", "cb").distinct()
+    more = confirmed(close(across, reps, scheme), texts, shingle_words, similarity).select("ca", "cb")
+    more = more.unionByName(block_links(rest.where(F.col("n") > SPLIT), texts, shingle_words, similarity))
+    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    named = reps.select("d1", "d2", "id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rep_of = named.join(merged, "component", "left").select("d1", "d2", F.coalesce("root", "component").alias("component_id"))
     out = signs.where("n_shingles > 0 and doc_id is not null").join(rep_of, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = signs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
