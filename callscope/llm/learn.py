@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = 20_000, text: str = "text", key: str = "doc_id") -> list[tuple[str, int]]:
-    """Texts and labels of at most ``per_class`` documents of each class, drawn by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = 20_000, text: str = "text", key: str = "doc_id") -> Iterator[tuple[str, int]]:
+    """Different texts, with labels, of at most ``per_class`` documents of each class, drawn by a hash of the id.
 
-    Bounded by its parameters: ids are drawn from ``labels`` first, so text is read once and joined
-    with a list of at most twice ``per_class``; documents over ``most_bytes`` aren't used to learn from.
+    Bounded by its parameters: ids are drawn from ``labels`` first, so text is read once and joined with a list of at most
+    twice ``per_class``, and of the texts that rows with one id hold the first is taken; documents over ``most_bytes``
+    aren't used to learn from. A text with both labels counts as 1.
     """
     ids = [labels.where(F.col(label) == y).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y")).orderBy(F.xxhash64("k", F.lit(11)), "k").limit(per_class) for y in (0, 1)]
     drawn = ids[0].unionByName(ids[1])
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= most_bytes)).join(F.broadcast(drawn), "k").orderBy("k", "t")
-    return [(r["t"], int(r["y"])) for r in rows.select("t", "y").toLocalIterator()]
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= most_bytes)).join(F.broadcast(drawn), "k")
+    found = rows.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).groupBy("t").agg(F.min("k").alias("k"), F.max("y").cast("int").alias("y")).orderBy("k").select("t", "y").toArrow()
+    for b in found.to_batches(max_chunksize=100):
+        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
 
 
 class Rows:
@@ -53,18 +58,17 @@ def logistic(rows: Rows, y: np.ndarray, l2: float = 1e-3, rounds: int = 150) ->
     return w, b
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """Slope and offset that turn scores into probabilities, by Newton steps on smoothed targets."""
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Slopes of scores (a column or more) and an offset that make probabilities of them, by Newton steps on smoothed targets."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+    x = np.column_stack([z, np.ones(len(y))])
+    ridge = np.array([1e-6] * x.shape[1])
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = sigmoid(a * z + b)
-        g = np.array([((p - t) * z).sum() + 1e-6 * a, (p - t).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * z * z).sum() + 1e-6, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a - np.clip(d[0], -5, 5), b - np.clip(d[1], -5, 5)
+        p = sigmoid(x @ w)
+        d = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(ridge), x.T @ (p - t) + ridge * w)
+        w = w - np.clip(d, -5, 5)
         if np.abs(d).max() < 1e-8:
             break
-    return float(a), float(b)
+    return w

@@ -11,7 +11,7 @@ the method keeps what the rules keep; repeated rows score alike; other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,16 +87,14 @@ class Classifier:
         return float(sigmoid(np.float64(self.slope * self.margin(raw, words) + self.shift)))
 
 
-def train(rows: list[tuple[str, int]]) -> Classifier | None:
-    docs = [(raw := t.encode("utf-8", "replace"), raw.split(), y) for t, y in dict(rows).items()]
-    y = np.array([d[2] for d in docs])
+def train(rows: Iterable[tuple[str, int]]) -> Classifier | None:
+    docs = [(hashed(raw := t.encode("utf-8", "replace"), raw.split()), y) for t, y in rows]
+    y = np.array([label for _, label in docs])
     late = np.arange(len(docs)) % 3 == 0
     if len(set(y[~late].tolist())) < 2 or len(set(y[late].tolist())) < 2:
         return None
-    w, b = logistic(Rows([hashed(raw, words) for n, (raw, words, _) in enumerate(docs) if not late[n]], 1 << BITS), y[~late], l2=1e-4)
-    c = Classifier(w, b, 1.0, 0.0)
-    c.slope, c.shift = platt(np.array([c.margin(raw, words) for n, (raw, words, _) in enumerate(docs) if late[n]]), y[late])
-    return c
+    w, b = logistic(Rows([x for n, (x, _) in enumerate(docs) if not late[n]], 1 << BITS), y[~late], l2=1e-4)
+    return Classifier(w, b, *platt(np.array([float(w[ix] @ x) + b for n, ((ix, x), _) in enumerate(docs) if late[n]]), y[late]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str = "quality", key: str = "doc_id") -> Classifier | None:

@@ -2,14 +2,16 @@
 
 The kernel of two words sums over their common three-letter subsequences, each weighted by a decay to
 the power of its span in either word (at most ``SPAN`` letters), so a word with inserted letters still
-resembles what it hides; the kernel is normalised. Before that a word is folded: case, digits and signs
-that stand for letters, and signs between letters go, and letters written apart are joined. A sentence's
-kernel with a landmark word is the largest of its words' kernels; kernels under ``LEAST`` count as 0.
+resembles what it hides; it is normalised, and its exponential taken, which is a kernel again. Before that a word is
+folded: case, accents, digits and signs that stand for letters, and signs between letters go, and letters written
+apart are joined. A sentence's kernel with a landmark is the sum over its different words; word kernels under ``LEAST`` are
+left out as small.
 
-Landmarks are words of toxic training documents that clean ones lack, spread by greedy selection. Nyström:
-features are kernels with the landmarks times the inverse square root of the landmarks' own kernel matrix;
-a linear support vector machine learns on sentences, and a document's margin is its worst sentence's, made
-a probability by Platt's method on documents that the machine hasn't seen.
+Landmarks are words and starts of words whose share of toxic training documents stands out from that of clean ones, the
+clearest first, each unlike those before it. Nystrom: features are kernels with the landmarks times the inverse square
+root of the landmarks' own kernel matrix; a linear support vector machine learns on sentences. A document's probability
+follows from the margin of its worst sentence and from what the sentences beyond the boundary add up to, calibrated by Platt's method on
+documents that the machine hasn't seen: one doubtful word is a chance, several are not.
 
 Scoring reads every word of every text in Arrow batches. Most words are ruled out at once by an upper bound of
 their kernel (vectorised over a batch's distinct words); only the others are compared with the landmarks.
@@ -23,9 +25,10 @@ classes, or landmarks, every score is 0; repeated rows score alike; other column
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +49,10 @@ _codes: dict[str, bytes] = {}
 
 
 def code_of(ch: str) -> int:
-    """1-26 for a-z, 27-29 for other letters, 0 for what is dropped."""
+    """1-26 for a-z, 1-29 by the code point for letters of other scripts, 0 for what is dropped."""
     if "a" <= ch <= "z":
         return ord(ch) - 96
-    return 27 + ord(ch) % 3 if ch.isalpha() else 0
+    return 1 + ord(ch) * 7 % 29 if ch.isalpha() else 0
 
 
 def fold(word: str) -> bytes:
@@ -57,12 +60,14 @@ def fold(word: str) -> bytes:
     core = SENTENCE_END.sub("", word.lower()).strip(".,;:!?\"'()[]")
     if not core.isalpha():
         core = "".join(STANDS_FOR.get(ch, ch) for ch in core)
+    if not core.isascii():
+        core = unicodedata.normalize("NFKD", core.replace("ß", "ss"))
     return bytes(c for c in map(code_of, core) if c)
 
 
 def folded(words: list[str]) -> list[bytes]:
     """The folded form of each word."""
-    if len(_codes) > 500_000:
+    if len(_codes) > 100_000:
         _codes.clear()
     out = list(map(_codes.get, words))
     if None in out:
@@ -103,13 +108,13 @@ def subsequences(code: bytes) -> dict[int, float]:
 
 
 class Kernel:
-    """Kernels of words with a set of landmark words."""
+    """Kernels of words with a set of landmarks, which are words, or starts of words, with their marks."""
 
     def __init__(self, landmarks: list[bytes]) -> None:
         self.landmarks = landmarks
         self.table = np.zeros((1 << 15, len(landmarks)), np.float32)
         for n, x in enumerate(landmarks):
-            s = subsequences(parts(x)[0])
+            s = subsequences(x)
             norm = sum(v * v for v in s.values()) ** 0.5
             for k, v in s.items():
                 self.table[k, n] = v / norm
@@ -151,17 +156,23 @@ def least_norm(size: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Landmarks, the machine's weights in landmark kernels, and the calibration."""
-
-    def __init__(self, kernel: Kernel, weights: np.ndarray, offset: float, slope: float, shift: float) -> None:
-        self.kernel, self.weights, self.offset, self.slope, self.shift = kernel, weights, offset, slope, shift
-        self.name = uuid.uuid4().hex
+    """Landmarks, the machine's weights, and the calibration; small when sent, as it learns words anew."""
+
+    def __init__(self, landmarks: list[bytes], weights: np.ndarray, offset: float, calibration: np.ndarray, name: str = "") -> None:
+        self.kernel, self.weights, self.offset, self.calibration = Kernel(landmarks), weights, offset, calibration
+        gram = np.array([self.kernel.of(w) for w in landmarks], np.float64)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+        self.name = name or uuid.uuid4().hex
         self.seen: set[bytes] = set()
         self.known: dict[bytes, np.ndarray] = {}
 
+    def __reduce__(self) -> tuple:
+        return resident, (self.kernel.landmarks, self.weights, self.offset, self.calibration, self.name)
+
     def learn_words(self, codes: set[bytes]) -> None:
         """Kernels of the words that aren't ruled out."""
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > 200_000:
             self.seen.clear()
         new = [c for c in codes - self.seen if len(c) > 2]
         self.seen.update(new)
@@ -170,57 +181,95 @@ class Model:
             if k := [like[p] for p in parts(c) if p in like]:
                 self.known[c] = np.max(k, 0)
 
-    def margin(self, words: list[str], codes: list[bytes]) -> float:
-        """Of the worst sentence."""
-        return max((float(k @ self.weights) + self.offset for k in self.sentences(words, codes)), default=self.offset)
+    def features(self, words: list[str], codes: list[bytes]) -> tuple[float, float]:
+        """The margin of the worst sentence, and what the sentences beyond the boundary add up to, damped."""
+        added = [float(self.mapped(k) @ self.weights) for k in self.sentences(words, codes)]
+        return max(added, default=0.0) + self.offset, float(np.log1p(sum(max(0.0, x + self.offset) for x in added)))
+
+    def mapped(self, kernels: np.ndarray) -> np.ndarray:
+        """Features of a sentence; what many words add up to isn't more than one like a landmark."""
+        z = kernels @ self.root
+        return z / max(1.0, float(np.sqrt(z @ z)))
 
     def sentences(self, words: list[str], codes: list[bytes]) -> Iterator[np.ndarray]:
         """Kernels of the sentences that hold a word like a landmark; a sentence ends at a word with a full stop."""
         known = self.known
         hits = [i for i, c in enumerate(codes) if c in known]
         held = None
+        said: set[bytes] = set()
         for n, i in enumerate(hits):
             k = known[codes[i]]
             same = n > 0 and not any(words[j][-1] in ".!?" for j in range(hits[n - 1], i))
             if held is not None and not same:
                 yield held
-            held = np.maximum(held, k) if held is not None and same else k
+                said.clear()
+            if codes[i] not in said:
+                held = held + k if held is not None and same else k
+            said.add(codes[i])
         if held is not None:
             yield held
         for _, c in apart(codes):
             if c in known:
                 yield known[c]
 
-    def probability(self, margin: float) -> float:
-        return float(sigmoid(np.float64(self.slope * margin + self.shift)))
+    def probability(self, words: list[str], codes: list[bytes]) -> float:
+        return float(sigmoid(np.dot(self.calibration, (*self.features(words, codes), 1.0))))
+
+
+_resident: dict[str, Model] = {}
+
+
+def resident(landmarks: list[bytes], weights: np.ndarray, offset: float, calibration: np.ndarray, name: str) -> Model:
+    """The copy of a model that this worker has already scored with, which knows more words."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = Model(landmarks, weights, offset, calibration, name)
+    return _resident[name]
+
+
+def forms(code: bytes) -> list[bytes]:
+    """A word with its marks, and its starts."""
+    whole = parts(code)[0]
+    return [whole, *(whole[:n] for n in range(5, min(len(whole) - 1, 10)))]
 
 
-def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int) -> list[bytes]:
-    """Frequent words of toxic documents that clean ones lack; each differs from those before it."""
+def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int, least_z: float = 5.0) -> list[bytes]:
+    """Words and starts of words that stand out in toxic documents, each unlike those before it."""
     pos, neg = Counter(), Counter()
     for words, y in docs:
-        (pos if y else neg).update(words)
+        if y:
+            pos.update({f for w in words if len(w) >= 4 for f in forms(w)})
     n1, n0 = max(1, sum(y for _, y in docs)), max(1, sum(1 - y for _, y in docs))
-    least = 3 if n1 >= 300 else 2
-    good = [w for w, n in pos.items() if n >= least and len(w) >= 4 and n / n1 >= 25 * (neg[w] + 0.1) / n0]
+    pos = {f: n for f, n in pos.items() if n >= 3}
+    for words, y in docs:
+        if not y:
+            neg.update({f for w in words if len(w) >= 4 for f in forms(w) if f in pos})
+
+    def z(f: bytes) -> float:
+        p = (pos[f] + neg[f]) / (n1 + n0)
+        return (pos[f] / n1 - neg[f] / n0) / (p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12) ** 0.5
+
+    good = sorted((f for f in pos if z(f) >= least_z and pos[f] / n1 >= 4 * neg[f] / n0), key=lambda f: (-round(pos[f] / n1 - 2 * neg[f] / n0, 6), -len(f), f))
     out: list[bytes] = []
-    for w in sorted(good, key=lambda w: (-pos[w], w))[: most * 8]:
-        if len(out) < most and (not out or Kernel(out).of(parts(w)[0]).max() < np.exp((0.9 - 1) / WIDTH)):
-            out.append(w)
+    for f in good[: most * 20]:
+        if len(out) < most and (not out or Kernel(out).of(f).max() < np.exp((0.62 - 1) / WIDTH)):
+            out.append(f)
     return out
 
 
-def train(rows: list[tuple[str, int]], most_landmarks: int = 96, rounds: int = 300) -> Model | None:
-    docs = [(w := t.split(), folded(w), y) for t, y in dict(rows).items()]  # copies count once
+def train(rows: Iterable[tuple[str, int]], most_landmarks: int = 96) -> Model | None:
+    same: dict[str, str] = {}  # equal words of all documents are one object
+    docs = [(w := [same.setdefault(x, x) for x in t.split()], folded(w), y) for t, y in rows]
     if len({y for *_, y in docs}) < 2:
         return None
-    fit = [d for n, d in enumerate(docs) if n % 3]
+    fit, late = ([d for n, d in enumerate(docs) if (n % 3 == 0) == held] for held in (False, True))
     landmarks = pick_landmarks([(set(c), y) for _, c, y in fit], most_landmarks)
     if not landmarks:
         return None
-    kernel = Kernel(landmarks)
-    model = Model(kernel, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
-    model.learn_words({x for _, c, _ in docs for x in (*c, *(j for _, j in apart(c)))})
+    model = Model(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(3))
+    kernel = model.kernel
+    for _, c, _ in docs:
+        model.learn_words({*c, *(j for _, j in apart(c))})
     # sentences: of a toxic document, those that resemble a landmark; of a clean one, all that do, and one that doesn't
     x, y = [np.zeros(len(landmarks), np.float32)], [0]
     for words, codes, label in fit:
@@ -229,50 +278,44 @@ def train(rows: list[tuple[str, int]], most_landmarks: int = 96, rounds: int = 3
                 x.append(k)
                 y.append(label)
     # insults disguised by a letter put in, doubled or left out
-    for n, word in enumerate(landmarks):
+    for n, mark in enumerate(landmarks):
+        word = mark[1:].rstrip(bytes([END]))
         for at in range(2, len(word) - 1):
             for other in (word[:at] + bytes([1 + (7 * n + 5 * at) % 26]) + word[at:], word[:at] + word[at - 1 : at] + word[at:], word[:at] + word[at + 1 :]):
-                if len(word) > 4 and (k := kernel.of(parts(other)[0])).any():
+                if len(word) > 4 and mark[-1] == END and (k := kernel.of(parts(other)[0])).any():
                     x.append(k)
                     y.append(1)
-    x, y = np.array(x, np.float64), np.array(y)
-    gram = np.array([kernel.of(parts(w)[0]) for w in landmarks], np.float64)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    z = x @ root
-    w, b = svm(z, y, rounds)
-    model.weights, model.offset = root @ w, b
-    late = [d for n, d in enumerate(docs) if n % 3 == 0]
-    m = np.array([model.margin(words, codes) for words, codes, _ in late])
-    model.slope, model.shift = platt(m, np.array([label for *_, label in late]))
-    return model
-
-
-def svm(z: np.ndarray, y: np.ndarray, rounds: int, cost: float = 30.0) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine, classes weighted alike, by accelerated gradients."""
-    s = np.where(y == 1, 1.0, -1.0)
-    c = cost * np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b = np.zeros(z.shape[1]), 0.0
-    v, o = w.copy(), b
-    step = 1 / (1 + 2 * cost * ((z * z).sum(1).max() + 1))
-    for t in range(rounds):
-        gap = np.maximum(0, 1 - s * (z @ v + o)) * s * c
-        w2, b2 = v - step * (v - 2 * z.T @ gap), o + step * 2 * gap.sum()
-        k = t / (t + 3)
-        v, o = w2 + k * (w2 - w), b2 + k * (b2 - b)
-        w, b = w2, b2
-    return w, float(b)
-
-
-_resident: dict[str, Model] = {}
+    x, y = np.array([model.mapped(k) for k in x]), np.array(y)
+    model.weights, model.offset = svm(x, y)
+    model.calibration = platt(np.array([model.features(words, codes) for words, codes, _ in late]), np.array([label for *_, label in late]))
+    _codes.clear()
+    return Model(landmarks, model.weights, model.offset, model.calibration)
 
 
-def resident(model: Model) -> Model:
-    """The copy of a model that this worker has already scored with, which knows more words."""
-    if model.name not in _resident:
-        _resident.clear()
-        _resident[model.name] = model
-    return _resident[model.name]
+def svm(z: np.ndarray, y: np.ndarray, cost: float = 300.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Squared-hinge support vector machine, classes weighted alike, by Newton steps over the rows within the margin."""
+    s = np.where(y == 1, 1.0, -1.0)
+    c = cost * np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    x = np.column_stack([z, np.ones(len(y))])
+    ridge = np.append(np.ones(z.shape[1]), 1e-6)
+    w = np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        gap = np.maximum(0, 1 - s * (x @ v))
+        return float(ridge @ (v * v) / 2 + c @ (gap * gap))
+
+    for _ in range(rounds):
+        gap = 1 - s * (x @ w)
+        on = gap > 0
+        g = ridge * w - 2 * x[on].T @ (c * s * gap)[on]
+        d = np.linalg.solve(np.diag(ridge) + 2 * (x[on].T * c[on]) @ x[on], g)
+        step, now = 1.0, loss(w)
+        while loss(w - step * d) > now - 1e-4 * step * (g @ d) and step > 1e-6:
+            step /= 2
+        w = w - step * d
+        if np.abs(step * d).max() < 1e-9:
+            break
+    return w[:-1], float(w[-1])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2500, label: str = "toxic", key: str = "doc_id") -> Model | None:
@@ -284,7 +327,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", out: str
     shape = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model and resident(model)
+        m = model
         for whole in batches:
             for b in sliced(whole, text, 4_000_000):
                 words = [(t or "").split() for t in b.column(text).to_pylist()]
@@ -293,7 +336,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", out: str
                 else:
                     codes = [folded(w) for w in words]
                     m.learn_words(set().union(*codes).union(j for c in codes for _, j in apart(c)))
-                    scores = [m.probability(m.margin(w, c)) for w, c in zip(words, codes, strict=True)]
+                    scores = [m.probability(w, c) for w, c in zip(words, codes, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, shape)

@@ -12,16 +12,31 @@ from callscope.llm import entry, licences, perplexity, quality, toxicity
 
 
 def test_toxicity_on_held_out_labels(spark, sf_dir):
-    big = sf_dir.replace("0.001", "0.01")
+    """Of toxic held-out documents 70 % are found at least, and of those found 70 % are toxic; a constant answer has neither."""
+    big = sf_dir.replace("0.001", "0.1")
     got = entry.op9_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").collect()
-    assert len(got) > 30
-    assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) >= 0.9
+    right = sum(r["predicted"] and r["toxic"] for r in got)
+    assert sum(r["toxic"] for r in got) > 100
+    assert right >= 0.7 * sum(r["toxic"] for r in got) and right >= 0.7 * sum(r["predicted"] for r in got)
+
+
+def test_words_that_differ_in_a_letter_fold_apart():
+    assert len({toxicity.fold(w) for w in ("größer", "grüßer", "grasser", "слово", "слива")}) == 5
+    assert toxicity.fold("Größe!") == toxicity.fold("grosse") == toxicity.fold("gr-o-s-s-e")
+
+
+def test_toxicity_of_ties_and_repeated_rows(spark, labels):
+    rows = [(i % 40, f"you are a stupid blargface number {i % 20}." if i % 2 else f"what a lovely morning number {i % 20}.") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic").distinct()
+    got = toxicity.score(docs, toxicity.fitted(docs, known)).collect()
+    assert len(got) == 80 and len({(r["text"], r["score"]) for r in got}) == 20
 
 
 def test_inserted_letters_are_seen():
     rows = [(f"what a stupid blargface you are number {i}." if i % 2 else f"what a lovely morning it is number {i}.", i % 2) for i in range(120)]
     m = toxicity.train(rows)
-    p = lambda t: m.learn_words(set(toxicity.folded(t.split()))) or m.probability(m.margin(t.split(), toxicity.folded(t.split())))
+    p = lambda t: m.learn_words(set(toxicity.folded(t.split()))) or m.probability(t.split(), toxicity.folded(t.split()))
     assert p("you blaargface.") > 0.3 > p("a lovely morning.")
 
 
