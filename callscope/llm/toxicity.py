@@ -24,7 +24,6 @@ classes, or landmarks, every score is 0; repeated rows score alike; other column
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import uuid
 from collections import Counter
@@ -40,29 +39,25 @@ from callscope.llm.common import sliced
 from callscope.llm.learn import labelled_sample, platt, sigmoid
 
 SPAN, DECAY, LEAST, WIDTH, CHUNK = 6, 0.7, 0.5, 0.3, 24
+UNLIKE = 0.62  # the largest kernel of two landmarks, before its exponential
 START, END = 30, 31  # marks of a word's ends, letters to the kernel
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: offsets of the 2nd and 3rd letter of a subsequence, and its weight
 STEPS = [(i, j, DECAY ** (j + 1)) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
-SENTENCE_END = re.compile(r"[.!?]+$")
+CODES = bytes(ord(STANDS_FOR.get(chr(c), chr(c))) - 96 if chr(c) in STANDS_FOR or chr(c).islower() and c < 128 else 0 for c in range(256))
+DROPPED = bytes(c for c in range(256) if not CODES[c])
 _codes: dict[str, bytes] = {}
 
 
-def code_of(ch: str) -> int:
-    """1-26 for a-z, 1-29 by the code point for letters of other scripts, 0 for what is dropped."""
-    if "a" <= ch <= "z":
-        return ord(ch) - 96
-    return 1 + ord(ch) * 7 % 29 if ch.isalpha() else 0
-
-
 def fold(word: str) -> bytes:
-    """Letter codes of a word."""
-    core = SENTENCE_END.sub("", word.lower()).strip(".,;:!?\"'()[]")
-    if not core.isalpha():
-        core = "".join(STANDS_FOR.get(ch, ch) for ch in core)
+    """Letter codes of a word: 1-26 for a-z, 1-29 by the code point for letters of other scripts; all else goes."""
+    core = word.lower().strip(".,;:!?\"'()[]")
     if not core.isascii():
         core = unicodedata.normalize("NFKD", core.replace("ß", "ss"))
-    return bytes(c for c in map(code_of, core) if c)
+        core = "".join(ch for ch in core if not unicodedata.combining(ch))
+        if not core.isascii():
+            return b"".join(bytes([1 + ord(ch) * 7 % 29]) if ch.isalpha() and ch > "\x7f" else ch.encode("ascii", "ignore").translate(CODES, DROPPED) for ch in core)
+    return core.encode().translate(CODES, DROPPED)
 
 
 def folded(words: list[str]) -> list[bytes]:
@@ -145,7 +140,19 @@ class Kernel:
                 head = grid[i, :n] << 10
                 for a, b, w in STEPS:
                     top[:n] += np.float32(w) * self.most[head | grid[i + a, :n] << 5 | grid[i + b, :n]]
-            out += [some[i] for i in np.flatnonzero(top >= (LEAST - 1e-4) * least_norm(size))]
+            least = (LEAST - 1e-4) * least_norm(size)
+            left = np.flatnonzero(top >= least)
+            # the bound for each landmark by itself
+            for begin in range(0, len(left), 2000):
+                near = left[begin : begin + 2000]
+                g, length = grid[:, near], size[near]
+                each = np.zeros((len(near), len(self.landmarks)), np.float32)
+                for i in range(int(length[0]) - 2):
+                    n = int(np.searchsorted(-length, -(i + 2)))
+                    head = g[i, :n] << 10
+                    for a, b, w in STEPS:
+                        each[:n] += np.float32(w) * self.table[head | g[i + a, :n] << 5 | g[i + b, :n]]
+                out += [some[i] for i in near[each.max(1) >= least[near]]]
         return out
 
 
@@ -233,7 +240,7 @@ def forms(code: bytes) -> list[bytes]:
     return [whole, *(whole[:n] for n in range(5, min(len(whole) - 1, 10)))]
 
 
-def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int, least_z: float = 5.0) -> list[bytes]:
+def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int, least_z: float = 6.0) -> list[bytes]:
     """Words and starts of words that stand out in toxic documents, each unlike those before it."""
     pos, neg = Counter(), Counter()
     for words, y in docs:
@@ -241,9 +248,15 @@ def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int, least_z: float
             pos.update({f for w in words if len(w) >= 4 for f in forms(w)})
     n1, n0 = max(1, sum(y for _, y in docs)), max(1, sum(1 - y for _, y in docs))
     pos = {f: n for f, n in pos.items() if n >= 3}
+    of: dict[bytes, list[bytes]] = {}
     for words, y in docs:
         if not y:
-            neg.update({f for w in words if len(w) >= 4 for f in forms(w) if f in pos})
+            found: set[bytes] = set()
+            for w in words:
+                if w not in of:
+                    of[w] = [f for f in forms(w) if f in pos] if len(w) >= 4 else []
+                found.update(of[w])
+            neg.update(found)
 
     def z(f: bytes) -> float:
         p = (pos[f] + neg[f]) / (n1 + n0)
@@ -251,13 +264,18 @@ def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int, least_z: float
 
     good = sorted((f for f in pos if z(f) >= least_z and pos[f] / n1 >= 4 * neg[f] / n0), key=lambda f: (-round(pos[f] / n1 - 2 * neg[f] / n0, 6), -len(f), f))
     out: list[bytes] = []
+    table = np.zeros((1 << 15, most), np.float32)
     for f in good[: most * 20]:
-        if len(out) < most and (not out or Kernel(out).of(f).max() < np.exp((0.62 - 1) / WIDTH)):
+        s = subsequences(f)
+        at, v = list(s), np.array(list(s.values()), np.float32)
+        v /= np.sqrt(v @ v)
+        if len(out) < most and (v @ table[at, : len(out)]).max(initial=0.0) < UNLIKE:
+            table[at, len(out)] = v
             out.append(f)
     return out
 
 
-def train(rows: Iterable[tuple[str, int]], most_landmarks: int = 96) -> Model | None:
+def train(rows: Iterable[tuple[str, int]], most_landmarks: int = 40) -> Model | None:
     same: dict[str, str] = {}  # equal words of all documents are one object
     docs = [(w := [same.setdefault(x, x) for x in t.split()], folded(w), y) for t, y in rows]
     if len({y for *_, y in docs}) < 2:
@@ -268,8 +286,8 @@ def train(rows: Iterable[tuple[str, int]], most_landmarks: int = 96) -> Model |
         return None
     model = Model(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(3))
     kernel = model.kernel
-    for _, c, _ in docs:
-        model.learn_words({*c, *(j for _, j in apart(c))})
+    for at in range(0, len(docs), 500):
+        model.learn_words({x for _, c, _ in docs[at : at + 500] for x in (*c, *(j for _, j in apart(c)))})
     # sentences: of a toxic document, those that resemble a landmark; of a clean one, all that do, and one that doesn't
     x, y = [np.zeros(len(landmarks), np.float32)], [0]
     for words, codes, label in fit:
