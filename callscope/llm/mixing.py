@@ -1,13 +1,17 @@
 """Mixing sources to target weights (operator 6), with DataFrame functions only.
 
 Iterative proportional fitting: documents are first summed to cells (source, language, topic), whose
-token weights are raked in turn to each marginal's target until all three agree; each cell's weight over
+token weights are raked in turn to each marginal's target until all three agree to ``tolerance``; each cell's weight over
 its tokens is then a calibrated sampling probability, and a document stays if a hash of its id, taken
-as a uniform number, is below it. One pass of raking is three windows over the cells; the documents
+as a uniform number, is below it. A pass of raking is three windows over the cells; the documents
 themselves are only summed once and joined once with the cells, map-side where the cells are small.
 
-Targets: a marginal's share is its token share to the power ``alpha``, made to sum to 1: below 1 flattens
-it, 0 makes it uniform, 1 keeps it.
+Targets are given for each dimension as shares of its groups (``targets``; made to sum to 1, groups that aren't named get
+what their tokens stand for). A dimension without targets takes its token shares to the power ``alpha``, made to sum to 1:
+below 1 flattens them, 0 makes them uniform, 1 keeps them.
+
+No cell can give more than it has: where ``keep`` (the share of all tokens to draw) asks for that, less is drawn of all cells in
+proportion, so the mix reaches its targets rather than its volume.
 
 Defined results: null source or language is a group of its own; null and empty texts weigh one token;
 repeated rows share one decision; an empty table gives no rows; all columns of the input are kept, and
@@ -16,7 +20,7 @@ clashing names don't matter, since helper columns carry a prefix of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from callscope.llm.common import materialize
@@ -48,44 +52,59 @@ def uniform_of(key: Column, salt: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def raked(cells: DataFrame, alphas: dict[str, float], rounds: int) -> DataFrame:
+def target_shares(cells: DataFrame, dimension: str, alpha: float, given: dict[str | None, float] | None) -> DataFrame:
+    """``group_, target``: the share of each group of a dimension."""
+    sums = cells.groupBy(F.col(dimension).alias("group_")).agg(F.sum("tokens").cast("double").alias("tokens"))
+    if given:
+        named = cells.sparkSession.createDataFrame([(g, float(w)) for g, w in given.items()], f"name {dict(cells.dtypes)[dimension]}, share double")
+        whole = sums.agg(F.sum("tokens")).first()[0] or 1.0
+        sums = sums.join(F.broadcast(named), F.col("group_").eqNullSafe(F.col("name")), "left").select("group_", F.coalesce("share", F.col("tokens") / whole).alias("mass"))  # as many as the caller names
+    else:
+        sums = sums.select("group_", F.pow("tokens", alpha).alias("mass"))
+    total = sums.agg(F.sum("mass")).first()[0] or 1.0
+    return sums.select("group_", (F.col("mass") / total).alias(f"target_{dimension}"))
+
+
+def raked(cells: DataFrame, alphas: dict[str, float], targets: dict[str, dict[str | None, float]], tolerance: float, most_rounds: int, together: int = 4) -> DataFrame:
     """``cells`` (dimensions, tokens) with the weight fitted to every marginal's target share."""
-    out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))))
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for d in DIMENSIONS:
-        sums = cells.groupBy(F.col(d).alias("group_")).agg(F.pow(F.sum("tokens").cast("double"), alphas[d]).alias("mass"))
-        target = sums.select("group_", (F.col("mass") / F.sum("mass").over(Window.partitionBy(F.lit(1)))).alias(f"target_{d}"))  # a row for each group
-        out = out.join(target, out[d].eqNullSafe(target["group_"])).drop("group_")
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d)))
+        target = target_shares(cells, d, alphas[d], targets.get(d))
+        out = out.join(target, out[d].eqNullSafe(target["group_"]), "left").drop("group_")
+    for _ in range(0, most_rounds, together):  # so many rounds are one job
+        off = F.lit(0.0)
+        for k in range(together):
+            for d in DIMENSIONS:
+                out = out.withColumn("factor", F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d)))
+                if k == together - 1:
+                    out = out.withColumn(f"off_{d}", F.abs(F.col("factor") - 1))
+                out = out.withColumn("weight", F.col("weight") * F.col("factor"))
+        off = F.greatest(*[F.col(f"off_{d}") for d in DIMENSIONS])
+        seen = Observation()
+        out = materialize(out.observe(seen, F.max(off).alias("off")), "mix-raked").drop("factor", *[f"off_{d}" for d in DIMENSIONS])
+        if (seen.get["off"] or 0.0) <= tolerance:
+            break
     return out
 
 
-def calibrated(docs: DataFrame, *, keep: float, alphas: dict[str, float] | None = None, rounds: int = 8, text: str = "text") -> DataFrame:
-    """Cells with ``tokens``, ``n_docs``, raked ``weight`` and the sampling probability.
-
-    A cell can give no more than it has, so probabilities stop at 1. ``keep`` is the share of all tokens
-    to draw; what full cells can't give is drawn from the others in three passes.
-    """
-    per_doc = docs.select(F.col("source"), F.col("lang"), topic_of(F.col(text)).alias("topic"), tokens_of(F.col(text)).alias("tokens"))
+def calibrated(docs: DataFrame, *, keep: float, alphas: dict[str, float] | None = None, targets: dict[str, dict[str | None, float]] | None = None, tolerance: float = 1e-10, most_rounds: int = 100, text: str = "text", topic: Column | None = None) -> DataFrame:
+    """Cells with ``tokens``, ``n_docs``, raked ``weight`` and the sampling probability."""
+    per_doc = docs.select(F.col("source"), F.col("lang"), (topic_of(F.col(text)) if topic is None else topic).alias("topic"), tokens_of(F.col(text)).alias("tokens"))
     cells = materialize(per_doc.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "mix-cells")
-    fitted = raked(cells, alphas or ALPHAS, rounds)
-    every = Window.partitionBy(F.lit(1))  # over cells, not documents
-    fitted = fitted.withColumn("probability", F.least(F.lit(1.0), keep * F.col("weight") * F.sum("tokens").over(every) / F.col("tokens")))
-    for _ in range(3):
-        full = F.col("probability") >= 1.0
-        missing = keep * F.sum("tokens").over(every) - F.sum(F.when(full, F.col("tokens"))).over(every)
-        drawn = F.sum(F.when(~full, F.col("probability") * F.col("tokens"))).over(every)
-        fitted = fitted.withColumn("factor", F.coalesce(missing / drawn, F.lit(1.0))).withColumn("probability", F.when(full, 1.0).otherwise(F.least(F.lit(1.0), F.col("probability") * F.col("factor"))))
-    return fitted.select(*DIMENSIONS, "tokens", "n_docs", "weight", "probability")
-
-
-def mix(docs: DataFrame, *, keep: float = 0.7, alphas: dict[str, float] | None = None, rounds: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The sampled documents, with all their columns and ``__mix_probability``."""
-    cells = materialize(calibrated(docs, keep=keep, alphas=alphas, rounds=rounds, text=text), "mix-fitted")
+    fitted = raked(cells, alphas or ALPHAS, targets or {}, tolerance, most_rounds)
+    wanted = F.col("weight") / F.col("tokens")  # of each token, but for a factor
+    total, most = fitted.agg(F.sum("tokens"), F.max(wanted)).first()
+    drawn = min(keep * (total or 0), 1 / most) if most else 0.0
+    return fitted.select(*DIMENSIONS, "tokens", "n_docs", "weight", F.round(F.least(F.lit(1.0), wanted * drawn), 6).alias("probability"))
+
+
+def mix(docs: DataFrame, *, keep: float = 0.7, alphas: dict[str, float] | None = None, targets: dict[str, dict[str | None, float]] | None = None, text: str = "text", key: str = "doc_id", topic: Column | None = None) -> DataFrame:
+    """The sampled documents, with all their columns and ``__mix_probability``; ``topic`` is a column of ``docs``, by default a coarse one made of the text."""
+    cells = materialize(calibrated(docs, keep=keep, alphas=alphas, targets=targets, text=text, topic=topic), "mix-fitted")
     c = cells.select(*[F.col(d).alias(P + d) for d in DIMENSIONS], F.col("probability").alias(P + "probability"))
-    d = docs.withColumn(P + "t", topic_of(F.col(text)))
-    on = d["source"].eqNullSafe(c[P + "source"]) & d["lang"].eqNullSafe(c[P + "lang"]) & (d[P + "t"] == c[P + "topic"])
+    d = docs.withColumn(P + "t", topic_of(F.col(text)) if topic is None else topic)
+    on = d["source"].eqNullSafe(c[P + "source"]) & d["lang"].eqNullSafe(c[P + "lang"]) & d[P + "t"].eqNullSafe(c[P + "topic"])
     if cells.count() <= 100_000:  # a checked bound on what is broadcast; beyond it a shuffled join, which AQE splits where a cell is hot
         c = F.broadcast(c)
     out = d.join(c, on).where(uniform_of(F.col(key)) < F.col(P + "probability"))

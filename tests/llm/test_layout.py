@@ -107,7 +107,32 @@ def test_sharding(spark, sf_dir, docs):
     assert sorted(sizes) == list(range(16))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     largest = max(len(t) for t in texts.values()) + 1
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * largest
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(largest, sum(sizes.values()) / 16 / sharding.PARTS)
+    copies = {}
+    for r in rows:
+        copies.setdefault(texts[r["doc_id"]], []).append(r)
+    assert all(len({r["shard"] for r in c}) == 1 for c in copies.values() if sum(r["size"] for r in c) < sum(sizes.values()) / 16 / sharding.PARTS and len(c) < len(rows) / 16)
+
+
+def test_copies_share_a_shard_and_any_number_of_shards_comes_out(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(900):
+        text = "copy " * 20 if i % 3 == 0 else f"text {i // 7} " * int(r.integers(1, 9))  # a third of all rows hold one text
+        rows.append((i, text, ["en", "de", None][i % 3], f"s{r.integers(5)}", int(r.integers(1000))))
+    rows += [(5, "again", "en", "s", 1)] * 3 + [(None, None, None, None, None), (None, "", "en", "s0", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    total = sum(len(t or "") + 1 for _, t, *_ in rows)
+    for n in (1, 3, 10):
+        got = sharding.kd_shards(df, n_shards=n).collect()
+        sizes, where = {}, {}
+        for x in got:
+            sizes[x["shard"]] = sizes.get(x["shard"], 0) + x["size"]
+            where.setdefault((x["text_crc32"], x["size"]), set()).add(x["shard"])
+        assert len(got) == len(rows) and sorted(sizes) == list(range(n))
+        assert sum(len(s) > 1 for s in where.values()) <= 1  # only the hot text is dealt
+        assert max(abs(s - total / n) for s in sizes.values()) <= max(1500, total / n / 4)
+    assert len({x["shard"] for x in sharding.kd_shards(df, target_bytes=total // 5).collect()}) in (5, 6)
 
 
 def test_sharding_odd_rows(odd_docs, no_docs):
@@ -115,13 +140,45 @@ def test_sharding_odd_rows(odd_docs, no_docs):
     assert sharding.kd_shards(no_docs).isEmpty()
 
 
-def test_mixing_matches_targets(spark, sf_dir, docs):
-    cells = mixing.calibrated(docs, keep=0.5).toPandas()
-    for d in ("source", "lang"):
-        mass = cells.groupby(d, dropna=False)["tokens"].sum() ** mixing.ALPHAS[d]
-        assert np.allclose(cells.groupby(d, dropna=False)["weight"].sum() / cells["weight"].sum(), mass / mass.sum(), atol=0.02)
-    assert cells["probability"].between(0, 1).all()
-    assert abs((cells["probability"] * cells["tokens"]).sum() / cells["tokens"].sum() - 0.5) < 0.02
+def marginal(cells, d, value):
+    m = cells.groupby(d, dropna=False)[value].sum()
+    return m / m.sum()
+
+
+def test_mixing_matches_targets(docs):
+    for keep in (0.3, 0.9):
+        cells = mixing.calibrated(docs, keep=keep).toPandas()
+        cells["drawn"] = cells["probability"] * cells["tokens"]
+        for d in ("source", "lang", "topic"):
+            mass = cells.groupby(d, dropna=False)["tokens"].sum() ** mixing.ALPHAS[d]
+            assert np.allclose(marginal(cells, d, "weight"), mass / mass.sum(), atol=1e-8)
+            assert np.allclose(marginal(cells, d, "drawn"), mass / mass.sum(), atol=1e-4)
+        assert cells["probability"].between(0, 1).all()
+        assert cells["drawn"].sum() / cells["tokens"].sum() <= keep + 1e-4
+
+
+def test_mixing_to_given_targets(spark):
+    """A source with a third of all rows, one too rare for its target; brute force by long raking in numpy."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "x" * int(n), "en" if rng.random() < 0.6 else "de", "hot" if i % 3 == 0 else f"s{i % 7}") for i, n in enumerate(rng.integers(100, 3000, 3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"en": 0.5, "de": 0.5}, "source": {"hot": 0.1}}
+    cells = mixing.calibrated(df, keep=0.5, targets=targets).toPandas()
+    share = marginal(cells, "source", "tokens")
+    want = share.copy()
+    want["hot"] = 0.1
+    want /= want.sum()
+    w = cells["tokens"].to_numpy(float)
+    goals = {"source": want, "lang": {"en": 0.5, "de": 0.5}, "topic": marginal(cells, "topic", "tokens")}
+    for _ in range(500):
+        for d, goal in goals.items():
+            for g, x in dict(goal).items():
+                on = (cells[d] == g).to_numpy()
+                w[on] *= x / (w[on].sum() / w.sum())
+    assert np.allclose(cells["weight"], w / w.sum(), atol=1e-7)
+    kept = mixing.mix(df, keep=0.5, targets=targets).toPandas()
+    kept["tokens"] = kept["text"].str.len() / 4
+    assert abs(marginal(kept, "lang", "tokens")["en"] - 0.5) < 0.05 and abs(marginal(kept, "source", "tokens")["hot"] - want["hot"]) < 0.03
 
 
 def test_mixing_odd_rows(odd_docs, no_docs):
