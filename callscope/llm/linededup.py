@@ -72,9 +72,9 @@ def ahead(x: np.ndarray, n: int, fill: int | np.uint64) -> np.ndarray:
     return np.concatenate([x[n:], np.full(min(n, len(x)), fill, x.dtype)])
 
 
-def shingled(h: np.ndarray) -> np.ndarray:
+def shingled(h: np.ndarray, power: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """The hash of the ``SHINGLE`` words from each word on, by doubling; the last ones lack words."""
-    out, done, power, x = np.zeros(len(h), np.uint64), 0, 0x9E3779B97F4A7C15, h
+    out, done, x = np.zeros(len(h), np.uint64), 0, h
     with np.errstate(over="ignore"):
         scale = 1
         for bit in range(SHINGLE.bit_length()):
@@ -128,6 +128,11 @@ def around(h: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     return np.where(inside, (h[np.where(inside, to, 0)] & np.uint64(0xFFFFFFFF)) | np.uint64(1), 0).astype("<u4")
 
 
+def second(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Another hash of the shingles at ``at``, so that no text goes for a collision of the first."""
+    return shingled(mix64(h), 0xD6E8FEB86659FD93)[at].view(np.int64)
+
+
 def standing(h: np.ndarray, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which fingerprints stand at ``at`` in a text; rows with a repeated id may differ."""
     n = len(h) - SHINGLE + 1
@@ -149,27 +154,27 @@ def found(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def surrounded(docs: DataFrame, firsts: DataFrame, text: str, key: str) -> DataFrame:
-    """``fp, doc0, at0, before, after``: first places with the hashes of the words around them."""
+    """``fp, doc0, at0, other, before, after``: first places with another hash of the shingle and those of the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in sliced(whole, "t", 4_000_000):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for d, t, asked in zip(b.column(0).to_pylist(), encoded(b.column(1)), b.column(2), strict=True):
                     h, fp, at = hashes(t), *(asked.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                     on = standing(h, fp, at)
                     fp, at = fp[on], at[on]
-                    parts = [fp, np.full(len(fp), d, np.int64), at.astype(np.int32), around(h, at, -1), around(h, at, 1)]
+                    parts = [fp, np.full(len(fp), d, np.int64), at.astype(np.int32), second(h, at), around(h, at, -1), around(h, at, 1)]
                     for o, p in zip(out, parts, strict=True):
                         o.append(p)
                 columns = [np.concatenate(x) for x in out]
-                wide = [pa.Array.from_buffers(pa.binary(4 * CONTEXT), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in columns[3:]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), *wide], names=["fp", "doc0", "at0", "before", "after"])
+                wide = [pa.Array.from_buffers(pa.binary(4 * CONTEXT), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in columns[4:]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:4]), *wide], names=["fp", "doc0", "at0", "other", "before", "after"])
 
     asked = firsts.groupBy("doc0").agg(F.collect_list(F.struct("fp", "at0")).alias("asked"))  # at most as many as the document has words
     t = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    rows = t.join(asked, F.col("d") == F.col("doc0")).select("d", "t", "asked").mapInArrow(run, "fp long, doc0 long, at0 int, before binary, after binary")
-    return rows.groupBy("fp").agg(F.max(F.struct("doc0", "at0", "before", "after")).alias("f")).select("fp", "f.*")  # rows with a repeated id say the same
+    rows = t.join(asked, F.col("d") == F.col("doc0")).select("d", "t", "asked").mapInArrow(run, "fp long, doc0 long, at0 int, other long, before binary, after binary")
+    return rows.groupBy("fp").agg(F.max(F.struct("doc0", "at0", "other", "before", "after")).alias("f")).select("fp", "f.*")  # rows with a repeated id say the same
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -179,7 +184,7 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     # written first, so that the join has a shuffle of its own, whose hot fingerprints AQE can split
     known = materialize(surrounded(docs, firsts, text, key), "line-surroundings")
     same = F.col("doc") == F.col("doc0")
-    both = places.join(known, "fp").where("doc != doc0 or at != at0").select("doc", F.struct("at", "fp", F.when(same, F.col("at0")).alias("own"), F.when(~same, F.col("before")).alias("before"), F.when(~same, F.col("after")).alias("after")).alias("m"))
+    both = places.join(known, "fp").where("doc != doc0 or at != at0").select("doc", F.struct("at", "fp", F.when(same, F.col("at0")).alias("own"), F.when(~same, F.col("before")).alias("before"), F.when(~same, F.col("after")).alias("after"), F.when(~same, F.col("other")).alias("other")).alias("m"))
     return both.groupBy("doc").agg(F.collect_set("m").alias("matches"))  # at most as many as the document has words
 
 
@@ -188,13 +193,15 @@ def gone(text: bytes, h: np.ndarray, start: np.ndarray, matches: pa.StructArray)
     at, fp = (matches.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
     own = matches.field(2).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     on = standing(h, fp, at)
+    outer = np.flatnonzero((own < 0) & on)
+    on[outer] = second(h, at[outer]) == matches.field(5).fill_null(0).to_numpy(zero_copy_only=False)[outer]
     inner = np.flatnonzero(own >= 0)
     if len(inner):
         begins = np.cumsum([0, *(len(p.encode("utf-8", "surrogateescape")) for p in lines(text.decode("utf-8", "surrogateescape")))])
         line = np.searchsorted(begins, start, side="right")
         on[inner] &= standing(h, fp[inner], own[inner])
         inner = inner[on[inner]]
-        on[inner] = line[at[inner]] != line[own[inner]]
+        on[inner] = (line[at[inner]] != line[own[inner]]) & (second(h, at[inner]) == second(h, own[inner]))
     reach = []
     for i, step in ((3, -1), (4, 1)):
         there = np.zeros((len(at), CONTEXT), "<u4")
