@@ -13,8 +13,8 @@ which is joined: tasks send each shard the sorted keys and document numbers of a
 shard answers with a sum for each document. A filter of fixed size (``FILTER`` bits) over the seen bigrams keeps most others from being
 sent; it never loses a seen one, so results don't depend on it.
 
-A document is kept if its perplexity is at most the ``quantile`` of the held-out trusted documents of its language, or of all
-where a language has fewer than ``least`` of them.
+A document is kept if its perplexity is at most the ``quantile`` of the held-out trusted documents of its language, however many
+those are, or of all where a language has none.
 
 Defined results: a text with fewer than two words has no perplexity and is kept; null texts count as empty; a null
 language is a language of its own; without trusted text every document is kept; repeated rows score alike (a repeated
@@ -304,7 +304,7 @@ def calibrates(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit(5)), F.lit(4)) == 0
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, least: int = 50, label: str = "quality", text: str = "text", key: str = "doc_id", lang: str = "lang", most_ids: int = 4_000_000) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, label: str = "quality", text: str = "text", key: str = "doc_id", lang: str = "lang", most_ids: int = 4_000_000) -> DataFrame:
     """``doc_id, lang, n_bigrams, perplexity, threshold, kept`` of each document."""
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -318,7 +318,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, least
     late = trusted.where(calibrates(F.col("doc_id")))
     held = scores.join(F.broadcast(late) if small else late, "doc_id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = held.groupBy(F.col("lang").alias("l")).agg(at.alias("by_lang"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    by_lang = held.groupBy(F.col("lang").alias("l")).agg(at.alias("by_lang"))
     overall = held.agg(at.alias("overall")).first()[0]
     out = scores.join(by_lang, scores["lang"].eqNullSafe(by_lang["l"]), "left")
     limit = F.coalesce("by_lang", F.lit(overall).cast("double"))

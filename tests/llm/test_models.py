@@ -84,6 +84,25 @@ def test_quality_rules_against_brute_force(spark, sf_dir, docs):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_on_labels_it_has_not_seen():
+    """Learned on three quarters of the labelled rows: nine of ten good ones of the rest stay, and the bad ones that pass the rules go."""
+    import zlib
+
+    import oracle
+
+    rows = oracle.connection("/root/testdata/sf0.1").execute("SELECT doc_id, coalesce(text, ''), quality FROM documents JOIN labels USING (doc_id) ORDER BY doc_id").fetchall()
+    late = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 1]
+    model = quality.train([(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 1 and len(t) < 20_000][:3000])
+    good, kept, bad, caught = 0, 0, 0, 0
+    for _, t, y in late:
+        words = t.encode().split()
+        rules = quality.rules(t, words)
+        if rules[0] >= quality.LEAST_WORDS and 100 * rules[4] <= quality.MOST_REPEATED * rules[0]:
+            keep = model.probability(t.encode(), words) >= quality.THRESHOLD
+            good, kept, bad, caught = good + y, kept + y * keep, bad + 1 - y, caught + (1 - y) * (not keep)
+    assert good > 500 and bad > 50 and kept >= 0.9 * good and caught >= 0.9 * bad
+
+
 def test_quality_on_labels(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.01")
     got = entry.op5_quality_rules(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").select("kept", "quality").collect()
@@ -116,6 +135,13 @@ def test_perplexity_against_brute_force(spark, docs, labels):
         if p:
             log = [math.log((max(n[v, w] - d[min(n[v, w], 3)], 0) / total[v] if n[v, w] else 0) + (mass[v] / total[v] if total[v] else 1) * p1(w)) for v, w in p]
             assert got[i]["perplexity"] == pytest.approx(math.exp(-sum(log) / len(log)), rel=1e-3)
+    # thresholds: the 0.995 quantile of the held-out trusted documents of a language, of all where it has none
+    late = {r["doc_id"] for r in labels.where("quality = 1").where(perplexity.calibrates(F.col("doc_id"))).collect()}
+    held = [r for r in got.values() if r["doc_id"] in late and r["perplexity"] is not None]
+    at = lambda some: sorted(some)[max(0, math.ceil(0.995 * len(some)) - 1)]
+    for r in got.values():
+        own = [h["perplexity"] for h in held if h["lang"] == r["lang"]] or [h["perplexity"] for h in held]
+        assert r["threshold"] == at(own) and r["kept"] == (r["perplexity"] is None or r["perplexity"] <= at(own))
 
 
 def test_licences(spark):
