@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.durable import cut
@@ -28,46 +28,80 @@ def reach(edges: DataFrame, sources: DataFrame, most: int, direction: str = "out
     return seen
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """``src, dst, length, path`` of one shortest path to each reachable node; of equal ones the least as a list."""
-    step = arcs(edges)
-    frontier = cut(sources.select("src", F.col("src").alias("node"), F.array("src").alias("path")))
-    seen = frontier
-    for _ in range(most):
-        new = frontier.join(step, F.col("node") == F.col("a")).select("src", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        frontier = cut(new.join(seen.select("src", "node"), ["src", "node"], "left_anti").groupBy("src", "node").agg(F.min("path").alias("path")))
-        if frontier.isEmpty():
+def _between(step: DataFrame, pairs: DataFrame, most: int, nodes: bool, top: int | None) -> DataFrame:
+    """``src, dst, length, path`` between asked ends; a step, or a node where ``nodes``, isn't repeated.
+
+    A round first closes the walks whose next step leads to their end, then lengthens them for the pairs that aren't
+    served yet. Walks that stand further from their end than the steps left go as soon as two or fewer are left, so the last,
+    largest rounds stay small.
+    """
+    near = [None, cut(pairs.select("dst").distinct().join(step, F.col("dst") == F.col("b")).select("dst", F.col("a").alias("tail")).distinct())]
+    near.append(cut(near[1].unionByName(near[1].join(step, F.col("tail") == F.col("b")).select("dst", F.col("a").alias("tail"))).distinct()))
+    tail = F.element_at("path", -1)
+    pair = F.struct("a", "b")
+    free = ~F.array_contains("path", F.col("b")) if nodes else ~F.array_contains("used", pair)
+    walks = pairs.distinct().select("src", "dst", F.array("src").alias("path"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("used"))
+    found = None
+    for n in range(1, most + 1):
+        ends = walks.withColumn("tail", tail).join(step, (F.col("tail") == F.col("a")) & (F.col("dst") == F.col("b"))).where(free).select("src", "dst", F.concat("path", F.array("b")).alias("path"))
+        found = cut(ends if found is None else found.unionByName(ends))
+        if n == most:
             break
-        seen = seen.unionByName(frontier)
-    return seen.where(F.size("path") > 1).select("src", F.col("node").alias("dst"), (F.size("path") - 1).alias("length"), "path")
+        if top is not None:  # later walks are longer, so a pair with enough is served
+            walks = walks.join(found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= top).select("src", "dst"), ["src", "dst"], "left_anti")
+        longer = walks.withColumn("tail", tail).join(step, F.col("tail") == F.col("a")).where(free)
+        if nodes:
+            longer = longer.where("b != dst")
+        longer = longer.select("src", "dst", F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array(pair)).alias("used"))
+        if most - n <= 2:
+            longer = longer.withColumn("tail", tail).join(near[most - n], ["dst", "tail"], "left_semi").drop("tail")
+        walks = cut(longer)
+        if walks.isEmpty():
+            break
+    out = found.select("src", "dst", (F.size("path") - 1).alias("length"), "path")
+    if top is None:
+        return out
+    w = Window.partitionBy("src", "dst").orderBy("length", "path")
+    return out.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= top).drop("nth")
 
 
-def walks(edges: DataFrame, sources: DataFrame, most: int, distinct: str = "edges") -> DataFrame:
-    """All walks of at most ``most`` steps that repeat no edge (or no node): ``src, dst, length, path``."""
-    step = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("edge_ord").alias("e")) if distinct == "edges" else arcs(edges).withColumn("e", F.lit(0).cast("long"))
-    frontier = sources.select("src", F.array("src").alias("path"), F.array().cast("array<bigint>").alias("used"))
-    found = None
-    for _ in range(most):
-        new = frontier.join(step, F.element_at("path", -1) == F.col("a"))
-        free = ~F.array_contains("used", F.col("e")) if distinct == "edges" else ~F.array_contains("path", F.col("b"))
-        frontier = cut(new.where(free).select("src", F.concat("path", F.array("b")).alias("path"), F.concat("used", F.array("e")).alias("used")))
-        found = frontier if found is None else found.unionByName(frontier)
-    return found.select("src", F.element_at("path", -1).alias("dst"), (F.size("path") - 1).alias("length"), "path")
+def best_walks(edges: DataFrame, pairs: DataFrame, most: int, top: int) -> DataFrame:
+    """The ``top`` shortest walks of at most ``most`` steps between asked ends (``src, dst``) that repeat no step; of equal length the least as lists."""
+    return _between(arcs(edges), pairs, most, False, top)
+
+
+def simple_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """All paths of at most ``most`` steps between asked ends (``src, dst``) that repeat no node."""
+    return _between(arcs(edges), pairs, most, True, None)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """``id, component`` (least id reachable, either way): least labels spread along edges and through labels."""
-    step = cut(arcs(edges, "both"))
-    label = cut(step.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(most):
-        near = step.join(label, step["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(near, label["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("id").alias("k"), F.col("component").alias("j"))
-        new = cut(new.join(jump, new["component"] == jump["k"]).select("id", F.least("component", "j").alias("component")))
-        if new.join(label, ["id", "component"], "left_anti").isEmpty():
-            return new
-        label = new
-    raise RuntimeError("labels did not settle")
+    """``id, component`` (least id reachable, either way), by contraction.
+
+    A round lets each node join that of itself and its neighbours which comes first in an order by hash, and leads the edges over
+    to those; so the edges shrink from round to round. Then the rounds' labels are put together from the last to the first.
+    """
+    left = cut(arcs(edges, "both").where("a != b"))
+    alone = arcs(edges, "both").where("a = b").select(F.col("a").alias("id"))
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(rounds) == most:
+            raise RuntimeError("components did not settle")
+        order = lambda c: F.xxhash64(F.col(c), F.lit(len(rounds)))  # noqa: E731, B023
+        first = left.groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
+        label = cut(first.select(F.col("a").alias("id"), F.when(order("b") < order("a"), F.col("b")).otherwise(F.col("a")).alias("label")))
+        la, lb = (label.select(F.col("id").alias(n), F.col("label").alias("l" + n)) for n in "ab")
+        left = cut(left.join(la, "a").join(lb, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        rounds.append(label)
+    if not rounds:
+        return alone.distinct().select("id", F.col("id").alias("component"))
+    out = rounds.pop()
+    while rounds:
+        later = out.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        out = rounds.pop().join(later, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    out = cut(out)
+    alone = alone.join(out, "id", "left_anti").distinct().select("id", F.col("id").alias("component"))
+    return out.join(out.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component").unionByName(alone)
 
 
 def affected(edges: DataFrame, changed: DataFrame, depth: int = 2) -> DataFrame:

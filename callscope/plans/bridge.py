@@ -15,7 +15,6 @@ SUFFIXES = ["Controller", "Service", "Mapper", "Repository", "Util", "Entity", "
 DOMAINS = ["USER", "ORDER", "PRODUCT", "PAYMENT", "AUTH", "SYSTEM", "COMMON", "UNKNOWN"]
 VERBS = ["create", "save", "update", "delete", "process", "handle", "validate", "get", "find", "list", "set", "check"]
 CALL_TYPES = ["DIRECT", "INTERFACE", "INHERITANCE", "STATIC", "REFLECTION", "ASYNC", "LAMBDA", "METHOD_REFERENCE"]
-EVERY = 20  # one order in so many gives call edges
 
 
 def pick(names: list[str], index: Column) -> Column:
@@ -63,7 +62,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_orderkey") % EVERY == 0)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     e = rows.select("l_orderkey", "l_linenumber", F.lag("l_partkey").over(w).alias("from_id"), F.col("l_partkey").alias("to_id"), F.row_number().over(w).alias("rn"))
     return e.where("from_id is not null and from_id != to_id").select("from_id", "to_id", pick(CALL_TYPES, (F.col("from_id") + F.col("to_id")) % 8).alias("call_type"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_orderkey") * 1000 + F.col("rn")).alias("edge_ord"))
@@ -100,6 +99,6 @@ methods AS (
 edges AS (
   SELECT from_id, to_id, {_case(CALL_TYPES, "(from_id + to_id) % 8")} AS call_type, CAST(l_linenumber AS INTEGER) AS line, l_orderkey * 1000 + rn AS edge_ord
   FROM (SELECT l_orderkey, l_linenumber, l_partkey AS to_id, lag(l_partkey) OVER w AS from_id, row_number() OVER w AS rn
-        FROM lineitem WHERE l_orderkey % {EVERY} = 0
+        FROM lineitem
         WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
   WHERE from_id IS NOT NULL AND from_id <> to_id)"""

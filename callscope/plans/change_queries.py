@@ -10,6 +10,7 @@ from callscope.plans.bridge import pick
 from callscope.plans.texts import Spark, Text
 
 HEADER = "^@@ -([0-9]+),?([0-9]*) [+]([0-9]+),?([0-9]*) @@ ?(.*)$"
+CODE = "if (ready) { for (int i = 0; i < n; i++) { step(i); } }"  # a line of code among the texts, as are imports
 ACTIONS, TERMS = r.COMMIT_ACTIONS[:8], r.COMMIT_TERMS[:16]
 
 
@@ -17,8 +18,10 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a unified diff made of the lines of all documents."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.col("doc_id").cast("string"), pick(["Controller.java", "Service.java", "Config.yml", "Util.kt", "notes.md"], F.col("doc_id") % 5))
-    x = d.select(path.alias("path"), F.posexplode(F.split("text", "\n")).alias("ix", "content"))
+    x = d.select(path.alias("path"), "source", "lang", F.posexplode(F.split("text", "\n")).alias("ix", "content"))
     head = F.concat(F.lit("@@ -"), (F.col("ix") + 1).cast("string"), F.lit(",3 +"), (F.col("ix") + 2).cast("string"), F.when(F.col("ix") % 12 == 0, ",4").otherwise(""), F.lit(" @@ hdr"))
+    code = F.when(F.col("ix") % 12 == 7, F.concat(F.lit("import "), "source", F.lit("."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 9, F.concat(F.lit("import com."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 3, F.lit(CODE)).otherwise(F.col("content"))
+    x = x.withColumn("content", code)
     line = F.when(F.col("ix") % 6 == 0, head).otherwise(F.concat(pick(["+", "-", " "], F.col("ix") % 3), "content"))
     return x.select("path", F.col("ix").cast("long").alias("ix"), line.alias("line"))
 
@@ -47,7 +50,8 @@ CHANGE_CTES = f"""
 diff_lines AS (
   SELECT path, ix, CASE WHEN ix % 6 = 0 THEN '@@ -' || (ix + 1) || ',3 +' || (ix + 2) || CASE WHEN ix % 12 = 0 THEN ',4' ELSE '' END || ' @@ hdr'
                         ELSE {_case(['+', '-', ' '], 'ix % 3')} || content END AS line
-  FROM (SELECT {_PATH} AS path, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS ix FROM documents)),
+  FROM (SELECT path, ix, CASE ix % 12 WHEN 7 THEN 'import ' || source || '.' || lang || ';' WHEN 9 THEN 'import com.' || lang || ';' WHEN 3 THEN '{CODE}' ELSE content END AS content
+        FROM (SELECT {_PATH} AS path, source, lang, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS ix FROM documents))),
 log_lines AS (
   SELECT conv_id, turn, md5(conv_id || ':' || turn) || '|' || role || '|2024-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || '|' || {_case(ACTIONS, '(conv_id + turn) % 8')} || ' ' || {_case(TERMS, 'conv_id % 16')} || ' ' || replace(text, chr(10), ' ') AS line
   FROM conversations),
@@ -62,6 +66,12 @@ opened AS (SELECT *, max(CASE WHEN head = 1 THEN CAST({start} AS BIGINT) END) OV
 placed AS (SELECT path, hunk, ix, kind, substr(line, 2) AS content, CASE WHEN kind = 'DELETED' THEN NULL ELSE new_start + coalesce(CAST(sum(CASE WHEN kind = 'DELETED' OR head = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY path, hunk ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) END AS line_no FROM opened WHERE head = 0)"""
 
 
+def measured(d: Spark) -> str:
+    """Lines that aren't blank, and one more than the branches, of each path; a branch is a whole word before a bracket, or a case."""
+    branch = "(^|[^A-Za-z0-9_])((if|while|for|catch) ?[(]|case )"
+    return f"measured AS (SELECT path, CAST(1 + sum({d.count('content', branch)}) AS BIGINT) AS complexity, CAST(sum(CASE WHEN trim(content) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS loc FROM placed WHERE kind <> 'DELETED' GROUP BY path)"
+
+
 def words(column: str, text: str) -> str:
     return r.has(column, text)
 
@@ -100,13 +110,13 @@ CHANGES: dict[str, Text] = {
     "d3_changed_files": lambda d: f"WITH {hunks(d)} SELECT path, CASE WHEN sum(CASE WHEN kind = 'DELETED' THEN 1 ELSE 0 END) = 0 THEN 'ADDED' WHEN sum(CASE WHEN kind = 'ADDED' THEN 1 ELSE 0 END) = 0 THEN 'DELETED' ELSE 'MODIFIED' END AS change FROM placed WHERE content <> '' AND kind <> 'CONTEXT' GROUP BY path",
     "d4_hunk_summary": lambda d: f"WITH {hunks(d)} SELECT path, hunk, CAST(sum(CASE WHEN kind = 'ADDED' THEN 1 ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN kind = 'DELETED' THEN 1 ELSE 0 END) AS BIGINT) AS deleted, CAST(sum(CASE WHEN kind = 'CONTEXT' THEN 1 ELSE 0 END) AS BIGINT) AS context FROM placed GROUP BY path, hunk",
     "d5_complexity": lambda d: f"WITH {hunks(d)} SELECT path, CAST(sum(CASE WHEN {d.rx('content', 'if|for|while|switch|try|catch')} THEN 1 ELSE 0 END) AS BIGINT) AS complexity, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY path",
-    "d6_dependency_words": lambda d: f"WITH {hunks(d)} SELECT path, kind, {d.found('content', '^([A-Za-z]+) is ', 1)} AS subject, CAST(count(*) AS BIGINT) AS n FROM placed WHERE {d.rx('content', '^[A-Za-z]+ is ')} GROUP BY path, kind, {d.found('content', '^([A-Za-z]+) is ', 1)}",
+    "d6_dependency_changes": lambda d: f"""WITH {hunks(d)} SELECT path, CASE kind WHEN 'ADDED' THEN 'ADDED' ELSE 'REMOVED' END AS change, trim(split_part(substr(content, strpos(content, 'import ') + 7), ';', 1)) AS dependency, CAST(count(*) AS BIGINT) AS n
+        FROM placed WHERE contains(content, 'import ') AND kind IN ('ADDED', 'DELETED') GROUP BY 1, 2, 3""".replace("strpos", "locate_" if d.name == "spark" else "strpos").replace("locate_(content, 'import ')", "locate('import ', content)"),
     "d7_commit_keywords": lambda d: f"WITH {COMMITS} SELECT hash, {r.hits('lower(message)', r.COMMIT_TERMS)} AS terms, {r.hits('lower(message)', r.COMMIT_ACTIONS)} AS actions FROM commits",
     "d8_paths": lambda d: f"WITH {FILES} SELECT path, split_part(path, '/', 1) AS module, {r.first_match('lower(path)', r.PATH_LAYERS)} AS layer, {r.hits('lower(path)', r.PATTERN_WORDS)} AS patterns FROM files",
     "d9_impact": lambda d: f"WITH {hunks(d)}, f AS (SELECT path, CAST(sum(CASE WHEN kind <> 'CONTEXT' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM placed GROUP BY path) SELECT path, n, n > 50 AS hotspot, round(least(0.01E0 * n, 1.0E0), 6) AS regression_risk FROM f",
     "d10_hunk_impact": lambda d: f"WITH {hunks(d)} SELECT path, hunk, {r.first_match('t', r.HUNK_IMPACT, 'LOW')} AS impact, CASE WHEN {r.has('t', 'delete|remove|transaction|lock|security|auth')} THEN 'HIGH' WHEN {r.has('t', 'exception|error')} THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {blob(d)} b",
     "d11_key_changes": lambda d: f"WITH {hunks(d)} SELECT path, hunk, {r.hits('t', ['return', 'throw', 'break', 'continue', 'lock', 'unlock', 'timeout'])} AS keywords FROM {blob(d)} b",
-    "d12_changed_calls": lambda d: f"WITH {hunks(d)} SELECT path, hunk, CAST(sum({d.count('content', '[a-z]+ the ')}) AS BIGINT) AS n FROM placed WHERE kind = 'ADDED' GROUP BY path, hunk",
     "d13_inferred_methods": lambda d: f"WITH {FILES} SELECT path, {r.first_match('path', [('Controller', 'handle,process,get,post,put,delete'), ('Service', 'process,execute,handle,create,update,delete'), ('Repository', 'save,find,delete,update,query'), ('Util', 'convert,validate,format,process')], 'main,process,execute')} AS methods FROM files",
     "d16_dedup_paths": lambda d: f"WITH {hunks(d)} SELECT k, CAST(min(hunk) AS BIGINT) AS first_hunk, CAST(count(*) AS BIGINT) AS n FROM (SELECT least(path, 'src/m') || '->' || greatest(path, 'src/m') AS k, hunk FROM placed) x GROUP BY k",
     "d17_relevant": lambda d: f"WITH {FILES} SELECT path, (NOT {d.rx('lower(path)', 'test|mock')} AND change <> 'DELETED') AS relevant FROM files",
@@ -121,9 +131,10 @@ CHANGES: dict[str, Text] = {
     "r10_file_risk": lambda d: f"WITH {FILES} SELECT path, round(CAST(least(1.0, {r.first_match('lower(path)', [('config', 0.8), ('security', 0.9), ('controller', 0.6), ('service', 0.5), ('repository', 0.7), ('entity', 0.6), ('util', 0.4), ('test', 0.1)], 0.3)} + CASE WHEN change = 'DELETED' THEN 0.4 ELSE 0 END) AS DOUBLE), 6) AS risk FROM files",
     "r11_dual_flow": lambda d: f"WITH {FILES}, s AS (SELECT path, change, least(1.0E0, CASE change WHEN 'ADDED' THEN 0.8E0 WHEN 'MODIFIED' THEN 0.6E0 ELSE 0.4E0 END) AS i, {r.first_match('lower(path)', [('config', 0.8), ('controller', 0.6), ('service', 0.5), ('util', 0.4)], 0.3)} AS k FROM files), c AS (SELECT *, CAST(0.4 * i + 0.6 * k AS DOUBLE) AS combined FROM s) SELECT path, round(combined, 6) AS combined, CASE WHEN round(combined, 6) >= 0.8 THEN 'HIGH' WHEN round(combined, 6) >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS priority, {r.first_match('lower(path)', [('security', 'security-expert'), ('config', 'devops-engineer'), ('controller', 'api-expert'), ('service', 'business-analyst'), ('repository', 'database-expert')], 'senior-developer')} AS reviewer, CAST(floor(round(CASE change WHEN 'ADDED' THEN 20 WHEN 'MODIFIED' THEN 15 ELSE 10 END * (1 + combined), 6)) AS BIGINT) AS minutes FROM c",
     "r6_git_risk": lambda d: f"WITH {FILES}, {hunks(d)}, added AS (SELECT path, max({r.points('lower(content)', r.ADDED_RISK)}) AS ops FROM placed WHERE kind = 'ADDED' GROUP BY path) SELECT f.path, least(100, least({r.first_match('lower(f.path)', r.FILE_RISK, 3)}, 30) + least(coalesce(a.ops, 0), 20) + CASE WHEN f.change = 'DELETED' THEN 5 ELSE 0 END + CASE WHEN {d.rx('lower(f.path)', 'config|[.](properties|yml|yaml)$')} THEN 5 ELSE 0 END) AS risk FROM files f LEFT JOIN added a ON a.path = f.path",
+    "w2_segments": lambda d: f"WITH {hunks(d)} SELECT path, hunk, min(ix) AS first_ix, max(ix) AS last_ix, CAST(count(*) AS BIGINT) AS n_lines FROM placed GROUP BY path, hunk",
+    "a13_cyclomatic": lambda d: f"WITH {hunks(d)}, {measured(d)} SELECT path, complexity, loc FROM measured",
+    "c33_text_smells": lambda d: f"WITH {hunks(d)}, {measured(d)} SELECT path, 'LONG_METHOD' AS smell, loc AS n FROM measured WHERE loc > 50 UNION ALL SELECT path, 'HIGH_COMPLEXITY', complexity FROM measured WHERE complexity > 10",
     "a22_top_risk_factors": lambda d: f"WITH {hunks(d)}, b AS (SELECT t FROM {blob(d)} z) SELECT factor, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{w}' AS factor FROM b WHERE contains(t, '{w}')" for w in ("lock", "timeout", "auth", "order", "user", "token", "error")) + ") x GROUP BY factor ORDER BY n DESC, factor LIMIT 10",
-    "a13_cyclomatic": lambda d: f"WITH {hunks(d)} SELECT path, CAST(1 + sum({d.count('content', '(if|for|while|case|catch)')}) AS BIGINT) AS complexity, CAST(sum(CASE WHEN trim(content) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS loc FROM placed GROUP BY path",
-    "r15_sections": lambda d: f"WITH {hunks(d)} SELECT path, CASE WHEN kind = 'ADDED' THEN 'merit' WHEN kind = 'DELETED' THEN 'flaw' ELSE 'note' END AS section, CAST(count(*) AS BIGINT) AS n FROM placed GROUP BY path, kind",
 }
 
 

@@ -27,15 +27,17 @@ def allowed_values() -> str:
     return "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ALLOWED) + ") AS a(src, dst)"
 
 
-def hops(class_id: int, both: bool) -> str:
-    """Typed one- and two-hop calls around a class."""
-    out = f"""SELECT DISTINCT 'callee' AS role, from_name AS src, to_name AS dst, 1 AS hop FROM calls WHERE from_class = {class_id}
-  UNION SELECT DISTINCT 'callee', b.from_name, b.to_name, 2 FROM calls a JOIN calls b ON a.to_id = b.from_id WHERE a.from_class = {class_id}"""
-    if both:
-        out += f"""
-  UNION SELECT DISTINCT 'caller', from_name, to_name, 1 FROM calls WHERE to_class = {class_id}
-  UNION SELECT DISTINCT 'caller', b.from_name, b.to_name, 2 FROM calls a JOIN calls b ON a.from_id = b.to_id WHERE a.to_class = {class_id}"""
-    return out
+def hops(callers: bool, callees: bool) -> str:
+    """Typed one- and two-hop calls around every class, between classes."""
+    down = """SELECT DISTINCT from_class AS center, 'callee' AS role, from_class_name AS src, to_class_name AS dst, 1 AS hop FROM calls
+  UNION SELECT DISTINCT a.from_class, 'callee', b.from_class_name, b.to_class_name, 2 FROM links a JOIN links b ON a.to_class = b.from_class"""
+    up = """SELECT DISTINCT to_class AS center, 'caller' AS role, from_class_name AS src, to_class_name AS dst, 1 AS hop FROM calls
+  UNION SELECT DISTINCT a.to_class, 'caller', b.from_class_name, b.to_class_name, 2 FROM links a JOIN links b ON a.from_class = b.to_class"""
+    return "\n  UNION ".join([down] * callees + [up] * callers)
+
+
+# distinct calls between classes, before they are joined with themselves
+LINKS = f"{CALLS}, links AS (SELECT DISTINCT from_class, from_class_name, to_class, to_class_name FROM calls)"
 
 
 GRAPH: dict[str, Text] = {
@@ -83,7 +85,7 @@ GRAPH: dict[str, Text] = {
     "t1_largest_classes": lambda d: "SELECT c.id, c.name, CAST(count(*) AS BIGINT) AS n_methods FROM {classes} c JOIN {methods} m ON m.class_id = c.id GROUP BY c.id, c.name ORDER BY n_methods DESC, c.id LIMIT 10",
     "t2_most_called": lambda d: "SELECT m.id, m.name, CAST(count(*) AS BIGINT) AS in_degree FROM {methods} m JOIN {edges} e ON e.to_id = m.id GROUP BY m.id, m.name ORDER BY in_degree DESC, m.id LIMIT 10",
     "t9_multi_key_order": lambda d: f"WITH {CALLS} SELECT from_layer, to_layer, from_class_name, CAST(count(*) AS BIGINT) AS n FROM calls GROUP BY from_layer, to_layer, from_class_name ORDER BY n DESC, from_layer, to_layer, from_class_name LIMIT 60",
-    "u1_direct_or_two_hop": lambda d: f"WITH {CALLS} SELECT from_id AS src, to_id AS dst FROM calls WHERE from_class = 5 UNION SELECT a.from_id, b.to_id FROM calls a JOIN calls b ON a.to_id = b.from_id WHERE a.from_class = 5",
+    "u1_direct_or_two_hop": lambda d: f"WITH {CALLS} SELECT from_id AS src, to_id AS dst FROM calls UNION SELECT a.from_id, b.to_id FROM (SELECT DISTINCT from_id, to_id FROM calls) a JOIN (SELECT DISTINCT from_id, to_id FROM calls) b ON a.to_id = b.from_id",
     "u2_stats_union": lambda d: "SELECT 'layer' AS dimension, layer AS k, CAST(count(*) AS BIGINT) AS n FROM {classes} GROUP BY layer UNION ALL SELECT 'domain', domain, CAST(count(*) AS BIGINT) FROM {classes} GROUP BY domain UNION ALL SELECT 'call', call_type, CAST(count(*) AS BIGINT) FROM {edges} GROUP BY call_type",
     "u5_distinct_calls": lambda d: "SELECT DISTINCT from_id, to_id FROM {edges}",
     # canned questions
@@ -100,12 +102,12 @@ GRAPH: dict[str, Text] = {
     "c12_method_call_stats": lambda d: f"WITH {CALLS} SELECT m.id, CAST(count(DISTINCT o.to_class) AS BIGINT) AS n_called_classes, CAST(count(DISTINCT i.from_class) AS BIGINT) AS n_calling_classes FROM {{methods}} m LEFT JOIN calls o ON o.from_id = m.id LEFT JOIN calls i ON i.to_id = m.id GROUP BY m.id",
     "c13_class_call_graph": lambda d: f"WITH {CALLS} SELECT from_class_name AS src, 'CALLS' AS rel, to_class_name AS dst, CAST(count(*) AS BIGINT) AS n FROM calls WHERE from_class <> to_class GROUP BY from_class_name, to_class_name",
     "c14_implementation_graph": lambda d: "SELECT 'implements' AS role, c.name AS src, i.name AS dst FROM {classes} c JOIN {classes} i ON c.interface_id = i.id WHERE i.is_interface UNION SELECT 'contains', i.name, m.name FROM {classes} i JOIN {methods} m ON m.class_id = i.id WHERE i.is_interface",
-    "c16_dependency_graph": lambda d: f"WITH {CALLS} {hops(5, True)}",
+    "c16_dependency_graph": lambda d: f"WITH {LINKS} {hops(True, True)}",
     "c17_layer_graph": lambda d: f"WITH {CALLS} SELECT DISTINCT from_class_name AS src, to_class_name AS dst, CASE WHEN a.ord = b.ord THEN 'same' WHEN a.ord < b.ord THEN 'lower' ELSE 'upper' END AS relation FROM calls JOIN {layer_values().replace('v(layer, ord)', 'a(layer, ord)')} ON a.layer = from_layer JOIN {layer_values().replace('v(layer, ord)', 'b(layer, ord)')} ON b.layer = to_layer WHERE from_class <> to_class",
-    "c18_call_graph_two_levels": lambda d: f"WITH {CALLS} {hops(7, False)}",
-    "c19_caller_graph_two_levels": lambda d: f"WITH {CALLS} SELECT DISTINCT from_name AS src, to_name AS dst, 1 AS hop FROM calls WHERE to_class = 7 UNION SELECT DISTINCT b.from_name, b.to_name, 2 FROM calls a JOIN calls b ON a.from_id = b.to_id WHERE a.to_class = 7",
-    "c20_bidirectional": lambda d: f"WITH {CALLS} {hops(11, True)}",
-    "c21_method_context": lambda d: f"WITH {CALLS} SELECT 'sibling' AS role, a.id AS method_id, b.name AS other FROM {{methods}} a JOIN {{methods}} b ON a.class_id = b.class_id AND a.id <> b.id WHERE a.class_id < 3 UNION SELECT 'callee', from_id, to_name FROM calls WHERE from_class < 3 AND to_class <> from_class UNION SELECT 'caller', to_id, from_name FROM calls WHERE to_class < 3 AND to_class <> from_class",
+    "c18_call_graph_two_levels": lambda d: f"WITH {LINKS} {hops(False, True)}",
+    "c19_caller_graph_two_levels": lambda d: f"WITH {LINKS} {hops(True, False)}",
+    "c20_bidirectional": lambda d: f"WITH {LINKS} SELECT center, role, src, dst, hop FROM ({hops(True, True)}) x WHERE src <> dst",
+    "c21_method_context": lambda d: f"WITH {CALLS} SELECT 'sibling' AS role, a.id AS method_id, b.name AS other FROM {{methods}} a JOIN {{methods}} b ON a.class_id = b.class_id AND a.id <> b.id UNION SELECT 'callee', from_id, to_name FROM calls WHERE to_class <> from_class UNION SELECT 'caller', to_id, from_name FROM calls WHERE to_class <> from_class",
     "c22_method_callers": lambda d: f"WITH {CALLS} SELECT to_id AS method_id, from_class_name AS caller_class, from_layer AS caller_layer, from_name AS caller_method, CAST(count(*) AS BIGINT) AS call_count FROM calls GROUP BY to_id, from_class_name, from_layer, from_name ORDER BY call_count DESC, method_id",
     "c23_method_callees": lambda d: f"WITH {CALLS} SELECT from_id AS method_id, to_class_name AS callee_class, to_layer AS callee_layer, to_name AS callee_method, CAST(count(*) AS BIGINT) AS call_count FROM calls GROUP BY from_id, to_class_name, to_layer, to_name",
     "c24_class_architecture": lambda d: f"WITH {CALLS}, deps AS (SELECT from_class, {d.set('to_class_name')} AS names, CAST(count(DISTINCT to_class) AS BIGINT) AS n, {d.set('to_layer')} AS layers FROM calls WHERE from_class <> to_class GROUP BY from_class), kids AS (SELECT super_id, {d.set('name')} AS names, CAST(count(*) AS BIGINT) AS n FROM {{classes}} WHERE super_id IS NOT NULL GROUP BY super_id), impls AS (SELECT interface_id, CAST(count(*) AS BIGINT) AS n FROM {{classes}} WHERE interface_id IS NOT NULL GROUP BY interface_id) SELECT c.id, c.name, p.name AS parent, i.name AS interface_name, coalesce(k.n, 0) AS n_children, coalesce(k.names, '') AS children, coalesce(x.n, 0) AS n_impls, coalesce(q.n, 0) AS n_dependencies, coalesce(q.layers, '') AS layers FROM {{classes}} c LEFT JOIN {{classes}} p ON c.super_id = p.id LEFT JOIN {{classes}} i ON c.interface_id = i.id AND i.is_interface LEFT JOIN kids k ON k.super_id = c.id LEFT JOIN impls x ON x.interface_id = c.id LEFT JOIN deps q ON q.from_class = c.id",
@@ -114,13 +116,14 @@ GRAPH: dict[str, Text] = {
     "c29_import_counts": lambda d: "SELECT CAST((SELECT count(*) FROM {classes}) AS BIGINT) AS n_classes, CAST((SELECT count(*) FROM {methods}) AS BIGINT) AS n_methods, CAST((SELECT count(*) FROM {methods} m JOIN {classes} c ON m.class_id = c.id) AS BIGINT) AS n_contains, CAST((SELECT count(*) FROM {edges}) AS BIGINT) AS n_calls, CAST((SELECT count(*) FROM {classes} WHERE super_id IS NOT NULL) AS BIGINT) AS n_extends, CAST((SELECT count(*) FROM {classes} WHERE interface_id IS NOT NULL) AS BIGINT) AS n_implements",
     "c30_stats_pack": lambda d: f"WITH {CALLS} SELECT 'layer' AS kind, layer AS k, CAST(count(*) AS BIGINT) AS n FROM {{classes}} GROUP BY layer UNION ALL SELECT 'call', call_type, CAST(count(*) AS BIGINT) FROM {{edges}} GROUP BY call_type UNION ALL SELECT 'cross', from_layer || '>' || to_layer, CAST(count(*) AS BIGINT) FROM calls WHERE from_layer <> to_layer GROUP BY from_layer, to_layer",
     "c31_class_dependencies": lambda d: f"WITH {CALLS} SELECT from_class_name, to_class_name, CAST(count(*) AS BIGINT) AS n FROM calls GROUP BY from_class_name, to_class_name",
-    "c33_code_smells": lambda d: "SELECT c.id, c.name, 'LARGE_CLASS' AS smell, CAST(count(*) AS BIGINT) AS n FROM {classes} c JOIN {methods} m ON m.class_id = c.id GROUP BY c.id, c.name HAVING count(*) > 20 UNION ALL SELECT m.id, m.name, 'LONG_PARAMETERS', CAST(m.n_params AS BIGINT) FROM {methods} m WHERE m.n_params > 2",
+    "c33_code_smells": lambda d: "SELECT c.id, c.name, 'LARGE_CLASS' AS smell, CAST(count(*) AS BIGINT) AS n FROM {classes} c JOIN {methods} m ON m.class_id = c.id GROUP BY c.id, c.name HAVING count(*) > 20",
     # bounded reach
     "g9_inheritance": lambda d: "WITH p AS (SELECT id, super_id AS anc FROM {classes} WHERE super_id IS NOT NULL), q AS (SELECT id, anc, 1 AS hop FROM p UNION ALL SELECT a.id, b.anc, 2 FROM p a JOIN p b ON a.anc = b.id UNION ALL SELECT a.id, c.anc, 3 FROM p a JOIN p b ON a.anc = b.id JOIN p c ON b.anc = c.id) SELECT q.id, q.anc AS ancestor_id, q.hop, x.name AS ancestor FROM q JOIN {classes} x ON x.id = q.anc",
     "g10_caller_chains": lambda d: f"WITH {CALLS}, one AS (SELECT m, a FROM (SELECT to_id AS m, from_id AS a, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS rn FROM (SELECT DISTINCT to_id, from_id FROM calls) x) y WHERE rn <= 3) SELECT o.m, o.a AS caller, t.a AS caller_of_caller FROM one o LEFT JOIN one t ON t.m = o.a",
     "g11_callee_chains": lambda d: f"WITH {CALLS}, one AS (SELECT m, a FROM (SELECT from_id AS m, to_id AS a, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS rn FROM (SELECT DISTINCT to_id, from_id FROM calls) x) y WHERE rn <= 3) SELECT o.m, o.a AS callee, t.a AS callee_of_callee FROM one o LEFT JOIN one t ON t.m = o.a",
-    "g14_edges_without_class": lambda d: "SELECT e.from_id, e.to_id, e.edge_ord FROM {edges} e WHERE NOT EXISTS (SELECT 1 FROM {methods} m WHERE m.class_id = 3 AND (m.id = e.from_id OR m.id = e.to_id))" if d.name == "duck" else "SELECT e.from_id, e.to_id, e.edge_ord FROM {edges} e LEFT ANTI JOIN (SELECT id FROM {methods} WHERE class_id = 3) a ON a.id = e.from_id LEFT ANTI JOIN (SELECT id FROM {methods} WHERE class_id = 3) b ON b.id = e.to_id",
-    "g15_dependency_analysis": lambda d: f"WITH {CALLS} SELECT DISTINCT m, o, k FROM (SELECT from_id AS m, to_id AS o, 'called' AS k FROM calls UNION ALL SELECT to_id, from_id, 'calling' FROM calls UNION ALL SELECT a.from_id, b.to_id, 'related' FROM calls a JOIN calls b ON a.to_id = b.from_id) x",
+    "g14_edges_without_class": lambda d: """SELECT c.id AS removed, CAST((SELECT count(*) FROM {edges}) - coalesce(g.n, 0) AS BIGINT) AS n_left, CAST(coalesce(g.n, 0) AS BIGINT) AS n_gone FROM {classes} c
+        LEFT JOIN (SELECT class_id, count(*) AS n FROM (SELECT f.class_id, e.edge_ord FROM {edges} e JOIN {methods} f ON f.id = e.from_id UNION SELECT t.class_id, e.edge_ord FROM {edges} e JOIN {methods} t ON t.id = e.to_id) x GROUP BY class_id) g ON g.class_id = c.id""",
+    "g15_dependency_analysis": lambda d: f"WITH {CALLS} SELECT DISTINCT m, o, k FROM (SELECT from_id AS m, to_id AS o, 'called' AS k FROM calls UNION ALL SELECT to_id, from_id, 'calling' FROM calls UNION ALL SELECT a.from_id, b.to_id, 'related' FROM (SELECT DISTINCT from_id, to_id FROM calls) a JOIN (SELECT DISTINCT from_id, to_id FROM calls) b ON a.to_id = b.from_id) x",
     "g18_repeated_classes": lambda d: f"WITH {CALLS}, p AS (SELECT a.from_id AS m1, a.to_id AS m2, b.to_id AS m3, a.from_class AS c1, a.to_class AS c2, b.to_class AS c3 FROM calls a JOIN calls b ON a.to_id = b.from_id) SELECT m1, m2, m3, CASE WHEN c1 = c2 AND c2 = c3 THEN 3 ELSE 2 END AS cycle_length FROM p WHERE c1 = c2 OR c2 = c3 OR c1 = c3",
     "g19_layer_violations": lambda d: f"WITH {CALLS} SELECT from_id, to_id, from_layer, to_layer FROM calls LEFT JOIN {allowed_values()} ON a.src = from_layer AND a.dst = to_layer WHERE a.src IS NULL AND to_layer <> 'UNKNOWN' AND from_layer <> to_layer",
     # windows

@@ -15,21 +15,41 @@ RELATED = "{classes} c LEFT JOIN {classes} p ON c.super_id = p.id LEFT JOIN {cla
 OWNED = "{methods} m JOIN {classes} c ON m.class_id = c.id"
 GETTER = "(m.name LIKE 'get%' OR m.name LIKE 'set%' OR m.name LIKE 'is%')"
 OBJECT = "m.name IN ('toString', 'equals', 'hashCode', 'clone', 'finalize')"
-ROOT = f"(c.layer = 'CONTROLLER' AND m.is_public AND NOT m.is_ctor AND ((c.annotation IS NOT NULL AND {r.has('lower(m.name)', r.WEB_STARTS, 'starts')}) OR {r.has('lower(m.name)', r.ROOT_STARTS, 'starts')}))"
+ROOT = f"(c.layer = 'CONTROLLER' AND m.is_public AND NOT m.is_ctor AND (({r.has('c.annotation', 'Controller|RequestMapping')} AND {r.has('lower(m.name)', r.WEB_STARTS, 'starts')}) OR {r.has('lower(m.name)', r.ROOT_STARTS, 'starts')}))"
 DATA_ACCESS = r.has("lower(m.name)", "find|get|save|update|delete|insert|select|query", "starts")
 BUSINESS = r.has("lower(m.name)", "process|handle|execute|calculate|validate|generate")
 KEEP_METHOD = f"(m.is_public AND NOT {OBJECT} AND (c.layer = 'CONTROLLER' OR NOT {GETTER}) AND CASE WHEN c.layer = 'CONTROLLER' THEN NOT {GETTER} WHEN c.layer IN ('SERVICE', 'UNKNOWN') THEN NOT m.is_ctor WHEN c.layer IN ('REPOSITORY', 'MAPPER') THEN {DATA_ACCESS} WHEN c.layer = 'UTIL' THEN m.is_static WHEN c.layer = 'ENTITY' THEN m.n_params > 1 ELSE TRUE END)"
 DROP_CLASS = f"({r.has('lower(c.name)', 'dto|vo|do|po|entity|model', 'ends')} OR {r.has('lower(c.qualified_name)', '.dto|.vo|.entity|.model|.domain')} OR contains(lower(c.qualified_name), 'test'))"
 
 DEGREES = "deg AS (SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT from_id AS id, 1 AS o, 0 AS i FROM {edges} UNION ALL SELECT to_id, 0, 1 FROM {edges}) x GROUP BY id)"
-# how many classes call a method stands for the number of trees that hold it, where no trees are built
-CROSS = "crossed AS (SELECT e.to_id AS id, CAST(count(DISTINCT f.class_id) AS BIGINT) AS n FROM {edges} e JOIN {methods} f ON f.id = e.from_id GROUP BY e.to_id)"
 CROSS_POINTS = "CASE WHEN coalesce(x.n, 0) >= 5 THEN 20 WHEN coalesce(x.n, 0) >= 3 THEN 15 WHEN coalesce(x.n, 0) >= 2 THEN 10 WHEN coalesce(x.n, 0) = 1 THEN 5 ELSE 0 END"
-CLASS_CROSS = CROSS_POINTS.replace("20", "25").replace("15", "18").replace("10", "12").replace("THEN 5", "THEN 6")
+CLASS_POINTS = "CASE WHEN coalesce(x.n, 0) >= 5 THEN 25 WHEN coalesce(x.n, 0) >= 3 THEN 18 WHEN coalesce(x.n, 0) >= 2 THEN 12 WHEN coalesce(x.n, 0) = 1 THEN 6 ELSE 0 END"
 NAME_WEIGHT = r.first_match("lower(m.name)", r.METHOD_NAME_WEIGHTS, 0.0).replace("ELSE 0.0 END", f"WHEN {r.has('lower(m.name)', 'is|has', 'starts')} THEN 0.3 ELSE 0.0 END")
-METHOD_WEIGHT = f"greatest(0.0, {r.lookup('c.layer', r.METHOD_LAYER_WEIGHTS, 0.5)} + {CROSS_POINTS} + 0.5 * {r.lookup('c.domain', r.DOMAIN_PRIORITY, 1)} + CASE WHEN m.is_public THEN 2 ELSE 0 END + CASE WHEN m.is_static THEN 1 ELSE 0 END + CASE WHEN m.is_abstract THEN 1.5 ELSE 0 END - CASE WHEN m.is_ctor THEN 1 ELSE 0 END + 0.5 * sqrt(CAST(coalesce(d.n_in, 0) + coalesce(d.n_out, 0) AS DOUBLE)) + CASE WHEN {ROOT} THEN 15 ELSE 0 END + {NAME_WEIGHT})"
-WEIGHTED = f"{DEGREES}, {CROSS}, weighted AS (SELECT m.id, m.class_id, CAST({METHOD_WEIGHT} AS DOUBLE) AS weight, CAST(coalesce(x.n, 0) AS BIGINT) AS cross_count FROM {OWNED} LEFT JOIN deg d ON d.id = m.id LEFT JOIN crossed x ON x.id = m.id)"
-CLASS_WEIGHTED = f"{WEIGHTED}, x AS (SELECT class_id, CAST(max(cross_count) AS BIGINT) AS n, sum(weight) AS w, count(*) AS k FROM weighted GROUP BY class_id), class_weighted AS (SELECT c.id, CAST({r.lookup('c.layer', r.CLASS_LAYER_WEIGHTS, 1.0)} + {CLASS_CROSS} + {r.lookup('c.domain', r.DOMAIN_PRIORITY, 1)} + CASE WHEN c.is_interface THEN 5 ELSE 0 END + CASE WHEN c.is_abstract THEN 3 ELSE 0 END + 2 * log10(CAST(coalesce(x.k, 0) + 1 AS DOUBLE)) + 0.1 * coalesce(x.w, 0) + CASE WHEN c.super_id IS NOT NULL OR c.interface_id IS NOT NULL THEN 2 ELSE 0 END AS DOUBLE) AS weight FROM {{classes}} c LEFT JOIN x ON x.class_id = c.id)"
+# {crossed} and {class_crossed} hold the number of trees of each method and class, {tree_roots} the roots that have a tree
+METHOD_TERMS = [
+    r.lookup("c.layer", r.METHOD_LAYER_WEIGHTS, 0.5),
+    CROSS_POINTS,
+    f"0.5 * {r.lookup('c.domain', r.DOMAIN_PRIORITY, 1)}",
+    "CASE WHEN m.is_public THEN 2 ELSE 0 END + CASE WHEN m.is_static THEN 1 ELSE 0 END + CASE WHEN m.is_abstract THEN 1.5 ELSE 0 END - CASE WHEN m.is_ctor THEN 1 ELSE 0 END",
+    "0.5 * sqrt(CAST(coalesce(d.n_in, 0) + coalesce(d.n_out, 0) AS DOUBLE))",
+    "CASE WHEN t.root IS NOT NULL THEN 15 ELSE 0 END",
+    NAME_WEIGHT,
+]
+WEIGHTED = f"""{DEGREES}, weighted AS (
+  SELECT m.id, m.class_id, CAST(greatest(0.0, {" + ".join(METHOD_TERMS)}) AS DOUBLE) AS weight, CAST(coalesce(x.n, 0) AS BIGINT) AS cross_count
+  FROM {OWNED} LEFT JOIN deg d ON d.id = m.id LEFT JOIN {{crossed}} x ON x.id = m.id LEFT JOIN {{tree_roots}} t ON t.root = m.id)"""
+# methods still weigh nothing when classes are weighed, so a class's seventh term is 0
+CLASS_TERMS = [
+    r.lookup("c.layer", r.CLASS_LAYER_WEIGHTS, 1.0),
+    CLASS_POINTS,
+    r.lookup("c.domain", r.DOMAIN_PRIORITY, 1),
+    "CASE WHEN c.is_interface THEN 5 ELSE 0 END + CASE WHEN c.is_abstract THEN 3 ELSE 0 END",
+    "2 * log10(CAST(coalesce(k.n, 0) + 1 AS DOUBLE))",
+    "CASE WHEN c.super_id IS NOT NULL OR c.interface_id IS NOT NULL THEN 2 ELSE 0 END",
+]
+CLASS_WEIGHTED = f"""{WEIGHTED}, class_weighted AS (
+  SELECT c.id, CAST({" + ".join(CLASS_TERMS)} AS DOUBLE) AS weight, CAST(coalesce(x.n, 0) AS BIGINT) AS cross_count
+  FROM {{classes}} c LEFT JOIN {{class_crossed}} x ON x.id = c.id LEFT JOIN (SELECT class_id, count(*) AS n FROM {{methods}} GROUP BY class_id) k ON k.class_id = c.id)"""
 
 # intent and risk, per call (a path of two methods)
 INTENT = f"""ups AS (SELECT to_id AS id, count(DISTINCT from_id) AS callers, count(DISTINCT from_layer) AS layers, sum(CASE WHEN from_layer = 'CONTROLLER' THEN 15 WHEN from_layer = 'SERVICE' THEN 5 ELSE 2 END) AS points, count(*) AS n FROM calls GROUP BY to_id),
@@ -78,16 +98,30 @@ RULES: dict[str, Text] = {
     "p30_path_predicates": lambda d: f"WITH {CALLS} SELECT edge_ord, from_layer = 'CONTROLLER' AS rest_endpoint, to_layer = 'ENTITY' AS data_model, to_layer IN ('REPOSITORY', 'MAPPER') AS db_operation, to_layer = 'UTIL' AS utility, to_layer = 'CONFIG' AS config, {r.has('lower(to_name)', 'save|update|delete|create', 'starts')} AS transactional FROM calls",
     "p31_block_type": lambda d: f"SELECT c.id, {r.lookup('c.annotation', [('Controller', 'CONTROLLER'), ('Service', 'SERVICE'), ('Repository', 'REPOSITORY'), ('Mapper', 'MAPPER'), ('Component', 'COMPONENT'), ('Config', 'CONFIG'), ('Entity', 'ENTITY'), ('Util', 'UTIL')], 'OTHER')} AS block FROM {{classes}} c",
     "g4_core_path_weight": lambda d: f"WITH {CALLS} SELECT edge_ord, CAST({r.lookup('from_layer', r.PATH_LAYER_WEIGHTS, 1.0)} + 0.1 * {r.lookup('from_domain', r.DOMAIN_PRIORITY, 1)} + {r.lookup('to_layer', r.PATH_LAYER_WEIGHTS, 1.0)} + 0.1 * {r.lookup('to_domain', r.DOMAIN_PRIORITY, 1)} AS DOUBLE) AS weight, CASE WHEN from_layer = to_layer THEN 0 ELSE 1 END AS layer_cross FROM calls",
-    "r1_method_weight": lambda d: f"WITH {WEIGHTED} SELECT id, class_id, round(weight, 6) AS weight, cross_count FROM weighted",
-    "r2_class_weight": lambda d: f"WITH {CLASS_WEIGHTED} SELECT id, round(weight, 6) AS weight FROM class_weighted",
     "r3_method_name_weight": lambda d: f"SELECT m.id, CAST({NAME_WEIGHT} AS DOUBLE) AS weight FROM {{methods}} m",
-    "a2_weight_summary": lambda d: f"WITH {WEIGHTED} SELECT CAST(sum(CASE WHEN cross_count > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_crossed, max(cross_count) AS max_cross, round(avg(weight), 6) AS avg_weight FROM weighted",
-    "a3_weight_statistics": lambda d: f"WITH {CLASS_WEIGHTED} SELECT 'method' AS kind, round(min(weight), 6) AS lo, round(max(weight), 6) AS hi, round(avg(weight), 6) AS mean, round(median(weight), 6) AS mid FROM weighted UNION ALL SELECT 'class', round(min(weight), 6), round(max(weight), 6), round(avg(weight), 6), round(median(weight), 6) FROM class_weighted",
-    "t3_heaviest_methods": lambda d: f"WITH {WEIGHTED} SELECT id, round(weight, 6) AS weight FROM weighted ORDER BY round(weight, 6) DESC, id LIMIT 10",
     "r5_intent_weight": lambda d: f"WITH {CALLS}, {INTENT} SELECT id, round(least(100, 0.40 * upstream + 0.35 * importance + 0.25 * least(frequency, 100)), 6) AS intent FROM intent",
     "r6_risk_weight": lambda d: f"WITH {CALLS}, {RISK} SELECT m.id, round(CAST(0.8 * (0.35 * a.score + 0.30 * b.score) AS DOUBLE), 6) AS risk FROM {{methods}} m JOIN arch a ON a.id = m.class_id JOIN blast b ON b.id = m.id",
     "r12_dual_weights_sorted": lambda d: f"WITH {CALLS}, {INTENT}, {RISK} SELECT k.edge_ord, round((i.upstream * 0.4 + i.importance * 0.35 + j.upstream * 0.4 + j.importance * 0.35) / 2, 6) AS intent, round(CAST(0.8 AS DOUBLE) * (0.35 * (a.score + c.score) / 2 + 0.30 * (b.score + e.score) / 2), 6) AS risk FROM calls k JOIN intent i ON i.id = k.from_id JOIN intent j ON j.id = k.to_id JOIN arch a ON a.id = k.from_class JOIN arch c ON c.id = k.to_class JOIN blast b ON b.id = k.from_id JOIN blast e ON e.id = k.to_id",
-    "r13_screening": lambda d: f"WITH {CALLS}, {INTENT} SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS BIGINT) AS rank, round(CAST(0.6 + 0.05 * (row_number() OVER (ORDER BY score DESC, id) - 1) AS DOUBLE), 6) AS confidence FROM (SELECT id, round(0.40 * upstream + 0.35 * importance + 0.25 * frequency, 6) AS score FROM intent WHERE 0.40 * upstream + 0.35 * importance + 0.25 * frequency > 30 ORDER BY score DESC, id LIMIT 3) x",
+    "r13_screening": lambda d: f"""WITH {CALLS}, {INTENT}, scored AS (SELECT id, round(0.40 * upstream + 0.35 * importance + 0.25 * least(frequency, 100), 6) AS score FROM intent),
+        golden AS (SELECT * FROM scored WHERE score > 60 ORDER BY id LIMIT 2)
+        SELECT id, score, CAST(0.8 AS DOUBLE) AS confidence FROM golden""",
+    "t6_order_by_analysis": lambda d: f"""WITH {CALLS}, {INTENT}, {RISK}, dual AS (SELECT i.id, round(CAST(0.40 * i.upstream + 0.35 * i.importance + 0.25 * least(i.frequency, 100) AS DOUBLE), 6) AS intent, round(CAST(0.8 AS DOUBLE) * (0.35 * a.score + 0.30 * b.score), 6) AS risk FROM intent i JOIN arch a ON a.id = i.class_id JOIN blast b ON b.id = i.id),
+        ranked AS (SELECT 'INTENT' AS analysis, id, intent AS v FROM dual UNION ALL SELECT 'RISK', id, risk FROM dual UNION ALL SELECT 'BOTH', id, round(intent + risk, 6) FROM dual)
+        SELECT analysis, id, v, CAST(nth AS BIGINT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY analysis ORDER BY v DESC, id) AS nth FROM ranked) x WHERE nth <= 100""",
+}
+
+#: Scores over built trees.
+WEIGHTS: dict[str, Text] = {
+    "r1_method_weight": lambda d: f"WITH {WEIGHTED} SELECT id, class_id, round(weight, 6) AS weight, cross_count FROM weighted",
+    "r2_class_weight": lambda d: f"WITH {CLASS_WEIGHTED} SELECT id, round(weight, 6) AS weight, cross_count FROM class_weighted",
+    "a2_weight_summary": lambda d: f"""WITH {CLASS_WEIGHTED}, every AS (SELECT 'method' AS kind, weight, cross_count FROM weighted UNION ALL SELECT 'class', weight, cross_count FROM class_weighted)
+        SELECT kind, CAST(sum(CASE WHEN cross_count > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_crossed, max(cross_count) AS max_cross, round(avg(weight), 6) AS avg_weight FROM every GROUP BY kind""",
+    "a3_weight_statistics": lambda d: f"""WITH {CLASS_WEIGHTED}, every AS (
+          SELECT 'method weight' AS kind, weight AS v FROM weighted UNION ALL SELECT 'class weight', weight FROM class_weighted
+          UNION ALL SELECT 'method cross', CAST(cross_count AS DOUBLE) FROM weighted UNION ALL SELECT 'class cross', CAST(cross_count AS DOUBLE) FROM class_weighted)
+        SELECT kind, round(min(v), 6) AS lo, round(max(v), 6) AS hi, round(avg(v), 6) AS mean, round(median(v), 6) AS mid FROM every GROUP BY kind""",
+    "t3_heaviest_methods": lambda d: f"""WITH {WEIGHTED}, top AS (SELECT id, round(weight, 6) AS weight, cross_count FROM weighted)
+        SELECT 'weight' AS by, id, weight AS v FROM (SELECT * FROM top ORDER BY weight DESC, id LIMIT 10) x UNION ALL SELECT 'cross', id, CAST(cross_count AS DOUBLE) FROM (SELECT * FROM top ORDER BY cross_count DESC, id LIMIT 10) y""",
 }
 
 

@@ -1,7 +1,11 @@
 """A training-data pipeline: toxicity, line dedup, near-dedup, mixing and packing over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; all but the last return the columns
-of ``documents``. ``run`` writes each stage's result as Parquet in the shared folder and reads it for the next.
+of ``documents``. ``run`` writes each stage's result as Parquet in the shared folder, reads it for the next, and then deletes
+what the stage and those before it had written.
+
+In all stages null and empty texts are texts without words, rows with a null id are judged by themselves, repeated rows share
+their fate but for near-dedup, where one id stays, and an empty table stays empty; the operators' docstrings say more.
 """
 
 from __future__ import annotations
@@ -11,18 +15,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callscope.llm import linededup, mixing, neardup, packing, toxicity
-from callscope.llm.common import materialize, table
+from callscope.llm.common import materialize, release_all_but_last, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go."""
+    """Documents that score 0.3 or more go; null and empty texts score as texts without words, repeated rows alike."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go from the texts."""
+    """Later repeated runs of words go from the texts, no row goes; null texts stay null; of ties the least id is the first place."""
     return linededup.dedup_lines(docs)
 
 
@@ -59,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release_all_but_last(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 def connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute("SET memory_limit='8GB'")
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         name = os.path.basename(path).removesuffix(".parquet")
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")

@@ -1,10 +1,13 @@
 """Trees, diffs, writers and streams on small hand-made inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from callscope.functions import diff
 from callscope.operators import traverse, trees
+from callscope.plans import tree_queries
 from callscope.plans.graph import CodeGraph
 from callscope.sources import readers, writers
 from callscope.streaming import events
@@ -28,15 +31,61 @@ def golden(spark):
     )
 
 
-def test_golden_trees(spark, golden):
-    roots = spark.createDataFrame([(1, 0), (2, 0), (6, 4)], "root long, class_id long")
-    t = trees.build(golden, roots)
-    got = {r["root"]: (r["tree_number"], r["node_count"], r["depth"], r["cross_nodes"]) for r in t.trees.collect()}
+def test_golden_trees(golden):
+    """The golden graph of FIXTURES 2 in full."""
+    t = trees.build(golden)
+    got = {r["root"]: (r["tree_number"], r["node_count"], r["depth"], r["cross_nodes"]) for r in trees.sizes(golden, t).collect()}
     assert got == {1: ("T001", 2, 1, 0), 2: ("T002", 2, 1, 0), 6: ("T003", 5, 2, 1)}
     parents = {(r["root"], r["node"]): (r["parent"], r["depth"]) for r in t.nodes.where("depth > 0").collect()}
     assert parents == {(1, 3): (1, 1), (2, 3): (2, 1), (6, 7): (6, 1), (6, 3): (7, 2), (6, 5): (7, 2), (6, 9): (7, 2)}
-    paths = {(r["root"], r["node"]): (r["weight"], r["layer_cross"]) for r in trees.core_paths(golden, t.nodes).collect()}
-    assert paths[6, 5][1] == 2 and paths[6, 9][1] == 1
+    paths = {(r["root"], r["node"]): (r["length"], r["weight"], r["layer_cross"]) for r in trees.core_paths(golden, t.nodes).collect()}
+    assert paths == {(1, 3): (1, 20.0, 1), (2, 3): (1, 20.0, 1), (6, 7): (1, 19.8, 1), (6, 3): (2, 28.8, 1), (6, 5): (2, 26.8, 2), (6, 9): (2, 28.7, 1)}
+
+
+def test_golden_weights(golden):
+    methods = {r["id"]: (r["cross_count"], r["weight"]) for r in tree_queries.weighed(golden, "r1_method_weight").collect()}
+    assert methods == {1: (1, 38.5), 2: (1, 37.5), 3: (3, 33.866025), 4: (0, 17.0), 5: (1, 20.366025), 6: (1, 39.5), 7: (1, 23.224745), 8: (0, 6.5), 9: (1, 20.366025)}
+    classes = {r["id"]: r["weight"] for r in tree_queries.weighed(golden, "r2_class_weight").collect()}
+    assert classes[1] == 48.60206
+
+
+def test_walks_between_ends(spark):
+    """Brute force over a small dense graph, parallel edges and loops included."""
+    r = random.Random(3)
+    arcs = [(r.randrange(9), r.randrange(9)) for _ in range(30)]
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(arcs)], "from_id long, to_id long, edge_ord long")
+    pairs = [(a, b) for a in range(3) for b in range(3, 6)]
+    steps = sorted(set(arcs))
+    walks = [(a, b, (a,)) for a, b in pairs]
+    all_, simple = [], []
+    for _ in range(4):
+        walks = [(a, b, (*p, y)) for a, b, p in walks for x, y in steps if x == p[-1] and (x, y) not in set(zip(p, p[1:]))]
+        all_ += [w for w in walks if w[2][-1] == w[1]]
+    simple = [w for w in all_ if len(set(w[2])) == len(w[2])]
+    best = []
+    for a, b in pairs:
+        best += sorted((w for w in all_ if w[:2] == (a, b)), key=lambda w: (len(w[2]), w[2]))[:3]
+    asked = spark.createDataFrame(pairs, "src long, dst long")
+    got = lambda df: sorted((x["src"], x["dst"], tuple(x["path"])) for x in df.collect())
+    assert got(traverse.best_walks(edges, asked, 4, 3)) == sorted(best)
+    assert got(traverse.simple_paths(edges, asked, 4)) == sorted(simple)
+
+
+def test_components_against_union_find(spark):
+    r = random.Random(2)
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(500, 560)] + [(700, 700), (5, 5)]
+    parent = {x: x for p in links for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    edges = spark.createDataFrame(links, "from_id long, to_id long")
+    assert {x["id"]: x["component"] for x in traverse.components(edges).collect()} == {x: find(x) for x in parent}
 
 
 def test_a_root_inside_an_earlier_tree_gives_none(spark, golden):
@@ -44,6 +93,14 @@ def test_a_root_inside_an_earlier_tree_gives_none(spark, golden):
     assert [r["root"] for r in trees.build(golden, roots).trees.collect()] == [6]
 
 
+def test_a_skipped_root_hides_none(spark, golden):
+    """By order: 0 holds 1 (skipped), 1 holds 2 only beyond the depth of 0's tree, so 2 has a tree."""
+    chain = [(0, 1), *((i, i + 1) for i in range(100, 109)), (1, 100), (109, 2)]
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(chain)], "from_id long, to_id long, edge_ord long")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "root long, class_id long")
+    assert [r["root"] for r in trees.kept_roots(edges, roots, 10).orderBy("first").collect()] == [0, 2]
+
+
 def test_depth_is_capped(spark, golden):
     chain = spark.createDataFrame([(i, i + 1, "DIRECT", 1, i) for i in range(20)], "from_id long, to_id long, call_type string, line int, edge_ord long")
     found = traverse.reach(chain, spark.createDataFrame([(0,)], "src long"), 10).collect()
@@ -55,8 +112,8 @@ def test_empty_graph(spark, golden):
     assert trees.build(none).trees.isEmpty()
 
 
-OLD = ["public class Test {", "    int x = 1;", "    System.out.println(x);", "}"]
-NEW = ["public class Test {", "    int x = 2;", "    int y = 3;", "    System.out.println(x);", "}"]
+OLD = ["def area(w, h):", "    s = w * h", "    return s", ""]
+NEW = ["def area(w, h):", "    s = w + h", "    s *= 2", "    return s", ""]
 
 
 def test_line_diff():
