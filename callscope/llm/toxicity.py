@@ -240,7 +240,7 @@ def forms(code: bytes) -> list[bytes]:
     return [whole, *(whole[:n] for n in range(5, min(len(whole) - 1, 10)))]
 
 
-def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int, least_z: float = 6.0) -> list[bytes]:
+def pick_landmarks(docs: list[tuple[set[bytes], int]], most: int, least_z: float = 4.5) -> list[bytes]:
     """Words and starts of words that stand out in toxic documents, each unlike those before it."""
     pos, neg = Counter(), Counter()
     for words, y in docs:
