@@ -39,6 +39,7 @@ from callscope.llm.common import sliced
 from callscope.llm.learn import labelled_sample, platt, sigmoid
 
 SPAN, DECAY, LEAST, WIDTH, CHUNK = 6, 0.7, 0.5, 0.3, 24
+MORE = 1.6
 UNLIKE = 0.62  # the largest kernel of two landmarks, before its exponential
 START, END = 30, 31  # marks of a word's ends, letters to the kernel
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -188,10 +189,10 @@ class Model:
             if k := [like[p] for p in parts(c) if p in like]:
                 self.known[c] = np.max(k, 0)
 
-    def features(self, words: list[str], codes: list[bytes]) -> tuple[float, float]:
-        """The margin of the worst sentence, and what the sentences beyond the boundary add up to, damped."""
-        added = [float(self.mapped(k) @ self.weights) for k in self.sentences(words, codes)]
-        return max(added, default=0.0) + self.offset, float(np.log1p(sum(max(0.0, x + self.offset) for x in added)))
+    def margin(self, words: list[str], codes: list[bytes]) -> float:
+        """Of the worst sentence, raised by what the sentences beyond the boundary add up to, damped."""
+        each = [float(self.mapped(k) @ self.weights) + self.offset for k in self.sentences(words, codes)]
+        return max(each, default=self.offset) + MORE * float(np.log1p(sum(max(0.0, x) for x in each)))
 
     def mapped(self, kernels: np.ndarray) -> np.ndarray:
         """Features of a sentence; what many words add up to isn't more than one like a landmark."""
@@ -220,7 +221,7 @@ class Model:
                 yield known[c]
 
     def probability(self, words: list[str], codes: list[bytes]) -> float:
-        return float(sigmoid(np.dot(self.calibration, (*self.features(words, codes), 1.0))))
+        return float(sigmoid(self.calibration[0] * self.margin(words, codes) + self.calibration[1]))
 
 
 _resident: dict[str, Model] = {}
@@ -284,7 +285,7 @@ def train(rows: Iterable[tuple[str, int]], most_landmarks: int = 40) -> Model |
     landmarks = pick_landmarks([(set(c), y) for _, c, y in fit], most_landmarks)
     if not landmarks:
         return None
-    model = Model(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(3))
+    model = Model(landmarks, np.zeros(len(landmarks)), 0.0, np.zeros(2))
     kernel = model.kernel
     for at in range(0, len(docs), 500):
         model.learn_words({x for _, c, _ in docs[at : at + 500] for x in (*c, *(j for _, j in apart(c)))})
@@ -305,7 +306,7 @@ def train(rows: Iterable[tuple[str, int]], most_landmarks: int = 40) -> Model |
                     y.append(1)
     x, y = np.array([model.mapped(k) for k in x]), np.array(y)
     model.weights, model.offset = svm(x, y)
-    model.calibration = platt(np.array([model.features(words, codes) for words, codes, _ in late]), np.array([label for *_, label in late]))
+    model.calibration = platt(np.array([model.margin(words, codes) for words, codes, _ in late]), np.array([label for *_, label in late]))
     _codes.clear()
     return Model(landmarks, model.weights, model.offset, model.calibration)
 
