@@ -41,13 +41,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_all_but_last(spark: SparkSession) -> None:
-    """Delete what was materialized before the last table; for callers to whom nothing else is still to be read."""
+def written() -> int:
+    """How many tables this process has materialized and not released."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete what was materialized since then, but for the last table; for callers that won't read the others again."""
     jvm = spark.sparkContext._jvm
-    for path in _written[:-1]:
+    for path in _written[since:-1]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del _written[:-1]
+    del _written[since:-1]
 
 
 def parallelism(spark: SparkSession) -> int:

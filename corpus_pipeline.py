@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callscope.llm import linededup, mixing, neardup, packing, toxicity
-from callscope.llm.common import materialize, release_all_but_last, table
+from callscope.llm.common import materialize, release, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,8 +60,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release_all_but_last(spark)
+        release(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
