@@ -9,8 +9,8 @@ of the filters a row fails, each comes first in ``k! / failures`` of the orders.
 Equal texts are told by their SHA-256. Rows are first summed for each id and then for each text, part and label, so a text that a
 third of all rows hold meets its other rows as one sum from each task; only then the smallest id of each text is found. No text is shuffled.
 
-Defined results: a null or empty text has no words and no characters; a null part is the empty string; a null id is
-smaller than none, so its row has a copy only where an id stands on an equal text, and has no label; rows with one id and text all count, and
+Defined results: a null or empty text has no words and no characters; a null part is the empty string; no id is
+smaller than a null one, so its row is never a copy, and it has no label; rows with one id and text all count, and
 aren't copies of each other; a document with several label rows has a label if one of them has; a text of any length is taken whole; an empty
 table gives no rows; other columns are ignored, whatever their names.
 """
@@ -53,11 +53,10 @@ def cells(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     told = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")).withColumn("salt", F.lit(0).cast("long"))
     rows = rows.join(told, ["id", "salt"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "m")))  # an id stands once with a text, a part and its labels
-    held = rows.groupBy("digest", "part", "good", "toxic", "own").agg(F.sum("m").alias("n"), least.alias("least"))
+    held = rows.groupBy("digest", "part", "good", "toxic", "own").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("id").isNull(), F.col("m")).otherwise(0)).alias("unnamed"), least.alias("least"))
     of_text = Window.partitionBy("digest")
     held = held.withColumn("first", F.min("least.id").over(of_text))
-    alone = F.when(F.col("first").isNull(), F.col("n")).when(F.col("least.id") == F.col("first"), F.col("least.m")).otherwise(0)
-    held = held.withColumn("alone", alone)
+    held = held.withColumn("alone", F.col("unnamed") + F.when(F.col("least.id") == F.col("first"), F.col("least.m")).otherwise(0))
     by = [F.struct(F.col("own").alias("mask"), F.col("alone").alias("n")), F.struct((F.col("own") + COPY).alias("mask"), (F.col("n") - F.col("alone")).alias("n"))]
     return held.select("part", "good", "toxic", F.explode(F.array(*by)).alias("cell")).select("part", "good", "toxic", "cell.mask", "cell.n")
 
