@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import audit, infill, licences, linededup, mixing, neardup, packing, perplexity, quality, search, sharding, toxicity
+from callscope.llm import audit, infill, licences, linededup, mixing, neardup, packing, perplexity, personal, quality, search, sharding, toxicity
 from callscope.llm.common import table
 from callscope.llm.sql import SQL
 
@@ -63,13 +63,20 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    added = sum((F.size(f"more_{k}") for k in personal.KINDS), F.lit(0)).cast("long")
+    return out.select(F.col("key").alias("doc_id"), *counts, F.sha2(personal.written_spans(False), 256).alias("base_sha256"), personal.written_spans(True).alias("spans"), added.alias("n_added"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.transform(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_kneser_ney_quality, op3_line_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing, op7_licence_scan, op8_kd_sharding, op9_toxicity, op10_mtree_search, op11_filter_audit, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_kneser_ney_quality, op3_line_dedup, op4_best_fit_packing, op5_quality_rules, op6_mixing, op7_licence_scan, op8_kd_sharding, op9_toxicity, op10_mtree_search, op11_filter_audit, op12_pii, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
