@@ -2,7 +2,7 @@
 
 *Base* spans are those of four patterns (``BASE``), leftmost and not overlapping within a kind, that pass the kind's test. They always
 stay. What the patterns swallow or miss (a card number that the pattern joins with an address beside it, ``name [at] host [dot] org``) is looked
-for among *candidates*: looser, shorter shapes in what base spans leave of the text. Six labelers vote on each candidate, for, against or
+for among *candidates*: matches that pass once other kinds' spans are out of the way, and looser, shorter shapes in what is left of the text. Six labelers vote on each candidate, for, against or
 not at all: the pattern's strict form, a check (checksum, range, length), a gazetteer (issuers, dial codes, endings of domains, reserved addresses), words before
 that speak for the kind, words that speak against it, and what touches the candidate.
 
@@ -151,15 +151,22 @@ def blanked(p: Column, test: Callable[[Column], Column]) -> Column:
     return F.when(F.size(p["found"]) == 0, F.get(p["gaps"], F.lit(0))).otherwise(F.array_join(F.zip_with(p["gaps"], F.concat(held, F.array(F.lit(""))), lambda g, f: F.concat(g, f)), ""))
 
 
+def not_among(found: Column, known: Column) -> Column:
+    """The spans of ``found`` that begin where none of ``known`` does; nothing is searched where both begin alike, as they mostly do."""
+    starts = lambda x: F.transform(x, lambda s: s["start"])
+    return F.when(starts(found) == starts(known), F.slice(found, 1, 0)).otherwise(let(starts(known), lambda k: F.filter(found, lambda s: ~F.array_contains(k, s["start"]))))
+
+
 def found_in(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, the base spans of each kind and its candidates, one row a document."""
     out = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("left", F.col("text"))
     for k in KINDS:
         out = out.withColumn("p", pieces(F.col("text"), BASE[k], NEEDS[k])).withColumn(k, kept(spans(F.col("p")), test_of(k)))
-        # the rest is looked for in what is left, where an earlier kind may have taken a part
-        out = out.withColumn("p", pieces(F.col("left"), BASE[k], NEEDS[k])).withColumn("left", blanked(F.col("p"), test_of(k)))
+        # what only passes once spans of the kinds before are out of the way is a candidate
+        out = out.withColumn("p", pieces(F.col("left"), BASE[k], NEEDS[k])).withColumn("alone", kept(spans(F.col("p")), test_of(k)))
+        out = out.withColumn(f"freed_{k}", not_among(F.col("alone"), F.col(k))).withColumn("left", blanked(F.col("p"), test_of(k)))
     for k in KINDS:
-        out = out.withColumn("p", pieces(F.col("left"), LOOSE[k], MAY[k])).withColumn(f"more_{k}", spans(F.col("p"))).withColumn("left", blanked(F.col("p"), lambda f: F.lit(True)))
+        out = out.withColumn("p", pieces(F.col("left"), LOOSE[k], MAY[k])).withColumn(f"more_{k}", F.concat(f"freed_{k}", spans(F.col("p")))).withColumn("left", blanked(F.col("p"), lambda f: F.lit(True)))
     return out.select("key", *KINDS, *[f"more_{k}" for k in KINDS])
 
 
@@ -184,7 +191,7 @@ def features(kind: str, s: Column) -> Column:
     """Numbers below ``WIDTH`` that stand for a candidate's shape, its neighbours and its votes."""
     shape = F.regexp_replace(F.regexp_replace(s["value"], r"[\p{L}]+", "a"), "[0-9]", "9")
     word = F.regexp_extract(F.lower(s["before"]), r"([\p{L}]+)[^\p{L}]*$", 1)
-    said = F.transform(votes(kind, s), lambda v, i: F.concat(F.lit("vote"), i.cast("string"), F.lit("="), v.cast("string")))
+    said = let(votes(kind, s), lambda vs: F.concat(F.transform(vs, lambda v, i: F.concat(F.lit("vote"), i.cast("string"), F.lit("="), v.cast("string"))), F.array(F.concat(F.lit("votes="), F.array_join(vs, "")))))
     names = F.concat(
         F.array(F.concat(F.lit("shape="), F.when(F.length(shape) <= 40, shape).otherwise("long")), F.concat(F.lit("word="), word), F.concat(F.lit("last="), F.regexp_replace(F.right(s["before"], F.lit(1)), r"[\p{L}]", "a")), F.concat(F.lit("next="), F.regexp_replace(F.left(s["after"], F.lit(1)), r"[\p{L}]", "a")), F.concat(F.lit("digits="), F.length(digits(s["value"])).cast("string"))),
         said,
@@ -265,9 +272,9 @@ def fitted(found: DataFrame, per_kind: int = 5000) -> tuple[list[float], float]
     drawn = [every.where(F.col("kind") == k).orderBy(F.xxhash64("votes", "features"), "features", "seed").limit(per_kind) for k in KINDS]
     rows = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).unionByName(drawn[3]).withColumn("p", posterior(by_kind))
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("share")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("share"))))
-    rows = rows.select(F.transform("features", lambda f: f.cast("string")).alias("words"), F.log1p("n").alias("times"), sides.alias("side")).select("words", "side.label", (F.col("times") * F.col("side.share")).alias("weight"))
+    rows = rows.select(F.transform("features", lambda f: f.cast("string")).alias("words"), F.col("n").cast("double").alias("times"), sides.alias("side")).select("words", "side.label", (F.col("times") * F.col("side.share")).alias("weight"))
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(WIDTH)], inputCol="words", outputCol="features", minTF=1).transform(rows)
-    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1e-3, maxIter=50, standardization=False, aggregationDepth=2).fit(vectors)
+    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1e-4, maxIter=100, standardization=False, aggregationDepth=2).fit(vectors)
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
