@@ -12,7 +12,7 @@ when that is beyond the bound; an entry is skipped, unseen, when the difference
 and the query's distance to that parent is beyond it. Bounds carry a slack, so rounding can't lose a tie.
 
 Defined results: vectors that are null, empty, hold null or non-finite components, or have no id take no part; a query
-meets vectors of its own length only; rows that share the query's id are its own; repeated rows are each a candidate; an empty
+meets vectors of its own length only; rows that share the query's id are its own; repeated rows are each a candidate and, with an id that is asked for, each a query with rows of its own; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import materialize, parallelism
 
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 PAGE = T.StructType([T.StructField("page", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType()), T.StructField("router", T.BinaryType()), T.StructField("radius", T.DoubleType()), T.StructField("routers", T.BinaryType()), T.StructField("radii", T.BinaryType()), T.StructField("parent_d", T.BinaryType()), T.StructField("starts", T.BinaryType()), T.StructField("entry_d", T.BinaryType())])
 SLACK = 1e-6
 
@@ -139,7 +139,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
     ``n_pivots`` bounds the sample that pages are laid around; every vector is in a page.
     """
     spark = vectors.sparkSession
-    all_ = materialize(integers(vectors, scale=scale, key=key, column=column), "mtree-vectors")
+    all_ = materialize(integers(vectors, scale=scale, key=key, column=column).withColumn("row", F.monotonically_increasing_id()), "mtree-vectors")  # written, so a row keeps its number
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     dims = all_.groupBy("dim").agg(F.max(F.sqrt(norm)).alias("most"), F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # a row for each vector length
     found = None
@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], FOUND)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows from each group of pages
+    w = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")  # at most k rows from each group of pages
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -210,21 +210,21 @@ def searched(mine: DataFrame, pages: DataFrame, dim: int, most: float, sample: p
     sample_ids, sample_v = sample.column("vec_id").to_numpy(), matrix(sample.column("v"), dim)
 
     def run(_key: tuple, queries: pa.Table, found: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         held = [Page(r) for r in found.to_pylist()]
         if held and queries.num_rows:
             q = matrix(queries.column("v"), dim)
             routers = np.array([p.router for p in held])
             to_router = distances(np.hstack([q, np.zeros((len(q), 1))]), routers)
             seen = products(q, sample_v)
-            for i, query_id in enumerate(queries.column("vec_id").to_pylist()):
+            for i, (query_id, row) in enumerate(zip(queries.column("vec_id").to_pylist(), queries.column("row").to_pylist(), strict=True)):
                 others = np.sort(seen[i][sample_ids != query_id])
                 floor_ = others[-k] if len(others) >= k else -np.inf
-                out += ((query_id, v, s) for s, v in best(query_id, q[i], floor_, held, to_router[i], most, k))
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=FOUND.names)
+                out += ((query_id, row, v, s) for s, v in best(query_id, q[i], floor_, held, to_router[i], most, k))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], [], []))], names=FOUND.names)
 
     each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     both = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = mine.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), each.alias("grp"))
+    queries = mine.where(F.col("vec_id") % every == 0).select("vec_id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), each.alias("grp"))
     spread = pages.withColumn("grp", F.pmod(F.xxhash64("page"), F.lit(groups)).cast("int")).withColumn("block", both)
     return queries.groupBy("grp", "block").cogroup(spread.groupBy("grp", "block")).applyInArrow(run, FOUND)

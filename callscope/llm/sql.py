@@ -21,33 +21,35 @@ FROM w JOIN least ON w.doc_id = least.id LEFT JOIN n ON n.doc_id = w.doc_id"""
 
 SEARCH = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+s AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5"""
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5"""
 
 
 def mixing_sql(keep: float = 0.7, rounds: int = 40) -> str:
-    """Raking of the cells, with more rounds than agree to ten places, and the sampled documents."""
+    """Raking of the cells within their bounds, with more rounds than agree to ten places, and the sampled documents."""
     topic = """CASE WHEN contains(lower(t), 'licen') THEN 'licence' WHEN contains(t, '{') OR contains(t, '</') THEN 'code'
          WHEN contains(t, ' | ') THEN 'table' WHEN length(t) < 400 THEN 'brief' ELSE 'prose' END"""
     parts = [
         f"d AS (SELECT doc_id, lang, source, {topic} AS topic, greatest(1, CAST(ceil(strlen(t) / 4) AS BIGINT)) AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))",
-        "cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL)",
+        "cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
     ]
     for n in mixing.DIMENSIONS:
-        parts.append(f"target_{n} AS (SELECT g, mass / sum(mass) OVER () AS target FROM (SELECT {n} AS g, pow(CAST(sum(tokens) AS DOUBLE), {mixing.ALPHAS[n]}) AS mass FROM cells GROUP BY 1))")
+        parts.append(f"target_{n} AS (SELECT g, held, mass / sum(mass) OVER () AS target FROM (SELECT {n} AS g, sum(tokens) AS held, pow(sum(tokens), {mixing.ALPHAS[n]}) AS mass FROM cells GROUP BY 1))")
+        parts.append(f"factor_{n} AS (SELECT g, held, target, ({keep} * sum(held) OVER () - coalesce(sum(held) OVER (ORDER BY held / target, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(target) OVER (ORDER BY held / target, g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM target_{n})")
+        parts.append(f"goal_{n} AS (SELECT g, least(held, target * max(f) OVER ()) AS goal FROM factor_{n})")
     last = "w0"
-    parts.append("w0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)")
+    parts.append(f"w0 AS (SELECT *, {keep} * tokens AS w FROM cells)")
     for k in range(rounds):
         for n in mixing.DIMENSIONS:
-            new = f"w{k + 1}_{n}"
-            parts.append(f"{new} AS (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {n}) AS weight FROM {last} JOIN target_{n} ON {n} IS NOT DISTINCT FROM g)")
-            last = new
-    parts.append(f"p AS (SELECT source, lang, topic, round(least(1.0, weight / tokens * least({keep} * sum(tokens) OVER (), 1 / max(weight / tokens) OVER ())), 6) AS p FROM {last})")
+            parts.append(f"s{k}_{n} AS (SELECT source, lang, topic, tokens, w, goal, sum(w) OVER (PARTITION BY {n}) AS a, sum(CASE WHEN w >= tokens THEN w ELSE 0 END) OVER (PARTITION BY {n}) AS full_ FROM {last} JOIN goal_{n} ON {n} IS NOT DISTINCT FROM g)")
+            last = f"w{k}_{n}"
+            parts.append(f"{last} AS (SELECT source, lang, topic, tokens, greatest({mixing.LEAST * keep} * tokens, least(tokens, w * CASE WHEN a > goal THEN goal / a WHEN w >= tokens OR a <= full_ THEN 1 ELSE (goal - full_) / (a - full_) END)) AS w FROM s{k}_{n})")
+    parts.append(f"p AS (SELECT source, lang, topic, w / tokens AS p FROM {last})")
     uniform = "CAST('0x' || substr(md5('mix' || doc_id), 1, 8) AS BIGINT) / 4294967296.0"
     return f"WITH {', '.join(parts)} SELECT doc_id, d.lang, d.source, round(p, 6) AS probability FROM d JOIN p c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic = c.topic WHERE {uniform} < p"
 

@@ -145,16 +145,66 @@ def marginal(cells, d, value):
     return m / m.sum()
 
 
+def plain_raking(cells, keep, masses, rounds):
+    """Drawn tokens by long bounded raking; the goals of groups by filling them one after the other."""
+    tokens = cells["tokens"].to_numpy(float)
+    drawn = keep * tokens
+    on, goal = {}, {}
+    for d, mass in masses.items():
+        keys = [str(x) for x in cells[d]]
+        on[d] = {g: np.array([k == g for k in keys]) for g in sorted(set(keys))}
+        held = {g: tokens[m].sum() for g, m in on[d].items()}
+        left, full = dict(zip(map(str, mass.index), mass, strict=True)), set()
+        while True:
+            factor = (keep * tokens.sum() - sum(held[g] for g in full)) / sum(left[g] for g in left if g not in full)
+            over = {g for g in left if g not in full and factor * left[g] > held[g] * (1 + 1e-12)}
+            if not over:
+                break
+            full |= over
+        goal[d] = {g: held[g] if g in full else factor * left[g] for g in left}
+    for _ in range(rounds):
+        for d in masses:
+            for g, m in on[d].items():
+                whole = m & (drawn >= tokens)
+                free = m & ~whole
+                if drawn[m].sum() > goal[d][g]:
+                    drawn[m] *= goal[d][g] / drawn[m].sum()
+                elif free.any():
+                    drawn[free] *= (goal[d][g] - drawn[whole].sum()) / drawn[free].sum()
+            drawn = np.clip(drawn, mixing.LEAST * keep * tokens, tokens)
+    return drawn, on, goal
+
+
 def test_mixing_matches_targets(docs):
-    for keep in (0.3, 0.9):
-        cells = mixing.calibrated(docs, keep=keep).toPandas()
-        cells["drawn"] = cells["probability"] * cells["tokens"]
-        for d in ("source", "lang", "topic"):
-            mass = cells.groupby(d, dropna=False)["tokens"].sum() ** mixing.ALPHAS[d]
-            assert np.allclose(marginal(cells, d, "weight"), mass / mass.sum(), atol=1e-8)
-            assert np.allclose(marginal(cells, d, "drawn"), mass / mass.sum(), atol=1e-4)
-        assert cells["probability"].between(0, 1).all()
-        assert cells["drawn"].sum() / cells["tokens"].sum() <= keep + 1e-4
+    """With flat targets, groups that hold too little, and one of a single tiny document, the volume is met and so are all goals."""
+    tiny = docs.limit(1).selectExpr("-1L AS doc_id", "'ab' AS text", "'rare' AS lang", "'rare' AS source", "2L AS n_chars")
+    more = docs.unionByName(tiny)
+    for keep, alphas in ((0.3, mixing.ALPHAS), (0.7, mixing.ALPHAS)):
+        cells = mixing.calibrated(more, keep=keep, alphas=alphas, tolerance=1e-6).toPandas()
+        masses = {d: cells.groupby(d, dropna=False)["tokens"].sum() ** alphas[d] for d in mixing.DIMENSIONS}
+        drawn, on, goal = plain_raking(cells, keep, masses, 3000)
+        assert np.allclose(cells["probability"] * cells["tokens"], drawn, atol=1e-3 * cells["tokens"].max())
+        assert cells["probability"].between(0, 1).all() and cells["probability"].min() > 0
+        assert abs((cells["probability"] * cells["tokens"]).sum() / cells["tokens"].sum() - keep) < 1e-3
+        for d in masses:
+            for g, m in on[d].items():
+                assert abs((cells["probability"] * cells["tokens"])[m].sum() - goal[d][g]) < 1e-3 * keep * cells["tokens"].sum()
+    assert cells[cells["lang"] == "rare"]["probability"].min() > 0.99999
+
+
+def test_mixing_to_goals_that_contradict_each_other(spark):
+    """A source in one language only, asked for more than that language: bounds hold and the volume is met."""
+    rows = [(i, "x" * 400, "en" if i % 4 else "de", "a" if i % 4 else "b") for i in range(200)]
+    cells = mixing.calibrated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep=0.5, targets={"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.9, "de": 0.1}}, most_rounds=20).toPandas()
+    assert cells["probability"].between(mixing.LEAST * 0.5, 1).all()
+    assert abs((cells["probability"] * cells["tokens"]).sum() - 0.5 * cells["tokens"].sum()) < 1e-6 * cells["tokens"].sum()
+
+
+def test_mixing_tells_what_it_reaches(spark):
+    rows = [(i, "x" * 400, "en", "big") for i in range(99)] + [(99, "x" * 400, "en", "small")]
+    cells = mixing.calibrated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep=0.5, targets={"source": {"big": 0.5, "small": 0.5}})
+    got = {(r["dimension"], r["group"]): (round(r["target"], 6), round(r["reached"], 6)) for r in mixing.reached(cells).collect()}
+    assert got["source", "small"] == (0.5, 0.02) and got["source", "big"] == (0.5, 0.98) and got["lang", "en"] == (1.0, 1.0)
 
 
 def test_mixing_to_given_targets(spark):
@@ -196,7 +246,7 @@ def test_queries_with_sql(spark, sf_dir):
 def test_search_of_odd_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 1, 6).tolist()) for i in range(300)]
-    rows += [(300, None), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, rows[3][1]), (500, [1.0, 2.0]), (None, [0.0] * 6), (550, []), (600, rows[3][1]), (650, [float("inf")] * 6)]
+    rows += [(300, None), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, rows[3][1]), (500, [1.0, 2.0]), (None, [0.0] * 6), (550, []), (600, rows[3][1]), (650, [float("inf")] * 6), (50, rows[50][1]), (100, rows[7][1]), (7, rows[7][1])]  # repeated queries and a repeated candidate
     good = [(i, np.floor(np.array(v) * 256)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = []
     for q, x in good:
