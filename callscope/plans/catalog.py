@@ -11,6 +11,7 @@ from callscope.plans.change_queries import CHANGE_CTES, CHANGES, changes
 from callscope.plans.graph_queries import GRAPH, ask
 from callscope.plans.review_queries import REVIEW, REVIEW_SQL, TABLES, TABLES_SQL
 from callscope.plans.rule_queries import RULES, classify
+from callscope.plans.text_queries import TEXTS, TEXTS_SQL
 from callscope.plans.texts import for_checking
 from callscope.plans.tree_queries import TREE, TREE_SQL
 
@@ -23,8 +24,8 @@ def _over_graph(answer: Callable, name: str) -> Query:
 
 def queries() -> dict[str, Query]:
     over_changes = {n: (lambda spark, sf_dir, n=n: changes(spark, sf_dir, n)) for n in CHANGES}
-    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES} | over_changes | {n: (lambda spark, sf_dir, f=f: f(code_graph(spark, sf_dir))) for n, f in (TREE | REVIEW).items()} | TABLES
+    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES} | over_changes | {n: (lambda spark, sf_dir, f=f: f(code_graph(spark, sf_dir))) for n, f in (TREE | REVIEW).items()} | TABLES | TEXTS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()} | {n: for_checking(t, CHANGE_CTES) for n, t in CHANGES.items()} | TREE_SQL | REVIEW_SQL | TABLES_SQL
+    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()} | {n: for_checking(t, CHANGE_CTES) for n, t in CHANGES.items()} | TREE_SQL | REVIEW_SQL | TABLES_SQL | TEXTS_SQL
