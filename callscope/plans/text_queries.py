@@ -1,4 +1,4 @@
-"""Queries over whole texts: line diffs of documents."""
+"""Queries over whole texts: line diffs of documents, and scans of source files that are made of the code graph's calls."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.functions.diff import line_diff
+from callscope.plans.bridge import CALL_TYPES, GRAPH_CTES, code_graph
+from callscope.sources import scanner
 
 
 def consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +34,60 @@ def d2_line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "nth", "c.kind", F.coalesce("c.old_no", "c.new_no").alias("line_no"), "c.line")
 
 
-TEXTS = {f.__name__: f for f in (d1_line_diff, d2_line_changes)}
-TEXTS_SQL: dict[str, str] = {}  # diffs by recursion are too slow over whole tables; tests hold them against the full table of lengths
+#: How a call of each type is written in a method of a made file: N is the called method, C its class. Each holds something that only looks like a call.
+WRITTEN = {
+    "DIRECT": ("  // dead.call(1);\n  this.held.N(a, \"x.y(1); }\", '(');\n", [("CALL", "held", "N", 0)], 1),
+    "INTERFACE": ("  if (ok) {\n    held.N(a);\n  } else if (b == null) { return; }\n", [("CALL", "held", "N", 0)], 3),
+    "INHERITANCE": ("  super.N(a);\n\n  do { a++; } while (a < 9);\n", [("CALL", "super", "N", 0)], 1),
+    "STATIC": ("  for (int i = 0; i < a; i++) C.N(i);\n", [("CALL", "C", "N", 0)], 2),
+    "REFLECTION": ("  /* C.M(\n  */\n  new C<Map<A, B>>(a).N();\n", [("NEW", None, "C", 0), ("CALL", None, "N", 0)], 1),
+    "ASYNC": ("  try { run(new Task() { public void go() { held.N(a); } }); } catch (E e) { }\n", [("CALL", None, "run", 0), ("NEW", None, "Task", 0), ("CALL", "held", "N", 0)], 2),
+    "LAMBDA": ("  each(x -> { while (x.more()) C.N(x); });\n", [("CALL", None, "each", 0), ("LAMBDA", None, None, 0), ("CALL", "x", "more", 1), ("CALL", "C", "N", 1)], 2),
+    "METHOD_REFERENCE": ("  switch (a) { case 1: use(C::N); break; default: use(null); }\n", [("CALL", None, "use", 0), ("METHOD_REF", "C", "N", 0), ("CALL", None, "use", 0)], 3),
+}
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text``: a file for each order, with a class that has a method for each call among the order's parts.
+
+    An order has a few calls, so no file and no group grows with the data.
+    """
+    g = code_graph(spark, sf_dir)
+    owners = g.methods.join(g.classes.select(F.col("id").alias("class_id"), F.col("name").alias("c")), "class_id").select(F.col("id").alias("to_id"), F.concat("name", F.col("to_id").cast("string")).alias("n"), "c")
+    e = g.edges.join(owners, "to_id")
+    body = F.lit("")
+    for kind, (text, *_) in WRITTEN.items():
+        body = F.when(F.col("call_type") == kind, F.lit(text)).otherwise(body)
+    body = F.replace(F.replace(body, F.lit("N"), F.col("n")), F.lit("C."), F.concat("c", F.lit(".")))
+    body = F.replace(F.replace(body, F.lit("C:"), F.concat("c", F.lit(":"))), F.lit("C<"), F.concat("c", F.lit("<")))
+    method = F.concat(F.lit(" public void m"), F.col("edge_ord").cast("string"), F.lit("(int a, Map<String, List<Long>> b) throws E {\n"), body, F.lit(" }\n"))
+    files = e.groupBy(F.floor(F.col("edge_ord") / 1000).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", method.alias("t")))), lambda s: s["t"]), "").alias("t"))
+    name = F.concat(F.lit("Flow"), F.col("k").cast("string"))
+    return files.select(F.concat(F.lit("app/src/main/"), name, F.lit(".java")).alias("path"), F.concat(F.lit("package app;\n// class Dead { void m() { x(); } }\npublic class "), name, F.lit(" {\n"), "t", F.lit("}\n")).alias("text"))
+
+
+def s3_call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call sites of all four kinds, counted for each method of the files."""
+    found = scanner.sites(scanner.scanned(source_files(spark, sf_dir)))
+    return found.groupBy("path", "method", "kind", "receiver", "name", "lambdas").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s17_method_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters, lines and cyclomatic complexity of each method of the files."""
+    return scanner.scanned(source_files(spark, sf_dir)).select("path", "type", "method", "n_params", "loc", "complexity", "is_public", F.size("sites").alias("n_sites"))
+
+
+def _told(name: str | None) -> str:
+    return "NULL" if name is None else {"N": "n", "C": "c"}.get(name, f"'{name}'")
+
+
+_CALLED = f"""WITH RECURSIVE {GRAPH_CTES},
+called AS (SELECT 'app/src/main/Flow' || edge_ord // 1000 || '.java' AS path, 'Flow' || edge_ord // 1000 AS type, 'm' || edge_ord AS method, call_type, m.name || to_id AS n, c.name AS c
+  FROM edges JOIN methods m ON m.id = to_id JOIN classes c ON c.id = m.class_id)"""
+_SITES = " UNION ALL ".join(f"SELECT path, method, '{kind}' AS kind, {_told(r)} AS receiver, {_told(n)} AS name, {d} AS lambdas FROM called WHERE call_type = '{t}'" for t in CALL_TYPES for kind, r, n, d in WRITTEN[t][1])
+_LINES = {t: sum(1 for x in ("{\n" + WRITTEN[t][0] + " }").split("\n") if x.strip()) for t in CALL_TYPES}
+TEXTS_SQL: dict[str, str] = {  # diffs by recursion are too slow over whole tables; tests hold them against the full table of lengths
+    "s3_call_sites": f"{_CALLED} SELECT path, method, kind, CAST(receiver AS VARCHAR) AS receiver, CAST(name AS VARCHAR) AS name, lambdas, count(*) AS n FROM ({_SITES}) GROUP BY ALL",
+    "s17_method_bodies": f"{_CALLED} SELECT path, type, method, 2 AS n_params, CASE call_type {' '.join(f"WHEN '{t}' THEN {_LINES[t]}" for t in CALL_TYPES)} END AS loc, CASE call_type {' '.join(f"WHEN '{t}' THEN {WRITTEN[t][2]}" for t in CALL_TYPES)} END AS complexity, TRUE AS is_public, CASE call_type {' '.join(f"WHEN '{t}' THEN {len(WRITTEN[t][1])}" for t in CALL_TYPES)} END AS n_sites FROM called",
+}
+TEXTS = {f.__name__: f for f in (d1_line_diff, d2_line_changes, s3_call_sites, s17_method_bodies)}

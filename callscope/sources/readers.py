@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.plans.graph import CodeGraph
+from callscope.sources import scanner
 
+# Fixed value: folders that hold no sources of the project.
 SKIPPED = r"/\.m2/repository/|/build/|/target/"
-CALL = r"(\w+)\.(\w+)\s*\("
 
 
 def source_files(spark: SparkSession, path: str, pattern: str = "*.java") -> DataFrame:
@@ -18,10 +19,8 @@ def source_files(spark: SparkSession, path: str, pattern: str = "*.java") -> Dat
 
 
 def call_sites(files: DataFrame) -> DataFrame:
-    """``path, receiver, method`` of each call in the texts."""
-    found = F.regexp_extract_all("text", F.lit(CALL), F.lit(0))
-    each = files.select("path", F.explode(found).alias("call"))
-    return each.select("path", F.regexp_extract("call", CALL, 1).alias("receiver"), F.regexp_extract("call", CALL, 2).alias("method"))
+    """``path, type, method, kind, receiver, name, line, lambdas`` of each call site in the texts."""
+    return scanner.sites(scanner.scanned(files))
 
 
 def read_graph(spark: SparkSession, path: str) -> CodeGraph:

@@ -155,7 +155,7 @@ def test_source_files_and_calls(spark, tmp_path):
     for name in ("app/A.java", "build/B.java", "app/C.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("class A { void f() { repo.save(x); log.info(1); } }")
-    calls = readers.call_sites(readers.source_files(spark, str(tmp_path))).select("receiver", "method").collect()
+    calls = readers.call_sites(readers.source_files(spark, str(tmp_path))).select("receiver", "name").collect()
     assert sorted(tuple(c) for c in calls) == [("log", "info"), ("repo", "save")]
 
 
