@@ -20,7 +20,7 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.col("doc_id").cast("string"), pick(["Controller.java", "Service.java", "Config.yml", "Util.kt", "notes.md"], F.col("doc_id") % 5))
     x = d.select(path.alias("path"), "source", "lang", F.posexplode(F.split("text", "\n")).alias("ix", "content"))
     head = F.concat(F.lit("@@ -"), (F.col("ix") + 1).cast("string"), F.lit(",3 +"), (F.col("ix") + 2).cast("string"), F.when(F.col("ix") % 12 == 0, ",4").otherwise(""), F.lit(" @@ hdr"))
-    code = F.when(F.col("ix") % 12 == 7, F.concat(F.lit("import "), "source", F.lit("."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 9, F.concat(F.lit("import com."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 3, F.lit(CODE)).otherwise(F.col("content"))
+    code = F.when(F.col("ix") % 12 == 7, F.concat(F.lit("import "), "source", F.lit("."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 9, F.concat(F.lit("import com."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 3, F.lit(CODE)).when(F.col("ix") % 10 == 2, F.concat(F.lit("  private int step"), F.col("ix").cast("string"), F.lit("(int n) {"))).otherwise(F.col("content"))
     x = x.withColumn("content", code)
     line = F.when(F.col("ix") % 6 == 0, head).otherwise(F.concat(pick(["+", "-", " "], F.col("ix") % 3), "content"))
     return x.select("path", F.col("ix").cast("long").alias("ix"), line.alias("line"))
@@ -50,7 +50,7 @@ CHANGE_CTES = f"""
 diff_lines AS (
   SELECT path, ix, CASE WHEN ix % 6 = 0 THEN '@@ -' || (ix + 1) || ',3 +' || (ix + 2) || CASE WHEN ix % 12 = 0 THEN ',4' ELSE '' END || ' @@ hdr'
                         ELSE {_case(['+', '-', ' '], 'ix % 3')} || content END AS line
-  FROM (SELECT path, ix, CASE ix % 12 WHEN 7 THEN 'import ' || source || '.' || lang || ';' WHEN 9 THEN 'import com.' || lang || ';' WHEN 3 THEN '{CODE}' ELSE content END AS content
+  FROM (SELECT path, ix, CASE ix % 12 WHEN 7 THEN 'import ' || source || '.' || lang || ';' WHEN 9 THEN 'import com.' || lang || ';' WHEN 3 THEN '{CODE}' ELSE CASE WHEN ix % 10 = 2 THEN '  private int step' || ix || '(int n) {{' ELSE content END END AS content
         FROM (SELECT {_PATH} AS path, source, lang, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS ix FROM documents))),
 log_lines AS (
   SELECT conv_id, turn, md5(conv_id || ':' || turn) || '|' || role || '|2024-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || '|' || {_case(ACTIONS, '(conv_id + turn) % 8')} || ' ' || {_case(TERMS, 'conv_id % 16')} || ' ' || replace(text, chr(10), ' ') AS line
