@@ -2,6 +2,7 @@
 
 A pattern cuts a text into tokens, of which comments and literals are dropped. A stack of open brackets knows what each stands for: the body of a type, of a
 method, of a lambda or of a class without a name, a block, or arguments. Four kinds of site are told: calls, ``new``, lambdas and method references.
+Declarations of fields, parameters and variables are told with the stretch of text in which they hold.
 A site belongs to the method of the innermost named type that is written in that type's body; what lambdas, nameless and local classes in it hold is its own.
 
 Files are scanned in Arrow batches, each by itself; a file that doesn't close its brackets gives what was read. Null and empty texts have no methods.
@@ -21,7 +22,10 @@ TOKEN = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:\\.|.)*?(?:"""|\Z)|"(?:\\.|
 TYPES = {"class", "interface", "enum", "record"}
 NOT_CALLED = {"if", "for", "while", "switch", "catch", "synchronized", "try", "return", "throw", "assert", "do", "else", "case", "new", "instanceof", "yield"}
 BRANCHES = {"if", "for", "catch", "case", "default"}
-METHODS = "path string, type string, method string, n_params int, line int, loc int, complexity int, is_public boolean, sites array<struct<kind:string,receiver:string,name:string,line:int,lambdas:int>>"
+METHODS = "path string, type string, method string, n_params int, line int, loc int, complexity int, is_public boolean, sites array<struct<kind:string,receiver:string,name:string,line:int,lambdas:int,at:int>>"
+#: Words before a name that aren't its type.
+NO_TYPE = NOT_CALLED | TYPES | {"package", "import", "extends", "implements", "throws", "goto", "break", "continue", "final", "static", "public", "private", "protected", "super", "this", "var_", "permits"}
+DECLARED = "path string, name string, type string, annotations array<string>, start int, stop int"
 
 
 class Scanner:
@@ -34,6 +38,8 @@ class Scanner:
         self.words = [m[0] if m[0][0] not in "\"'" else '""' for m in self.tokens]
         self.open: list[dict] = []  # brackets: what they stand for, their method and how many lambdas are around
         self.found: list[dict] = []
+        self.declared_: list[dict] = []
+        self.waiting: list[dict] = []  # parameters whose body hasn't begun
         self.method: dict | None = None
         self.lambdas = 0
 
@@ -45,7 +51,7 @@ class Scanner:
 
     def site(self, kind: str, receiver: str | None, name: str | None, n: int) -> None:
         if self.method is not None:
-            self.method["sites"].append((kind, receiver, name, self.line(n), self.lambdas))
+            self.method["sites"].append((kind, receiver, name, self.line(n), self.lambdas, self.tokens[n].start()))
 
     def matching(self, n: int) -> int:
         """The place of the bracket that closes the round one at ``n``."""
@@ -105,7 +111,35 @@ class Scanner:
                 held |= {"kind": "method"}
             elif self.word(n - 1) == "->" and not self.case_arrow(n - 1):
                 held |= {"kind": "lambda"}
-        self.open.append(held)
+        if w == "{":
+            held["declared"], self.waiting = self.waiting, []
+        self.open.append({"declared": [], "start": self.tokens[n].start()} | held)
+
+    def end(self, held: dict, n: int) -> None:
+        """What was declared in a bracket holds up to its end; in round ones, for the body that follows."""
+        if held["bracket"] == "(" and held["declared"]:
+            self.waiting += held["declared"]
+        else:
+            for d in held["declared"]:
+                d["stop"] = self.tokens[n].start()
+
+    def declaration(self, n: int) -> None:
+        """A name after a type and before ``=``, ``;``, ``,``, ``)`` or ``:`` is declared."""
+        k, inner = n - 1, 0
+        while k >= 0 and (self.words[k] in ("]", "[", ".") or self.words[k] == ">" or inner):  # arrays, dots of a variable number, type arguments
+            inner += (self.words[k] == ">") - (self.words[k] == "<")
+            k -= 1
+        type_ = self.word(k)
+        if not re.match(r"[A-Za-z_$]", type_) or type_ in NO_TYPE or not self.open or self.word(n - 1) == "." and self.word(n - 2) != ".":
+            return
+        start, inner = k, 0
+        while start > 0 and (inner or self.words[start - 1] not in (";", "{", "}", "(", ",")):  # over the arguments of annotations
+            inner += (self.words[start - 1] == ")") - (self.words[start - 1] == "(")
+            start -= 1
+        names = [self.words[j + 1] for j in range(start, k) if self.words[j] == "@"]
+        holder = self.open[-1]
+        holder["declared"].append({"name": self.words[n], "type": type_, "annotations": names, "start": holder["start"] if holder["kind"] == "type" else self.tokens[n].start(), "stop": len(self.text)})
+        self.declared_.append(holder["declared"][-1])
 
     def case_arrow(self, n: int) -> bool:
         """Whether an arrow belongs to a label of a switch."""
@@ -119,16 +153,19 @@ class Scanner:
     def closed(self, n: int) -> None:
         pairs = {")": "(", "]": "[", "}": "{"}
         while self.open and self.open[-1]["bracket"] == "->":  # a lambda without braces ends here
+            self.end(self.open[-1], n)
             self.lambdas = self.open.pop()["lambdas"]
         if not self.open or self.open[-1]["bracket"] != pairs[self.words[n]]:
             return
         held = self.open.pop()
+        self.end(held, n)
         if held["kind"] == "method" and self.method is not None:
             body = self.text[self.method.pop("at") : self.tokens[n].end()]
             self.method["loc"] = sum(1 for x in body.split("\n") if x.strip())
             self.found.append(self.method)
         self.method, self.lambdas, self.done = held["method"], held["lambdas"], held["do"]
         if self.open and self.open[-1]["bracket"] == "->" and self.words[n] == "}" and held["kind"] == "lambda":
+            self.end(self.open[-1], n)
             self.lambdas = self.open.pop()["lambdas"]
 
     def scan(self) -> list[dict]:
@@ -137,7 +174,12 @@ class Scanner:
             before, after = self.word(n - 1), self.word(n + 1)
             if w in (",", ";"):
                 while self.open and self.open[-1]["bracket"] == "->":
+                    self.end(self.open[-1], n)
                     self.lambdas = self.open.pop()["lambdas"]
+                if w == ";" and not (self.open and self.open[-1]["bracket"] == "("):  # parameters of a method without a body, or of one statement
+                    for d in self.waiting:
+                        d["stop"] = self.tokens[n].start()
+                    self.waiting = []
             if w in ("(", "[", "{"):
                 self.opened(n)
             elif w in (")", "]", "}"):
@@ -145,12 +187,16 @@ class Scanner:
                 continue
             elif w == "->" and not self.case_arrow(n):
                 self.site("LAMBDA", None, None, n)
-                self.open.append({"bracket": "->", "kind": "arrow", "lambdas": self.lambdas, "method": self.method, "do": False})
+                self.open.append({"bracket": "->", "kind": "arrow", "lambdas": self.lambdas, "method": self.method, "do": False, "declared": self.waiting, "start": self.tokens[n].start()})
+                self.waiting = []
                 self.lambdas += 1
             elif w == "::":
                 self.site("METHOD_REF", before if re.match(r"[\w$]", before) else None, after, n)
-            elif re.match(r"[A-Za-z_$]", w) and self.method is not None:
-                self.named(n, w, before, after)
+            elif re.match(r"[A-Za-z_$]", w):
+                if after in ("=", ";", ",", ")", ":") and w not in NO_TYPE and (re.match(r"[A-Za-z_$]", before) or before in (">", "]", ".")) and not (after == "=" and self.word(n + 2) == "="):
+                    self.declaration(n)
+                if self.method is not None:
+                    self.named(n, w, before, after)
             self.done = self.done and w == "}"
         return self.found
 
@@ -202,12 +248,40 @@ def scanned(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, m["type"], m["method"], m["n_params"], m["line"], m["loc"], m["complexity"], m["is_public"], [dict(zip(("kind", "receiver", "name", "line", "lambdas"), s, strict=True)) for s in m["sites"]]) for p, t in zip(b["path"], b["text"], strict=True) for m in methods_in(t)]
+            rows = [(p, m["type"], m["method"], m["n_params"], m["line"], m["loc"], m["complexity"], m["is_public"], [dict(zip(("kind", "receiver", "name", "line", "lambdas", "at"), s, strict=True)) for s in m["sites"]]) for p, t in zip(b["path"], b["text"], strict=True) for m in methods_in(t)]
             yield pd.DataFrame(rows, columns=["path", "type", "method", "n_params", "line", "loc", "complexity", "is_public", "sites"])
 
     return files.select("path", "text").mapInPandas(run, METHODS)
 
 
+def declared(files: DataFrame) -> DataFrame:
+    """``DECLARED`` of files (path, text): names with their types, annotations and where they hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, t in zip(b["path"], b["text"], strict=True):
+                s = Scanner(t or "")
+                s.scan()
+                rows += [(p, d["name"], d["type"], d["annotations"], d["start"], d["stop"]) for d in s.declared_]
+            yield pd.DataFrame(rows, columns=["path", "name", "type", "annotations", "start", "stop"])
+
+    return files.select("path", "text").mapInPandas(run, DECLARED)
+
+
+def resolved(files: DataFrame) -> DataFrame:
+    """Call sites with the declaration of their receiver: the last to begin of those of its name that hold at the site; nulls without one.
+
+    An as-of join over nested stretches: equal files and names, the site within the stretch, then the latest start of each site.
+    """
+    calls = sites(scanned(files)).where("receiver IS NOT NULL")
+    d = declared(files).select("path", F.col("name").alias("receiver"), F.col("type").alias("receiver_type"), "annotations", "start", "stop")
+    keys = ["path", "type", "method", "kind", "receiver", "name", "line", "lambdas", "at"]
+    holds = [F.col(f"c.{k}") == F.col(f"d.{k}") for k in ("path", "receiver")] + [F.col("d.start") <= F.col("c.at"), F.col("c.at") < F.col("d.stop")]
+    both = calls.alias("c").join(d.alias("d"), holds, "left").select("c.*", "d.start", "d.receiver_type", "d.annotations")
+    return both.groupBy(*keys).agg(F.max_by(F.struct("receiver_type", "annotations"), "start").alias("d")).select(*keys, "d.receiver_type", "d.annotations")
+
+
 def sites(methods: DataFrame) -> DataFrame:
-    """One row a site: ``path, type, method, kind, receiver, name, line, lambdas``; in ``lambdas`` nested ones are counted."""
+    """One row a site: ``path, type, method, kind, receiver, name, line, lambdas, at``; in ``lambdas`` nested ones are counted."""
     return methods.select("path", "type", "method", F.explode("sites").alias("s")).select("path", "type", "method", "s.*")

@@ -47,7 +47,7 @@ def found():
 
 
 def calls(m):
-    return [(k, r, n, d) for k, r, n, _, d in m["sites"]]
+    return [(k, r, n, d) for k, r, n, _, d, _ in m["sites"]]
 
 
 def test_methods_and_types(found):
@@ -82,6 +82,35 @@ def test_measures(found):
     assert found["Face", "d"]["complexity"] == 3 and found["Inner", "f"]["complexity"] == 1 and found["Inner", "g"]["loc"] == 2
 
 
+SHADOWED = """
+class A {
+    void before() { repo.early(); }
+    @Inject(name = "x") private final Map<String, OrderService> repo = load();
+    void f(UserRepository repo, int... n) throws E {
+        repo.param();
+        if (n > 1) { Plain repo = other(); repo.local(); for (Item<A, B> repo : all) { repo.looped(); } repo.again(); }
+        repo.param2();
+        run((Cache repo) -> repo.lambda(), repo.argument());
+        try { repo.tried(); } catch (Bad | Worse repo) { repo.caught(); }
+        for (Job repo : jobs) repo.single();
+        repo.last();
+    }
+    void g() { this.repo.field(); Other[] repo; repo.array(); unknown.call(); a = b == repo; }
+    abstract void h(Gone repo);
+    class In { Deep repo; void i() { repo.deep(); } }
+    void j() { repo.outer(); }
+}
+"""
+
+
+def test_receivers_in_nested_blocks(spark):
+    got = scanner.resolved(spark.createDataFrame([("p", SHADOWED), ("q", "class B { void f() { repo.other(); } }")], "path string, text string")).where("kind = 'CALL'").collect()
+    types = {r["name"]: r["receiver_type"] for r in got}
+    want = {"early": "Map", "param": "UserRepository", "local": "Plain", "looped": "Item", "again": "Plain", "param2": "UserRepository", "lambda": "Cache", "argument": "UserRepository", "tried": "UserRepository", "caught": "Worse", "single": "Job", "last": "UserRepository", "field": "Map", "array": "Other", "call": None, "deep": "Deep", "outer": "Map", "other": None}
+    assert types == want
+    assert next(r["annotations"] for r in got if r["name"] == "outer") == ["Inject"]
+
+
 @pytest.mark.parametrize("text", ["", None, "class A {", "} ) ]", "class A { void f() { g(", 'class A { void f() { "open', "/* open", "x -> { y(", "class A { void f() { if (a { b(); } } }"])
 def test_broken_texts(text):
     scanner.methods_in(text)
