@@ -13,6 +13,9 @@ PACKAGE_LAYERS: Rules = [("controller|web", "CONTROLLER"), ("service|business",
 SUFFIX_LAYERS: Rules = [("controller", "CONTROLLER"), ("service|serviceimpl", "SERVICE"), ("mapper|dao", "MAPPER"), ("repository|repo", "REPOSITORY"), ("util|utils|helper", "UTIL"), ("entity|model|do|dto|vo|po", "ENTITY"), ("config|configuration", "CONFIG"), ("component", "COMPONENT")]
 SUPER_LAYERS: Rules = [("controller", "CONTROLLER"), ("service", "SERVICE"), ("repository", "REPOSITORY"), ("mapper", "MAPPER")]
 ANNOTATION_LAYERS: Rules = [("Controller|RestController|ControllerAdvice", "CONTROLLER"), ("Service|Stateless|Stateful|Singleton", "SERVICE"), ("Repository|JpaRepository|MongoRepository", "REPOSITORY"), ("Mapper|MapperScan", "MAPPER"), ("Configuration|ConfigurationProperties|SpringBootApplication", "CONFIG"), ("Component", "COMPONENT"), ("Entity|Document", "ENTITY")]
+REPORT_ANNOTATIONS: Rules = [("Controller|RestController", "CONTROLLER"), ("Service", "SERVICE"), ("Repository", "REPOSITORY"), ("Mapper|MapperScan", "MAPPER"), ("Configuration|ConfigurationProperties", "CONFIG"), ("Entity|Document", "ENTITY")]
+REPORT_PACKAGES: Rules = [("controller", "CONTROLLER"), ("service", "SERVICE"), ("mapper|dao", "MAPPER"), ("repository", "REPOSITORY"), ("util|utils", "UTIL"), ("entity|model|domain", "ENTITY"), ("config", "CONFIG")]
+REPORT_SUFFIXES: Rules = [("Controller", "CONTROLLER"), ("Service|ServiceImpl", "SERVICE"), ("Mapper|Dao|DAO", "MAPPER"), ("Repository", "REPOSITORY"), ("Util|Utils|Helper", "UTIL"), ("Entity|Model|DO|DTO|VO", "ENTITY"), ("Config|Configuration", "CONFIG")]
 PACKAGE_DOMAINS: Rules = [("user|account|profile", "USER"), ("order|purchase|cart", "ORDER"), ("product|goods|item|catalog", "PRODUCT"), ("payment|pay|billing|finance", "PAYMENT"), ("auth|security|login|permission", "AUTH"), ("system|admin|manage", "SYSTEM"), ("common|util|base", "COMMON")]
 NAME_DOMAINS: Rules = [("user|account|profile|member|customer|person", "USER"), ("order|purchase|cart|shopping|checkout", "ORDER"), ("product|goods|item|sku|catalog|inventory", "PRODUCT"), ("payment|pay|billing|invoice|refund|wallet", "PAYMENT"), ("auth|login|security|permission|role|token", "AUTH"), ("system|admin|config|setting|monitor", "SYSTEM"), ("common|util|helper|base|abstract", "COMMON")]
 ANNOTATION_DOMAINS: Rules = [("User|Account", "USER"), ("Order|Purchase", "ORDER"), ("Product|Catalog", "PRODUCT"), ("Payment|Billing", "PAYMENT"), ("Security|Auth", "AUTH"), ("System|Admin", "SYSTEM")]

@@ -11,6 +11,7 @@ from callscope.plans.texts import Spark, Text
 
 HEADER = "^@@ -([0-9]+),?([0-9]*) [+]([0-9]+),?([0-9]*) @@ ?(.*)$"
 CODE = "if (ready) { for (int i = 0; i < n; i++) { step(i); } }"  # a line of code among the texts, as are imports
+CHECKED, UNCHECKED = "if (!user.validate()) return;", "if (true) { step(); }"  # a check that goes, and what comes for it
 ACTIONS, TERMS = r.COMMIT_ACTIONS[:8], r.COMMIT_TERMS[:16]
 
 
@@ -20,7 +21,7 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.col("doc_id").cast("string"), pick(["Controller.java", "Service.java", "Config.yml", "Util.kt", "notes.md"], F.col("doc_id") % 5))
     x = d.select(path.alias("path"), "source", "lang", F.posexplode(F.split("text", "\n")).alias("ix", "content"))
     head = F.concat(F.lit("@@ -"), (F.col("ix") + 1).cast("string"), F.lit(",3 +"), (F.col("ix") + 2).cast("string"), F.when(F.col("ix") % 12 == 0, ",4").otherwise(""), F.lit(" @@ hdr"))
-    code = F.when(F.col("ix") % 12 == 7, F.concat(F.lit("import "), "source", F.lit("."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 9, F.concat(F.lit("import com."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 3, F.lit(CODE)).when(F.col("ix") % 10 == 2, F.concat(F.lit("  private int step"), F.col("ix").cast("string"), F.lit("(int n) {"))).otherwise(F.col("content"))
+    code = F.when(F.col("ix") % 60 == 27, F.lit(UNCHECKED)).when(F.col("ix") % 12 == 7, F.concat(F.lit("import "), "source", F.lit("."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 9, F.concat(F.lit("import com."), "lang", F.lit(";"))).when(F.col("ix") % 12 == 3, F.lit(CODE)).when(F.col("ix") % 10 == 2, F.concat(F.lit("  private int step"), F.col("ix").cast("string"), F.lit("(int n) {"))).when(F.col("ix") % 60 == 28, F.lit(CHECKED)).otherwise(F.col("content"))
     x = x.withColumn("content", code)
     line = F.when(F.col("ix") % 6 == 0, head).otherwise(F.concat(pick(["+", "-", " "], F.col("ix") % 3), "content"))
     return x.select("path", F.col("ix").cast("long").alias("ix"), line.alias("line"))
@@ -50,7 +51,7 @@ CHANGE_CTES = f"""
 diff_lines AS (
   SELECT path, ix, CASE WHEN ix % 6 = 0 THEN '@@ -' || (ix + 1) || ',3 +' || (ix + 2) || CASE WHEN ix % 12 = 0 THEN ',4' ELSE '' END || ' @@ hdr'
                         ELSE {_case(['+', '-', ' '], 'ix % 3')} || content END AS line
-  FROM (SELECT path, ix, CASE ix % 12 WHEN 7 THEN 'import ' || source || '.' || lang || ';' WHEN 9 THEN 'import com.' || lang || ';' WHEN 3 THEN '{CODE}' ELSE CASE WHEN ix % 10 = 2 THEN '  private int step' || ix || '(int n) {{' ELSE content END END AS content
+  FROM (SELECT path, ix, CASE WHEN ix % 60 = 27 THEN '{UNCHECKED}' ELSE CASE ix % 12 WHEN 7 THEN 'import ' || source || '.' || lang || ';' WHEN 9 THEN 'import com.' || lang || ';' WHEN 3 THEN '{CODE}' ELSE CASE WHEN ix % 10 = 2 THEN '  private int step' || ix || '(int n) {{' WHEN ix % 60 = 28 THEN '{CHECKED}' ELSE content END END END AS content
         FROM (SELECT {_PATH} AS path, source, lang, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS ix FROM documents))),
 log_lines AS (
   SELECT conv_id, turn, md5(conv_id || ':' || turn) || '|' || role || '|2024-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || '|' || {_case(ACTIONS, '(conv_id + turn) % 8')} || ' ' || {_case(TERMS, 'conv_id % 16')} || ' ' || replace(text, chr(10), ' ') AS line
@@ -101,7 +102,6 @@ CHANGES: dict[str, Text] = {
     "s16_source_scan": lambda d: f"WITH {FILES} SELECT path FROM files WHERE {d.rx('path', '[.](java|kt)$')} AND NOT {d.rx('lower(path)', 'test')}",
     "j21_replaced_lines": lambda d: f"WITH {hunks(d)}, {PAIRED} SELECT path, hunk, CAST(count(*) AS BIGINT) AS n_pairs FROM met GROUP BY path, hunk",
     "w1_running_line_number": lambda d: f"WITH {hunks(d)} SELECT path, hunk, min(line_no) AS first_no, max(line_no) AS last_no, CAST(count(line_no) AS BIGINT) AS n FROM placed GROUP BY path, hunk",
-    "w3_commit_similarity": lambda d: f"WITH {COMMITS}, k AS (SELECT conv_id, turn, author, lag(author) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM commits) SELECT conv_id, turn, CASE WHEN author = before THEN 1.0E0 ELSE 0.0E0 END AS same FROM k WHERE before IS NOT NULL",
     "w4_first_last_commit": lambda d: f"WITH {COMMITS} SELECT conv_id, min_by(hash, turn) AS first_hash, max_by(hash, turn) AS last_hash, CAST(count(*) AS BIGINT) AS n FROM commits GROUP BY conv_id",
     "w9_change_islands": lambda d: f"WITH {hunks(d)}, c AS (SELECT path, ix, lag(ix) OVER (PARTITION BY path ORDER BY ix) AS p FROM placed WHERE kind <> 'CONTEXT'), g AS (SELECT path, ix, CAST(sum(CASE WHEN p IS NULL OR ix - p > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ix) AS BIGINT) AS island FROM c) SELECT path, island, CAST(min(ix) AS BIGINT) AS lo, CAST(max(ix) AS BIGINT) AS hi, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY path, island",
     "a18_change_scope": lambda d: f"WITH {FILES} SELECT change, CAST(count(*) AS BIGINT) AS n FROM files GROUP BY change",
@@ -114,19 +114,15 @@ CHANGES: dict[str, Text] = {
         FROM placed WHERE contains(content, 'import ') AND kind IN ('ADDED', 'DELETED') GROUP BY 1, 2, 3""".replace("strpos", "locate_" if d.name == "spark" else "strpos").replace("locate_(content, 'import ')", "locate('import ', content)"),
     "d7_commit_keywords": lambda d: f"WITH {COMMITS} SELECT hash, {r.hits('lower(message)', r.COMMIT_TERMS)} AS terms, {r.hits('lower(message)', r.COMMIT_ACTIONS)} AS actions FROM commits",
     "d8_paths": lambda d: f"WITH {FILES} SELECT path, split_part(path, '/', 1) AS module, {r.first_match('lower(path)', r.PATH_LAYERS)} AS layer, {r.hits('lower(path)', r.PATTERN_WORDS)} AS patterns FROM files",
-    "d9_impact": lambda d: f"WITH {hunks(d)}, f AS (SELECT path, CAST(sum(CASE WHEN kind <> 'CONTEXT' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM placed GROUP BY path) SELECT path, n, n > 50 AS hotspot, round(least(0.01E0 * n, 1.0E0), 6) AS regression_risk FROM f",
     "d10_hunk_impact": lambda d: f"WITH {hunks(d)} SELECT path, hunk, {r.first_match('t', r.HUNK_IMPACT, 'LOW')} AS impact, CASE WHEN {r.has('t', 'delete|remove|transaction|lock|security|auth')} THEN 'HIGH' WHEN {r.has('t', 'exception|error')} THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM {blob(d)} b",
     "d11_key_changes": lambda d: f"WITH {hunks(d)} SELECT path, hunk, {r.hits('t', ['return', 'throw', 'break', 'continue', 'lock', 'unlock', 'timeout'])} AS keywords FROM {blob(d)} b",
     "d13_inferred_methods": lambda d: f"WITH {FILES} SELECT path, {r.first_match('path', [('Controller', 'handle,process,get,post,put,delete'), ('Service', 'process,execute,handle,create,update,delete'), ('Repository', 'save,find,delete,update,query'), ('Util', 'convert,validate,format,process')], 'main,process,execute')} AS methods FROM files",
-    "d16_dedup_paths": lambda d: f"WITH {hunks(d)} SELECT k, CAST(min(hunk) AS BIGINT) AS first_hunk, CAST(count(*) AS BIGINT) AS n FROM (SELECT least(path, 'src/m') || '->' || greatest(path, 'src/m') AS k, hunk FROM placed) x GROUP BY k",
-    "d17_relevant": lambda d: f"WITH {FILES} SELECT path, (NOT {d.rx('lower(path)', 'test|mock')} AND change <> 'DELETED') AS relevant FROM files",
     "d18_impact_score": lambda d: f"WITH {hunks(d)} SELECT path, hunk, {r.points('t', r.IMPACT_POINTS)} + CASE WHEN n > 50 THEN 30 WHEN n > 20 THEN 25 WHEN n > 5 THEN 20 ELSE 15 END AS score FROM {blob(d)} b",
     "d19_critical_logic": lambda d: f"WITH {hunks(d)}, {PAIRED} SELECT path, hunk, max(CASE WHEN ({words('x', 'auth|permission|validate|check|verify|secure|access|role')}) AND {words('x', 'if|return')} AND contains(y, 'true') AND NOT ({words('y', 'auth|permission|validate|check|verify|secure|access|role')}) THEN 90 WHEN {words('x', 'timeout|expire|deadline|duration|nanotime|currenttime')} AND {d.rx('x', '[><]|==')} AND {d.rx('y', 'true|false|1|0')} AND NOT ({words('y', 'timeout|expire|deadline|duration|nanotime|currenttime')}) THEN 95 WHEN {words('x', 'try|catch')} AND NOT ({words('y', 'try|catch')}) THEN 85 WHEN {words('x', 'validate|verify|check|ensure|assert|require')} AND contains(x, 'if') AND contains(y, 'return') THEN 80 ELSE 0 END) AS risk FROM met GROUP BY path, hunk",
     "d21_dangerous_text": lambda d: f"WITH {hunks(d)} SELECT path, hunk, {d.rx('t', 'select [*] from|delete from.*where|update.*set.*where')} AS sql_risk, {d.rx('t', '[.]keys *[(]|[.]flush(db|all) *[(]|[.]config *[(]')} AS cache_risk FROM {blob(d)} b",
     "d22_danger_severity": lambda d: f"WITH {hunks(d)} SELECT path, hunk, CASE WHEN contains(t, 'redis') AND contains(t, 'keys(') THEN 'CRITICAL' WHEN contains(t, 'redis') THEN 'HIGH' WHEN {words('t', 'sql|select|update')} THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM {blob(d)} b",
     "d23_static_issues": lambda d: f"WITH {hunks(d)} SELECT path, hunk, CAST(ix AS BIGINT) AS ix, 'MINOR' AS severity, 'CODE_STYLE' AS category FROM placed WHERE length(content) > 120 UNION ALL SELECT path, hunk, CAST(ix AS BIGINT), 'INFO', 'DOCUMENTATION' FROM placed WHERE contains(lower(content), 'todo') UNION ALL SELECT path, hunk, CAST(ix AS BIGINT), 'MAJOR', 'BUG_RISK' FROM placed WHERE contains(content, '!!') AND path LIKE '%.kt'",
     "a23_review_score": lambda d: f"WITH {hunks(d)}, i AS (SELECT path, CASE WHEN length(content) > 120 THEN 5 ELSE 0 END + CASE WHEN contains(lower(content), 'todo') THEN 1 ELSE 0 END + CASE WHEN contains(content, '!!') AND path LIKE '%.kt' THEN 10 ELSE 0 END AS p, CASE WHEN contains(content, '!!') AND path LIKE '%.kt' THEN 2 WHEN length(content) > 120 THEN 1 ELSE 0 END AS k FROM placed) SELECT path, CAST(greatest(100 - sum(p), 0) AS BIGINT) AS score, CASE max(k) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM i GROUP BY path",
-    "p32_quality_gate": lambda d: f"WITH {hunks(d)}, i AS (SELECT path, greatest(100 - sum(CASE WHEN length(content) > 120 THEN 5 ELSE 0 END), 0) AS score FROM placed GROUP BY path) SELECT path, score >= 70 AS passed, CASE WHEN score < 70 THEN 'score below minimum' ELSE '' END AS reason FROM i",
     "r9_file_intent": lambda d: f"WITH {FILES} SELECT path, round(CAST(least(1.0, CASE change WHEN 'ADDED' THEN 0.8 WHEN 'MODIFIED' THEN 0.6 WHEN 'DELETED' THEN 0.4 ELSE 0 END + {r.first_match('lower(path)', [('controller', 0.3), ('service', 0.25), ('repository', 0.2), ('config', 0.15), ('util', 0.05)], 0.0)}) AS DOUBLE), 6) AS intent FROM files",
     "r10_file_risk": lambda d: f"WITH {FILES} SELECT path, round(CAST(least(1.0, {r.first_match('lower(path)', [('config', 0.8), ('security', 0.9), ('controller', 0.6), ('service', 0.5), ('repository', 0.7), ('entity', 0.6), ('util', 0.4), ('test', 0.1)], 0.3)} + CASE WHEN change = 'DELETED' THEN 0.4 ELSE 0 END) AS DOUBLE), 6) AS risk FROM files",
     "r11_dual_flow": lambda d: f"WITH {FILES}, s AS (SELECT path, change, least(1.0E0, CASE change WHEN 'ADDED' THEN 0.8E0 WHEN 'MODIFIED' THEN 0.6E0 ELSE 0.4E0 END) AS i, {r.first_match('lower(path)', [('config', 0.8), ('controller', 0.6), ('service', 0.5), ('util', 0.4)], 0.3)} AS k FROM files), c AS (SELECT *, CAST(0.4 * i + 0.6 * k AS DOUBLE) AS combined FROM s) SELECT path, round(combined, 6) AS combined, CASE WHEN round(combined, 6) >= 0.8 THEN 'HIGH' WHEN round(combined, 6) >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS priority, {r.first_match('lower(path)', [('security', 'security-expert'), ('config', 'devops-engineer'), ('controller', 'api-expert'), ('service', 'business-analyst'), ('repository', 'database-expert')], 'senior-developer')} AS reviewer, CAST(floor(round(CASE change WHEN 'ADDED' THEN 20 WHEN 'MODIFIED' THEN 15 ELSE 10 END * (1 + combined), 6)) AS BIGINT) AS minutes FROM c",
@@ -134,7 +130,6 @@ CHANGES: dict[str, Text] = {
     "w2_segments": lambda d: f"WITH {hunks(d)} SELECT path, hunk, min(ix) AS first_ix, max(ix) AS last_ix, CAST(count(*) AS BIGINT) AS n_lines FROM placed GROUP BY path, hunk",
     "a13_cyclomatic": lambda d: f"WITH {hunks(d)}, {measured(d)} SELECT path, complexity, loc FROM measured",
     "c33_text_smells": lambda d: f"WITH {hunks(d)}, {measured(d)} SELECT path, 'LONG_METHOD' AS smell, loc AS n FROM measured WHERE loc > 50 UNION ALL SELECT path, 'HIGH_COMPLEXITY', complexity FROM measured WHERE complexity > 10",
-    "a22_top_risk_factors": lambda d: f"WITH {hunks(d)}, b AS (SELECT t FROM {blob(d)} z) SELECT factor, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{w}' AS factor FROM b WHERE contains(t, '{w}')" for w in ("lock", "timeout", "auth", "order", "user", "token", "error")) + ") x GROUP BY factor ORDER BY n DESC, factor LIMIT 10",
 }
 
 

@@ -62,7 +62,6 @@ GRAPH: dict[str, Text] = {
     "j13_tests_of_classes": lambda d: """SELECT t.name AS test_name, b.name AS business_name FROM (SELECT name, lower(replace(name, 'Util', '')) AS stem FROM {classes} WHERE layer = 'UTIL') t
         JOIN {classes} b ON b.layer <> 'UTIL' AND (contains(lower(b.name), t.stem) OR contains(t.stem, lower(b.name)))""",
     "j15_methods_with_calls": lambda d: "SELECT m.id, m.name FROM {methods} m LEFT SEMI JOIN {edges} e ON m.id = e.from_id" if d.name == "spark" else "SELECT m.id, m.name FROM methods m WHERE EXISTS (SELECT 1 FROM edges e WHERE m.id = e.from_id)",
-    "j17_orphan_methods": lambda d: "SELECT m.id, m.name FROM {methods} m WHERE NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.from_id = m.id) AND NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.to_id = m.id) AND NOT m.is_public",
     "j18_dangling_references": lambda d: "SELECT 'super' AS kind, c.id FROM {classes} c LEFT JOIN {classes} p ON c.super_id = p.id WHERE c.super_id IS NOT NULL AND p.id IS NULL UNION ALL SELECT 'class', m.id FROM {methods} m LEFT JOIN {classes} c ON m.class_id = c.id WHERE c.id IS NULL UNION ALL SELECT 'edge', e.edge_ord FROM {edges} e LEFT JOIN {methods} m ON e.to_id = m.id WHERE m.id IS NULL",
     "j20_consecutive_pairs": lambda d: f"WITH {CALLS} SELECT from_id, line, to_id, next_id FROM (SELECT from_id, line, to_id, lead(to_id) OVER (PARTITION BY from_id ORDER BY line, edge_ord) AS next_id FROM calls) x WHERE next_id IS NOT NULL",
     # aggregations
@@ -99,7 +98,7 @@ GRAPH: dict[str, Text] = {
     "c9_class_call_stats": lambda d: f"WITH {CALLS} SELECT c.id, c.name, coalesce(o.n_methods, 0) AS n_calling, coalesce(o.n_classes, 0) AS n_called_classes, coalesce(i.n_methods, 0) AS n_called, coalesce(i.n_classes, 0) AS n_calling_classes, coalesce(o.layers, '') AS down_layers, coalesce(i.layers, '') AS up_layers FROM {{classes}} c LEFT JOIN (SELECT from_class, CAST(count(DISTINCT from_id) AS BIGINT) AS n_methods, CAST(count(DISTINCT to_class) AS BIGINT) AS n_classes, {d.top('to_layer', 3)} AS layers FROM calls GROUP BY from_class) o ON o.from_class = c.id LEFT JOIN (SELECT to_class, CAST(count(DISTINCT to_id) AS BIGINT) AS n_methods, CAST(count(DISTINCT from_class) AS BIGINT) AS n_classes, {d.top('from_layer', 3)} AS layers FROM calls GROUP BY to_class) i ON i.to_class = c.id",
     "c10_architecture_stats": lambda d: f"WITH {CALLS} SELECT from_layer, to_layer, CAST(count(DISTINCT from_class) AS BIGINT) AS n_from, CAST(count(DISTINCT to_class) AS BIGINT) AS n_to, CAST(count(*) AS BIGINT) AS n_calls FROM calls GROUP BY from_layer, to_layer",
     "c11_method_info": lambda d: "SELECT m.id, m.name, c.name AS class_name, c.layer, m.n_params, m.return_type, m.is_static, m.is_abstract, m.is_ctor FROM {methods} m JOIN {classes} c ON m.class_id = c.id",
-    "c12_method_call_stats": lambda d: f"WITH {CALLS} SELECT m.id, CAST(count(DISTINCT o.to_class) AS BIGINT) AS n_called_classes, CAST(count(DISTINCT i.from_class) AS BIGINT) AS n_calling_classes FROM {{methods}} m LEFT JOIN calls o ON o.from_id = m.id LEFT JOIN calls i ON i.to_id = m.id GROUP BY m.id",
+    "c12_method_call_stats": lambda d: f"WITH {CALLS}, o AS (SELECT from_id AS id, CAST(count(DISTINCT to_class) AS BIGINT) AS n FROM calls GROUP BY from_id), i AS (SELECT to_id AS id, CAST(count(DISTINCT from_class) AS BIGINT) AS n FROM calls GROUP BY to_id) SELECT m.id, coalesce(o.n, 0) AS n_called_classes, coalesce(i.n, 0) AS n_calling_classes FROM {{methods}} m LEFT JOIN o ON o.id = m.id LEFT JOIN i ON i.id = m.id",
     "c13_class_call_graph": lambda d: f"WITH {CALLS} SELECT from_class_name AS src, 'CALLS' AS rel, to_class_name AS dst, CAST(count(*) AS BIGINT) AS n FROM calls WHERE from_class <> to_class GROUP BY from_class_name, to_class_name",
     "c14_implementation_graph": lambda d: "SELECT 'implements' AS role, c.name AS src, i.name AS dst FROM {classes} c JOIN {classes} i ON c.interface_id = i.id WHERE i.is_interface UNION SELECT 'contains', i.name, m.name FROM {classes} i JOIN {methods} m ON m.class_id = i.id WHERE i.is_interface",
     "c16_dependency_graph": lambda d: f"WITH {LINKS} {hops(True, True)}",

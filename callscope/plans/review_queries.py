@@ -16,6 +16,7 @@ from callscope.plans.graph import CodeGraph
 from callscope.plans.tree_queries import ASKED
 
 FIRST = 10  # callers or callees of a method that become paths
+PICKED = 4  # one class of so many is changed
 MOST_LAYERS = 2  # a class that depends on more layers gives a cross-layer path
 
 
@@ -30,9 +31,10 @@ def changed(g: CodeGraph) -> DataFrame:
 
 
 def direct_paths(g: CodeGraph) -> DataFrame:
-    """A path of one method for each changed method, and of the class alone where a class has none."""
+    """A path of one method for each changed method, and of the class alone where a changed file, which a hash of its class's name picks, has no changed method."""
     own = changed(g)
-    classes = g.classes.select(F.col("id").alias("class_id"), "name").join(own.select("class_id").distinct(), "class_id", "left_anti")
+    picked = F.conv(F.substring(F.md5("name"), 1, 4), 16, 10).cast("long") % PICKED == 0
+    classes = g.classes.where(picked).select(F.col("id").alias("class_id"), "name").join(own.select("class_id").distinct(), "class_id", "left_anti")
     return own.select(F.lit("direct").alias("family"), F.col("label").alias("path")).unionByName(classes.select(F.lit("class").alias("family"), F.col("name").alias("path"))).distinct()
 
 
@@ -57,14 +59,19 @@ def cross_layer_paths(g: CodeGraph) -> DataFrame:
     return layers.join(asked, "from_class", "left_semi").join(names, "from_class").select(F.lit("cross-layer").alias("family"), F.concat(F.col("name"), F.lit(".main")).alias("path"), F.col("n_layers"))
 
 
-def families(g: CodeGraph) -> DataFrame:
-    """The four families, one after the other; of equal sets of methods the first stays."""
+def family_rows(g: CodeGraph) -> DataFrame:
+    """``ord, family, path, key`` of the four families, one after the other; ``key`` is the methods of a path, sorted."""
     parts = [(1, direct_paths(g)), (2, neighbour_paths(g, True)), (3, neighbour_paths(g, False)), (4, cross_layer_paths(g))]
     rows = None
     for ord_, part in parts:
         one = part.select(F.lit(ord_).alias("ord"), "family", "path", F.array_join(F.array_sort(F.split("path", "->")), "->").alias("key"))
         rows = one if rows is None else rows.unionByName(one)
-    first = rows.groupBy("key").agg(F.min(F.struct("ord", "path", "family")).alias("f"))
+    return rows
+
+
+def families(g: CodeGraph) -> DataFrame:
+    """The four families; of equal sets of methods the first stays."""
+    first = family_rows(g).groupBy("key").agg(F.min(F.struct("ord", "path", "family")).alias("f"))
     return first.select("f.family", "f.path")
 
 
@@ -109,7 +116,7 @@ REVIEW: dict[str, Callable[[CodeGraph], DataFrame]] = {
 
 _LABELLED = f"""labelled AS (SELECT m.id, m.class_id, c.name || '.' || m.name AS label, c.layer FROM methods m JOIN classes c ON c.id = m.class_id),
 changed AS (SELECT * FROM labelled WHERE id % {ASKED} = 0)"""
-_DIRECT = "direct AS (SELECT DISTINCT 'direct' AS family, label AS path FROM changed UNION ALL SELECT DISTINCT 'class', name FROM classes c WHERE NOT EXISTS (SELECT 1 FROM changed x WHERE x.class_id = c.id))"
+_DIRECT = "direct AS (SELECT DISTINCT 'direct' AS family, label AS path FROM changed UNION ALL SELECT DISTINCT 'class', name FROM classes c WHERE CAST('0x' || substr(md5(name), 1, 4) AS BIGINT) % 4 = 0 AND NOT EXISTS (SELECT 1 FROM changed x WHERE x.class_id = c.id))"
 _UP = f"""upstream AS (SELECT 'upstream' AS family, other || '->' || own AS path, calls FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY calls DESC, other) AS nth FROM (
     SELECT x.id, x.label AS own, o.label AS other, count(*) AS calls FROM edges e JOIN changed x ON x.id = e.to_id JOIN labelled o ON o.id = e.from_id GROUP BY ALL) c) n WHERE nth <= {FIRST})"""
@@ -125,29 +132,32 @@ concrete AS (SELECT DISTINCT b.interface_id, c.id AS class_id FROM below b JOIN
 _SORTED = "array_to_string(list_sort(string_split(path, '->')), '->')"
 
 
-def _sql(*ctes: str) -> str:
+def with_graph(*ctes: str) -> str:
     *before, last = ctes
     return "WITH RECURSIVE " + ",\n".join([GRAPH_CTES, *before]) + "\n" + last
 
 
 REVIEW_SQL = {
-    "d12_direct_paths": _sql(_LABELLED, _DIRECT, "SELECT * FROM direct"),
-    "d14_upstream_paths": _sql(_LABELLED, _UP, "SELECT * FROM upstream"),
-    "d14_downstream_paths": _sql(_LABELLED, _DOWN, "SELECT * FROM downstream"),
-    "d15_cross_layer_paths": _sql(_LABELLED, _CROSS, "SELECT * FROM crossing"),
-    "u3_path_families": _sql(
+    "d12_direct_paths": with_graph(_LABELLED, _DIRECT, "SELECT * FROM direct"),
+    "d14_upstream_paths": with_graph(_LABELLED, _UP, "SELECT * FROM upstream"),
+    "d14_downstream_paths": with_graph(_LABELLED, _DOWN, "SELECT * FROM downstream"),
+    "d15_cross_layer_paths": with_graph(_LABELLED, _CROSS, "SELECT * FROM crossing"),
+    "u3_path_families": with_graph(
         _LABELLED, _DIRECT, _UP, _DOWN, _CROSS,
         "every AS (SELECT 1 AS ord, family, path FROM direct UNION ALL SELECT 2, family, path FROM upstream UNION ALL SELECT 3, family, path FROM downstream UNION ALL SELECT 4, family, path FROM crossing)",
         f"SELECT family, path FROM (SELECT *, row_number() OVER (PARTITION BY {_SORTED} ORDER BY ord, path, family) AS nth FROM every) x WHERE nth = 1",
     ),
-    "g16_cascaded_implementations": _sql(
+    "g16_cascaded_implementations": with_graph(
         _CONCRETE,
         "SELECT DISTINCT e.from_id AS caller, im.id AS interface_method, m.id AS impl_method FROM edges e JOIN methods im ON im.id = e.to_id JOIN concrete k ON k.interface_id = im.class_id JOIN methods m ON m.class_id = k.class_id AND m.name = im.name AND m.n_params = im.n_params",
     ),
-    "g17_concrete_implementations": _sql(_CONCRETE, "SELECT * FROM concrete"),
-    "j7_normalised_types": _sql("SELECT id, raw, 'Map<String,com.shop.' || word || '>' AS type FROM (SELECT id, word, 'java.util.Map< java.lang.String , ' || chr(9) || 'com.shop.' || word || ' >' AS raw FROM (SELECT id, upper(return_type[1]) || lower(return_type[2:]) AS word FROM methods) x) y"),
+    "g17_concrete_implementations": with_graph(_CONCRETE, "SELECT * FROM concrete"),
+    "j7_normalised_types": with_graph("SELECT id, raw, 'Map<String,com.shop.' || word || '>' AS type FROM (SELECT id, word, 'java.util.Map< java.lang.String , ' || chr(9) || 'com.shop.' || word || ' >' AS raw FROM (SELECT id, upper(return_type[1]) || lower(return_type[2:]) AS word FROM methods) x) y"),
 }
 
+#: All paths of all families with the key that tells equal ones.
+FAMILY_CTES = [_LABELLED, _DIRECT, _UP, _DOWN, _CROSS, f"every AS (SELECT *, {_SORTED} AS key FROM (SELECT 1 AS ord, family, path FROM direct UNION ALL SELECT 2, family, path FROM upstream UNION ALL SELECT 3, family, path FROM downstream UNION ALL SELECT 4, family, path FROM crossing) x)"]
+
 
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well two plain rules on texts agree with ``labels``: counts, precision, recall and F1, and F1 weighted over the rules."""

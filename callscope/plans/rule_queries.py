@@ -11,6 +11,8 @@ from callscope.plans.texts import Spark, Text
 
 LAYER = r.cascade(r.first_match("coalesce(c.annotation, '')", r.ANNOTATION_LAYERS, how="is"), r.first_match("lower(c.package)", r.PACKAGE_LAYERS), r.first_match("lower(c.name)", r.SUFFIX_LAYERS, how="ends"), r.first_match("lower(coalesce(p.name, i.name, ''))", r.SUPER_LAYERS))
 DOMAIN = r.cascade(r.first_match("lower(c.package)", r.PACKAGE_DOMAINS), r.first_match("lower(c.name)", r.NAME_DOMAINS), r.first_match("coalesce(c.annotation, '')", r.ANNOTATION_DOMAINS), "CASE WHEN c.layer IN ('CONFIG', 'UTIL') THEN 'COMMON' ELSE 'UNKNOWN' END")
+METHODS_OF = "(SELECT class_id, count(*) AS n, sum(CASE WHEN " + r.has("lower(m.name)", "get|post|put|delete", "starts") + " OR contains(lower(m.name), 'mapping') THEN 1 ELSE 0 END) AS web, sum(CASE WHEN " + r.has("lower(m.name)", "process|handle|execute|business") + " THEN 1 ELSE 0 END) AS work, sum(CASE WHEN " + r.has("lower(m.name)", "find|save|update|delete|insert|select", "starts") + " THEN 1 ELSE 0 END) AS data, sum(CASE WHEN contains(lower(m.name), 'mapper') THEN 1 ELSE 0 END) AS mapped, sum(CASE WHEN m.is_public AND m.is_static THEN 1 ELSE 0 END) AS statics FROM {methods} m GROUP BY class_id)"
+BY_METHODS = "CASE WHEN web > 0 THEN 'CONTROLLER' WHEN work > 0 THEN 'SERVICE' WHEN data > 0 AND mapped > 0 THEN 'MAPPER' WHEN data > 0 THEN 'REPOSITORY' WHEN statics > 0.7 * n THEN 'UTIL' ELSE 'UNKNOWN' END"
 RELATED = "{classes} c LEFT JOIN {classes} p ON c.super_id = p.id LEFT JOIN {classes} i ON c.interface_id = i.id"
 OWNED = "{methods} m JOIN {classes} c ON m.class_id = c.id"
 GETTER = "(m.name LIKE 'get%' OR m.name LIKE 'set%' OR m.name LIKE 'is%')"
@@ -60,20 +62,17 @@ intent AS (SELECT m.id, c.id AS class_id,
   CAST(least(100, {r.lookup('c.layer', [('CONTROLLER', 25), ('SERVICE', 35), ('REPOSITORY', 20), ('UTIL', 10)], 15)} + least({r.points("lower(c.name || '.' || m.name)", r.INTENT_WORDS)}, 25) + least(3 * coalesce(p.n, 0), 20) + CASE WHEN c.interface_id IS NULL THEN 0 ELSE 8 END) AS DOUBLE) AS importance,
   0.3 * least(coalesce(u.n, 0), 50) + 0.2 * least(coalesce(w.n, 0), 50) + 0.5 * least(2 * (coalesce(u.callers, 0) + coalesce(w.callees, 0)), 30) AS frequency
   FROM {OWNED} LEFT JOIN ups u ON u.id = m.id LEFT JOIN downs w ON w.id = m.id LEFT JOIN deps p ON p.id = c.id)"""
-RISK = """arch AS (SELECT c.id, least(100, CASE WHEN coalesce(p.n, 0) > 15 THEN 40 WHEN coalesce(p.n, 0) > 10 THEN 25 WHEN coalesce(p.n, 0) > 5 THEN 10 ELSE 5 END + least(5 * greatest(coalesce(k.n, 0) - 5, 0), 30)) AS score FROM {classes} c LEFT JOIN (SELECT from_class, count(DISTINCT to_class) AS n FROM calls WHERE from_class <> to_class GROUP BY from_class) p ON p.from_class = c.id LEFT JOIN (SELECT interface_id, count(*) AS n FROM {classes} WHERE interface_id IS NOT NULL GROUP BY interface_id) k ON k.interface_id = c.id),
-one AS (SELECT to_id AS id, from_id AS o, from_class AS c, from_layer AS l FROM calls),
-two AS (SELECT a.id, b.from_class AS c, b.from_layer AS l FROM one a JOIN calls b ON b.to_id = a.o),
-reach AS (SELECT id, count(DISTINCT CASE WHEN k = 1 THEN c END) AS d, count(DISTINCT CASE WHEN k = 2 THEN c END) AS i, count(DISTINCT l) AS layers FROM (SELECT id, c, l, 1 AS k FROM one UNION ALL SELECT id, c, l, 2 FROM two) x GROUP BY id),
-blast AS (SELECT m.id, least(80, CASE WHEN coalesce(d, 0) > 20 THEN 40 WHEN coalesce(d, 0) > 10 THEN 30 WHEN coalesce(d, 0) > 5 THEN 20 ELSE 10 END + CASE WHEN coalesce(i, 0) > 50 THEN 30 WHEN coalesce(i, 0) > 20 THEN 20 WHEN coalesce(i, 0) > 10 THEN 10 ELSE 5 END + 8 * greatest(coalesce(layers, 0) - 3, 0) + CASE WHEN coalesce(d, 0) + coalesce(i, 0) > 30 THEN 20 ELSE 0 END) AS score FROM {methods} m LEFT JOIN reach ON reach.id = m.id)"""
+#: The report's own cascade: exact annotations, words of the package and suffixes in their case, the superclass.
+REPORT_LAYER = r.cascade(r.first_match("coalesce(c.annotation, '')", r.REPORT_ANNOTATIONS, how="is"), r.first_match("c.package", r.REPORT_PACKAGES), r.first_match("c.name", r.REPORT_SUFFIXES, how="ends"), r.first_match("coalesce(p.name, '')", [("Controller", "CONTROLLER"), ("Service", "SERVICE")]))
 
 RULES: dict[str, Text] = {
-    "p1_layer_cascade": lambda d: f"SELECT c.id, {LAYER} AS layer FROM {RELATED}",
+    "p1_layer_cascade": lambda d: f"SELECT c.id, {r.cascade(LAYER, BY_METHODS)} AS layer FROM {RELATED} LEFT JOIN {METHODS_OF} k ON k.class_id = c.id",
     "p2_layer_by_annotation": lambda d: f"SELECT c.id, {r.first_match('c.annotation', r.ANNOTATION_LAYERS, how='is')} AS layer FROM {{classes}} c WHERE c.annotation IS NOT NULL",
     "p3_layer_by_package": lambda d: f"SELECT c.id, {r.first_match('lower(c.package)', r.PACKAGE_LAYERS)} AS layer FROM {{classes}} c",
     "p4_layer_by_suffix": lambda d: f"SELECT c.id, {r.first_match('lower(c.name)', r.SUFFIX_LAYERS, how='ends')} AS layer FROM {{classes}} c",
     "p5_layer_by_inheritance": lambda d: f"SELECT c.id, {r.first_match('lower(coalesce(p.name, i.name))', r.SUPER_LAYERS)} AS layer FROM {RELATED} WHERE p.id IS NOT NULL OR i.id IS NOT NULL",
     "p6_layer_by_methods": lambda d: f"SELECT class_id, CASE WHEN web > 0 THEN 'CONTROLLER' WHEN work > 0 THEN 'SERVICE' WHEN data > 0 AND mapped > 0 THEN 'MAPPER' WHEN data > 0 THEN 'REPOSITORY' WHEN statics > 0.7 * n THEN 'UTIL' ELSE 'UNKNOWN' END AS layer FROM (SELECT class_id, count(*) AS n, sum(CASE WHEN {r.has('lower(m.name)', 'get|post|put|delete', 'starts')} OR contains(lower(m.name), 'mapping') THEN 1 ELSE 0 END) AS web, sum(CASE WHEN {r.has('lower(m.name)', 'process|handle|execute|business')} THEN 1 ELSE 0 END) AS work, sum(CASE WHEN {r.has('lower(m.name)', 'find|save|update|delete|insert|select', 'starts')} THEN 1 ELSE 0 END) AS data, sum(CASE WHEN contains(lower(m.name), 'mapper') THEN 1 ELSE 0 END) AS mapped, sum(CASE WHEN m.is_public AND m.is_static THEN 1 ELSE 0 END) AS statics FROM {{methods}} m GROUP BY class_id) x",
-    "p7_report_layer": lambda d: f"SELECT c.id, {r.first_match('c.name', [('Controller', 'CONTROLLER'), ('Service', 'SERVICE'), ('Mapper|Dao', 'MAPPER'), ('Repository', 'REPOSITORY'), ('Util|Helper', 'UTIL'), ('Entity|Model', 'ENTITY'), ('Config', 'CONFIG')])} AS layer FROM {{classes}} c",
+    "p7_report_layer": lambda d: f"SELECT c.id, {REPORT_LAYER} AS layer FROM {{classes}} c LEFT JOIN {{classes}} p ON c.super_id = p.id",
     "p8_layer_by_name_only": lambda d: f"SELECT c.id, {r.first_match('lower(c.name)', r.NAME_ONLY_LAYERS)} AS layer FROM {{classes}} c",
     "p9_domain_cascade": lambda d: f"SELECT c.id, {DOMAIN} AS domain FROM {{classes}} c",
     "p10_domain_relatedness": lambda d: f"SELECT a.domain AS a, b.domain AS b, CAST({r.relatedness('a.domain', 'b.domain')} AS DOUBLE) AS related FROM (SELECT DISTINCT domain FROM {{classes}}) a JOIN (SELECT DISTINCT domain FROM {{classes}}) b ON a.domain <= b.domain",
@@ -85,6 +84,7 @@ RULES: dict[str, Text] = {
     "p16_annotation_sets": lambda d: "SELECT c.id, coalesce(c.annotation IN ('Controller', 'RestController', 'ControllerAdvice'), FALSE) AS web, coalesce(c.annotation IN ('Service', 'Stateless', 'Stateful'), FALSE) AS service, coalesce(c.annotation IN ('Repository', 'Mapper'), FALSE) AS data, coalesce(c.annotation IN ('Configuration', 'SpringBootApplication'), FALSE) AS config FROM {classes} c",
     "p17_method_predicates": lambda d: f"SELECT m.id, {GETTER} AS getter, {OBJECT} AS of_object, {DATA_ACCESS} AS data_access, {BUSINESS} AS business FROM {{methods}} m",
     "p18_inclusion_rate": lambda d: f"SELECT c.layer, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN {KEEP_METHOD} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rate FROM {OWNED} GROUP BY c.layer",
+    "j17_orphan_methods": lambda d: f"SELECT m.id, m.name FROM {OWNED} WHERE NOT EXISTS (SELECT 1 FROM {{edges}} e WHERE e.from_id = m.id) AND NOT EXISTS (SELECT 1 FROM {{edges}} e WHERE e.to_id = m.id) AND NOT coalesce({ROOT}, FALSE)",
     "p19_root_methods": lambda d: f"SELECT m.id, m.name, c.name AS class_name FROM {OWNED} WHERE {ROOT}",
     "p21_tree_inclusion": lambda d: "SELECT m.id, (m.is_public AND NOT m.is_ctor AND NOT contains(lower(c.name), 'util') AND NOT contains(lower(c.name), 'helper') AND NOT (contains(lower(c.package), 'util') OR (contains(lower(c.package), 'common') AND c.layer = 'UTIL'))) AS kept FROM {methods} m JOIN {classes} c ON m.class_id = c.id",
     "p22_call_type": lambda d: f"WITH {CALLS} SELECT k.edge_ord, CASE WHEN t.is_static THEN 'STATIC' WHEN tc.is_interface THEN 'INTERFACE' WHEN fc.super_id = tc.id THEN 'INHERITANCE' WHEN t.is_ctor THEN 'DIRECT' WHEN contains(lower(t.name), 'invoke') THEN 'REFLECTION' WHEN contains(lower(t.name), 'async') THEN 'ASYNC' ELSE 'DIRECT' END AS kind FROM calls k JOIN {{methods}} t ON t.id = k.to_id JOIN {{classes}} tc ON tc.id = k.to_class JOIN {{classes}} fc ON fc.id = k.from_class",
@@ -100,14 +100,6 @@ RULES: dict[str, Text] = {
     "g4_core_path_weight": lambda d: f"WITH {CALLS} SELECT edge_ord, CAST({r.lookup('from_layer', r.PATH_LAYER_WEIGHTS, 1.0)} + 0.1 * {r.lookup('from_domain', r.DOMAIN_PRIORITY, 1)} + {r.lookup('to_layer', r.PATH_LAYER_WEIGHTS, 1.0)} + 0.1 * {r.lookup('to_domain', r.DOMAIN_PRIORITY, 1)} AS DOUBLE) AS weight, CASE WHEN from_layer = to_layer THEN 0 ELSE 1 END AS layer_cross FROM calls",
     "r3_method_name_weight": lambda d: f"SELECT m.id, CAST({NAME_WEIGHT} AS DOUBLE) AS weight FROM {{methods}} m",
     "r5_intent_weight": lambda d: f"WITH {CALLS}, {INTENT} SELECT id, round(least(100, 0.40 * upstream + 0.35 * importance + 0.25 * least(frequency, 100)), 6) AS intent FROM intent",
-    "r6_risk_weight": lambda d: f"WITH {CALLS}, {RISK} SELECT m.id, round(CAST(0.8 * (0.35 * a.score + 0.30 * b.score) AS DOUBLE), 6) AS risk FROM {{methods}} m JOIN arch a ON a.id = m.class_id JOIN blast b ON b.id = m.id",
-    "r12_dual_weights_sorted": lambda d: f"WITH {CALLS}, {INTENT}, {RISK} SELECT k.edge_ord, round((i.upstream * 0.4 + i.importance * 0.35 + j.upstream * 0.4 + j.importance * 0.35) / 2, 6) AS intent, round(CAST(0.8 AS DOUBLE) * (0.35 * (a.score + c.score) / 2 + 0.30 * (b.score + e.score) / 2), 6) AS risk FROM calls k JOIN intent i ON i.id = k.from_id JOIN intent j ON j.id = k.to_id JOIN arch a ON a.id = k.from_class JOIN arch c ON c.id = k.to_class JOIN blast b ON b.id = k.from_id JOIN blast e ON e.id = k.to_id",
-    "r13_screening": lambda d: f"""WITH {CALLS}, {INTENT}, scored AS (SELECT id, round(0.40 * upstream + 0.35 * importance + 0.25 * least(frequency, 100), 6) AS score FROM intent),
-        golden AS (SELECT * FROM scored WHERE score > 60 ORDER BY id LIMIT 2)
-        SELECT id, score, CAST(0.8 AS DOUBLE) AS confidence FROM golden""",
-    "t6_order_by_analysis": lambda d: f"""WITH {CALLS}, {INTENT}, {RISK}, dual AS (SELECT i.id, round(CAST(0.40 * i.upstream + 0.35 * i.importance + 0.25 * least(i.frequency, 100) AS DOUBLE), 6) AS intent, round(CAST(0.8 AS DOUBLE) * (0.35 * a.score + 0.30 * b.score), 6) AS risk FROM intent i JOIN arch a ON a.id = i.class_id JOIN blast b ON b.id = i.id),
-        ranked AS (SELECT 'INTENT' AS analysis, id, intent AS v FROM dual UNION ALL SELECT 'RISK', id, risk FROM dual UNION ALL SELECT 'BOTH', id, round(intent + risk, 6) FROM dual)
-        SELECT analysis, id, v, CAST(nth AS BIGINT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY analysis ORDER BY v DESC, id) AS nth FROM ranked) x WHERE nth <= 100""",
 }
 
 #: Scores over built trees.
