@@ -146,11 +146,27 @@ def test_graph_round_trip_and_script(spark, golden, tmp_path):
     assert counts == {"classes": 7, "methods": 9, "edges": 10}
     back = readers.read_graph(spark, path)
     assert sorted(back.edges.collect()) == sorted(golden.edges.collect())
-    text = "\n".join(r["statement"] for r in writers.script(golden).collect())
-    assert text.count("(:Method {") == 9 and "type: 'DIRECT'" in text
+    told = {r["kind"]: (r["n_written"], r["n_rows"]) for r in writers.write_script(golden, f"{path}-script").collect()}
+    assert told == {"4-classes": (7, 7), "5-methods": (9, 9), "7-calls": (10, 10)}
+    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(f"{path}-script/text").collect())
+    assert text.count("  {fromId: ") == 10 and text.count("CREATE INDEX ") == 6 and text.count("CREATE CONSTRAINT ") == 2 and text.count("-[:CONTAINS]->") == 1
+    assert text.count("UNWIND rows AS r") == sum(1 for r in writers.bodies(golden).collect())
     assert writers.statistics_json(golden).count() == 1
 
 
+def test_numbers_have_no_gaps(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 500 AS o", "id AS x").repartition(7)
+    got = writers.numbered(rows, "o", "x").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1000)) and [(r["o"], r["x"]) for r in got] == sorted((r["o"], r["x"]) for r in got)
+    sizes = writers.chunked(rows, F.col("x").cast("string"), "o", 64, "k").orderBy("chunk").collect()
+    assert [r["n_rows"] for r in sizes] == [64] * 15 + [40]
+
+
+def test_quotes_in_scripts(spark):
+    got = spark.createDataFrame([("it's \\ so",), (None,)], "x string").select(writers.escaped(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["'it\\'s \\\\ so'", "''"]
+
+
 def test_source_files_and_calls(spark, tmp_path):
     for name in ("app/A.java", "build/B.java", "app/C.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
