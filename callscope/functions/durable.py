@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where none is set and Spark runs in one process, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="callscope-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, kept in the shared checkpoint folder (a temporary one where none is set and Spark runs in one process, as in tests)."""
+    """``df`` without its lineage, kept in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="callscope-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)

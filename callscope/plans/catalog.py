@@ -16,6 +16,7 @@ from callscope.plans.review_queries import REVIEW, REVIEW_SQL, TABLES, TABLES_SQ
 from callscope.plans.rule_queries import RULES, classify
 from callscope.plans.script_queries import SCRIPTS, SCRIPTS_SQL
 from callscope.plans.signature_queries import SIGNED, SIGNED_SQL
+from callscope.plans.stream_queries import STREAMS, STREAMS_SQL
 from callscope.plans.text_queries import TEXTS, TEXTS_SQL
 from callscope.plans.texts import for_checking
 from callscope.plans.tree_queries import TREE, TREE_SQL
@@ -30,8 +31,8 @@ def _over_graph(answer: Callable, name: str) -> Query:
 
 def queries() -> dict[str, Query]:
     over_changes = {n: (lambda spark, sf_dir, n=n: changes(spark, sf_dir, n)) for n in CHANGES}
-    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES} | over_changes | {n: (lambda spark, sf_dir, f=f: f(code_graph(spark, sf_dir))) for n, f in (TREE | REVIEW | SIGNED | SCRIPTS).items()} | TABLES | TEXTS | FILES | PATHS | COMMITS | RESPONSES
+    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES} | over_changes | {n: (lambda spark, sf_dir, f=f: f(code_graph(spark, sf_dir))) for n, f in (TREE | REVIEW | SIGNED | SCRIPTS).items()} | TABLES | TEXTS | FILES | PATHS | COMMITS | RESPONSES | STREAMS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()} | {n: for_checking(t, CHANGE_CTES) for n, t in CHANGES.items()} | TREE_SQL | REVIEW_SQL | TABLES_SQL | TEXTS_SQL | FILES_SQL | SIGNED_SQL | PATHS_SQL | COMMITS_SQL | RESPONSES_SQL | SCRIPTS_SQL
+    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()} | {n: for_checking(t, CHANGE_CTES) for n, t in CHANGES.items()} | TREE_SQL | REVIEW_SQL | TABLES_SQL | TEXTS_SQL | FILES_SQL | SIGNED_SQL | PATHS_SQL | COMMITS_SQL | RESPONSES_SQL | SCRIPTS_SQL | STREAMS_SQL

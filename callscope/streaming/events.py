@@ -1,10 +1,8 @@
-"""Structured Streaming: windowed counts, debounced triggers, and upserts of a graph's edges."""
+"""Structured Streaming: windowed counts, debounced triggers, and rows put in the place of others; ``maintain`` keeps a whole graph."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,17 +31,6 @@ def upserted(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return current.join(changed.select(key).distinct(), key, "left_anti").unionByName(changed)
 
 
-def upsert_into(spark: SparkSession, path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps a Parquet table of the latest row of each key, one version a batch."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "ts").alias("r")).select("r.*")
-        out = latest if epoch == 0 else upserted(spark.read.parquet(f"{path}/v{epoch - 1}"), latest, key)
-        out.write.mode("overwrite").parquet(f"{path}/v{epoch}")
-
-    return run
-
-
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Everything that a stream gives for what has arrived, as a table."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
