@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.operators import traverse, trees
-from callscope.plans.bridge import GRAPH_CTES
+from callscope.functions.durable import cut
+from callscope.plans.bridge import CALL_TYPES, DOMAINS, GRAPH_CTES, LAYERS
 from callscope.plans.graph import CodeGraph
+from callscope.plans.graph_queries import ask
 from callscope.plans.rule_queries import ROOT, WEIGHTS
 from callscope.plans.texts import Spark, for_checking
 
@@ -53,6 +55,37 @@ def tree_overview(graph: CodeGraph) -> DataFrame:
     return n.join(about, "root").select("root", "domain", "node_count", "max_depth", "avg_depth")
 
 
+def graph_statistics(graph: CodeGraph) -> DataFrame:
+    """``kind, k, value``: all totals, averages, and distributions in which what doesn't occur counts 0."""
+    built = cut(nodes(graph))
+    one = lambda df, k, value: df.agg(value.cast("double").alias("value")).select(F.lit("total").alias("kind"), F.lit(k).alias("k"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    n = F.count(F.lit(1))
+    below = built.where("depth > 0")
+    crossing = built.groupBy("node").agg(F.count_distinct("root").alias("n")).where("n > 1")
+    depths = built.groupBy("root").agg(F.max("depth").alias("depth"))
+    per_class = graph.classes.agg(n.alias("c")).crossJoin(graph.methods.agg(n.alias("m")))  # one row each
+    parts = [
+        one(graph.classes, "classes", n),
+        one(graph.methods, "methods", n),
+        one(graph.edges, "edges", n),
+        one(depths, "trees", n),
+        one(below, "tree relations", n),
+        one(below, "core paths", n),
+        one(ask(graph, "j6_method_implementations"), "interface mappings", n),
+        one(crossing, "cross nodes", n),
+        one(depths, "average tree depth", F.round(F.avg("depth"), 6)),
+        one(per_class, "average methods of a class", F.round(F.max(F.try_divide("m", "c")), 6)),
+    ]
+    for kind, names, rows in (("layer", LAYERS, graph.classes.select(F.col("layer").alias("k"))), ("call type", CALL_TYPES, graph.edges.select(F.col("call_type").alias("k"))), ("domain", DOMAINS, graph.classes.select(F.col("domain").alias("k")))):
+        every = graph.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in names])).alias("k"))
+        counted = rows.groupBy("k").agg(n.alias("n"))
+        parts.append(every.join(counted, "k", "left").select(F.lit(kind).alias("kind"), "k", F.coalesce("n", F.lit(0)).cast("double").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 TREE: dict[str, Callable[[CodeGraph], DataFrame]] = {
     "g1_call_trees": call_trees,
     "g2_tree_depths": lambda g: nodes(g).select("root", "node", F.col("depth").cast("bigint").alias("depth")),
@@ -72,6 +105,7 @@ TREE: dict[str, Callable[[CodeGraph], DataFrame]] = {
     "a17_path_summary": lambda g: nodes(g).where("depth > 0").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("depth") + 1.0), 6).alias("avg_length"), F.max("depth").cast("bigint").alias("max_depth")),
     "a26_components": lambda g: traverse.components(g.edges),
     "j16_unvisited": lambda g: g.methods.select("id").join(traverse.reach(g.edges, some(g), 3).select(F.col("node").alias("id")), "id", "left_anti"),
+    "a1_graph_statistics": graph_statistics,
     "t7_tree_order": lambda g: tree_overview(g).orderBy(F.desc("domain"), F.desc("node_count"), "root"),
 }
 
@@ -119,6 +153,22 @@ _OVERVIEW = "over AS (SELECT n.root, c.domain, CAST(count(*) AS BIGINT) AS node_
 _CROSSED = "crossed AS (SELECT node AS id, count(DISTINCT root) AS n FROM nodes GROUP BY node), class_crossed AS (SELECT m.class_id AS id, count(DISTINCT root) AS n FROM nodes JOIN methods m ON m.id = node GROUP BY m.class_id), tree_roots AS (SELECT root FROM kept)"
 
 
+_COUNTS = {
+    "classes": "SELECT count(*) FROM classes",
+    "methods": "SELECT count(*) FROM methods",
+    "edges": "SELECT count(*) FROM edges",
+    "trees": "SELECT count(*) FROM kept",
+    "tree relations": "SELECT count(*) FROM nodes WHERE depth > 0",
+    "core paths": "SELECT count(*) FROM nodes WHERE depth > 0",
+    "interface mappings": "SELECT count(*) FROM classes c JOIN classes i ON i.id = c.interface_id AND i.is_interface AND NOT c.is_interface JOIN methods im ON im.class_id = i.id AND NOT im.is_static JOIN methods m ON m.class_id = c.id AND m.name = im.name AND m.n_params = im.n_params AND m.is_public AND NOT m.is_static",
+    "cross nodes": "SELECT count(*) FROM (SELECT node FROM nodes GROUP BY node HAVING count(DISTINCT root) > 1) x",
+    "average tree depth": "SELECT round(coalesce(avg(d), 0), 6) FROM (SELECT max(depth) AS d FROM nodes GROUP BY root) x",
+    "average methods of a class": "SELECT round((SELECT count(*) FROM methods) / (SELECT count(*) FROM classes), 6)",
+}
+_BUCKETS = [("layer", LAYERS, "classes", "layer"), ("call type", CALL_TYPES, "edges", "call_type"), ("domain", DOMAINS, "classes", "domain")]
+_STATISTICS = " UNION ALL ".join([f"SELECT 'total' AS kind, '{k}' AS k, CAST(({q}) AS DOUBLE) AS value" for k, q in _COUNTS.items()] + [f"SELECT '{kind}', k, CAST((SELECT count(*) FROM {t} WHERE {c} = k) AS DOUBLE) FROM (SELECT unnest({names!r}) AS k) n" for kind, names, t, c in _BUCKETS])
+
+
 def _sql(*ctes: str) -> str:
     *before, last = ctes
     return "WITH RECURSIVE " + ",\n".join([GRAPH_CTES, *before]) + "\n" + last
@@ -166,6 +216,7 @@ TREE_SQL = {
     "a17_path_summary": _sql(_NODES, "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CAST(depth AS DOUBLE) + 1), 6) AS avg_length, max(depth) AS max_depth FROM nodes WHERE depth > 0"),
     "a26_components": _sql(_BOTH, "reached AS (SELECT DISTINCT a AS id, a AS other FROM steps UNION SELECT r.id, s.b FROM reached r JOIN steps s ON s.a = r.other)", "SELECT id, min(other) AS component FROM reached GROUP BY id"),
     "j16_unvisited": _sql(_SOME, _STEPS, _NEAR(3), "SELECT id FROM methods WHERE id NOT IN (SELECT node FROM near)"),
+    "a1_graph_statistics": _sql(_NODES, _STATISTICS),
     "t7_tree_order": _sql(_NODES, _OVERVIEW, "SELECT * FROM over ORDER BY domain DESC, node_count DESC, root"),
 }
 TREE_SQL |= {n: for_checking(t, f"{GRAPH_CTES},\n{_NODES},\n{_CROSSED}") for n, t in WEIGHTS.items()}
