@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import encoded, materialize, mix64, parallelism, sliced
+from callscope.llm.common import encoded, materialize, mix64, parallelism, sliced, small_batches
 
 SPLIT, BLOCK, BLOCK_BYTES = 24, 768, 2_000_000
 _words: dict[bytes, int] = {}
@@ -193,14 +193,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
         for b in batches:
             held: dict[int, np.ndarray] = {}
             keep = []
-            for a, c, x, y in zip(*(b.column(i).to_pylist() for i in ("a", "b", "ta", "tb")), strict=True):
+            for a, c, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("ta"), b.column("tb"), strict=True):
+                if len(held) > 500:
+                    held.clear()
                 for i, z in ((a, x), (c, y)):
                     if i not in held:
-                        if len(held) > 500:
-                            held.clear()
-                        held[i] = shingles(unpack(z), k)
-                if a not in held:
-                    held[a] = shingles(unpack(x), k)
+                        held[i] = shingles(unpack(z.as_py()), k)
                 common = len(np.intersect1d(held[a], held[c], assume_unique=True))
                 keep.append(100 * common >= percent * (len(held[a]) + len(held[c]) - common))
             yield b.select(kept).filter(pa.array(keep, pa.bool_()))
@@ -309,7 +307,8 @@ def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hash
     texts = materialize(packed_texts(docs, text, key).join(ids, "id", "left_semi").dropDuplicates(["id"]), "dup-texts")
 
     tried = materialize(close(live.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), reps, scheme), "dup-pairs")
-    of = materialize(components(confirmed(tried, texts, shingle_words, similarity)), "dup-components")
+    with small_batches(docs.sparkSession):
+        of = materialize(components(confirmed(tried, texts, shingle_words, similarity)), "dup-components")
 
     member = live.join(of, "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("component"))
     open_ = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("key", "n")
@@ -319,7 +318,9 @@ def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hash
     across = x.join(y, "key").where("a < b and ca != cb").select("a", "b", "ca", "cb").distinct()
     more = confirmed(close(across, reps, scheme), texts, shingle_words, similarity).select("ca", "cb")
     more = more.unionByName(block_links(rest.where(F.col("n") > SPLIT), texts, shingle_words, similarity))
-    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    with small_batches(docs.sparkSession):
+        merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
     named = reps.select("d1", "d2", "id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rep_of = named.join(merged, "component", "left").select("d1", "d2", F.coalesce("root", "component").alias("component_id"))
     out = signs.where("n_shingles > 0 and doc_id is not null").join(rep_of, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
