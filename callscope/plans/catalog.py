@@ -11,6 +11,7 @@ from callscope.plans.change_queries import CHANGE_CTES, CHANGES, changes
 from callscope.plans.commit_queries import COMMITS, COMMITS_SQL
 from callscope.plans.file_queries import FILES, FILES_SQL
 from callscope.plans.graph_queries import GRAPH, ask
+from callscope.plans.inclusion_queries import INCLUDED, INCLUDED_SQL
 from callscope.plans.response_queries import RESPONSES, RESPONSES_SQL
 from callscope.plans.review_queries import REVIEW, REVIEW_SQL, TABLES, TABLES_SQL
 from callscope.plans.rule_queries import RULES, classify
@@ -31,8 +32,8 @@ def _over_graph(answer: Callable, name: str) -> Query:
 
 def queries() -> dict[str, Query]:
     over_changes = {n: (lambda spark, sf_dir, n=n: changes(spark, sf_dir, n)) for n in CHANGES}
-    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES} | over_changes | {n: (lambda spark, sf_dir, f=f: f(code_graph(spark, sf_dir))) for n, f in (TREE | REVIEW | SIGNED | SCRIPTS).items()} | TABLES | TEXTS | FILES | PATHS | COMMITS | RESPONSES | STREAMS
+    return {n: _over_graph(ask, n) for n in GRAPH} | {n: _over_graph(classify, n) for n in RULES} | over_changes | {n: (lambda spark, sf_dir, f=f: f(code_graph(spark, sf_dir))) for n, f in (TREE | REVIEW | SIGNED | SCRIPTS | INCLUDED).items()} | TABLES | TEXTS | FILES | PATHS | COMMITS | RESPONSES | STREAMS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()} | {n: for_checking(t, CHANGE_CTES) for n, t in CHANGES.items()} | TREE_SQL | REVIEW_SQL | TABLES_SQL | TEXTS_SQL | FILES_SQL | SIGNED_SQL | PATHS_SQL | COMMITS_SQL | RESPONSES_SQL | SCRIPTS_SQL | STREAMS_SQL
+    return {n: for_checking(t) for n, t in (GRAPH | RULES).items()} | {n: for_checking(t, CHANGE_CTES) for n, t in CHANGES.items()} | TREE_SQL | REVIEW_SQL | TABLES_SQL | TEXTS_SQL | FILES_SQL | SIGNED_SQL | PATHS_SQL | COMMITS_SQL | RESPONSES_SQL | SCRIPTS_SQL | STREAMS_SQL | INCLUDED_SQL

@@ -21,7 +21,6 @@ ROOT = f"(c.layer = 'CONTROLLER' AND m.is_public AND NOT m.is_ctor AND (({r.has(
 DATA_ACCESS = r.has("lower(m.name)", "find|get|save|update|delete|insert|select|query", "starts")
 BUSINESS = r.has("lower(m.name)", "process|handle|execute|calculate|validate|generate")
 KEEP_METHOD = f"(m.is_public AND NOT {OBJECT} AND (c.layer = 'CONTROLLER' OR NOT {GETTER}) AND CASE WHEN c.layer = 'CONTROLLER' THEN NOT {GETTER} WHEN c.layer IN ('SERVICE', 'UNKNOWN') THEN NOT m.is_ctor WHEN c.layer IN ('REPOSITORY', 'MAPPER') THEN {DATA_ACCESS} WHEN c.layer = 'UTIL' THEN m.is_static WHEN c.layer = 'ENTITY' THEN m.n_params > 1 ELSE TRUE END)"
-DROP_CLASS = f"({r.has('lower(c.name)', 'dto|vo|do|po|entity|model', 'ends')} OR {r.has('lower(c.qualified_name)', '.dto|.vo|.entity|.model|.domain')} OR contains(lower(c.qualified_name), 'test'))"
 
 DEGREES = "deg AS (SELECT id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT from_id AS id, 1 AS o, 0 AS i FROM {edges} UNION ALL SELECT to_id, 0, 1 FROM {edges}) x GROUP BY id)"
 CROSS_POINTS = "CASE WHEN coalesce(x.n, 0) >= 5 THEN 20 WHEN coalesce(x.n, 0) >= 3 THEN 15 WHEN coalesce(x.n, 0) >= 2 THEN 10 WHEN coalesce(x.n, 0) = 1 THEN 5 ELSE 0 END"
@@ -79,7 +78,6 @@ RULES: dict[str, Text] = {
     "p11_same_tree": lambda d: f"WITH {CALLS} SELECT from_id, to_id, CAST({r.relatedness('from_domain', 'to_domain')} AS DOUBLE) AS related FROM calls WHERE {r.relatedness('from_domain', 'to_domain')} >= 0.6",
     "p12_domain_priority": lambda d: f"SELECT c.id, {r.lookup('c.domain', r.DOMAIN_PRIORITY, 1)} AS priority FROM {{classes}} c",
     "p13_tree_domain": lambda d: f"SELECT m.id, CASE WHEN c.domain <> 'UNKNOWN' THEN c.domain ELSE {r.first_match('lower(m.name)', r.TREE_DOMAINS)} END AS domain FROM {OWNED}",
-    "p14_class_inclusion": lambda d: f"SELECT c.id, NOT {DROP_CLASS} AND coalesce(k.ok, FALSE) AS kept FROM {{classes}} c LEFT JOIN (SELECT m.class_id, max(CASE WHEN m.is_public AND NOT {OBJECT} THEN 1 ELSE 0 END) = 1 AS ok FROM {{methods}} m GROUP BY m.class_id) k ON k.class_id = c.id",
     "p15_method_inclusion": lambda d: f"SELECT m.id, {KEEP_METHOD} AS kept FROM {OWNED}",
     "p16_annotation_sets": lambda d: "SELECT c.id, coalesce(c.annotation IN ('Controller', 'RestController', 'ControllerAdvice'), FALSE) AS web, coalesce(c.annotation IN ('Service', 'Stateless', 'Stateful'), FALSE) AS service, coalesce(c.annotation IN ('Repository', 'Mapper'), FALSE) AS data, coalesce(c.annotation IN ('Configuration', 'SpringBootApplication'), FALSE) AS config FROM {classes} c",
     "p17_method_predicates": lambda d: f"SELECT m.id, {GETTER} AS getter, {OBJECT} AS of_object, {DATA_ACCESS} AS data_access, {BUSINESS} AS business FROM {{methods}} m",
