@@ -55,7 +55,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mixing_stage),
     ("best_fit_packing", packing_stage),
 ]
-#: The stages before the last learn models and hash; SQL can't express them. Tests hold ``run`` against brute force.
+#: The stages before the last learn models and hash; SQL can't express them. Tests hold each stage's operator against brute force or
+#: planted cases, and the stages one after the other against what they must keep.
 ORACLE_SQL: str | None = None
 
 
