@@ -93,8 +93,6 @@ RULES: dict[str, Text] = {
     "p27_cross_layer_tiers": lambda d: f"WITH {CALLS} SELECT DISTINCT from_layer, to_layer, CASE WHEN from_layer = 'CONTROLLER' AND to_layer = 'SERVICE' THEN 'NORMAL' WHEN from_layer = 'SERVICE' AND to_layer IN ('REPOSITORY', 'MAPPER') THEN 'NORMAL' WHEN from_layer = 'CONTROLLER' AND to_layer IN ('REPOSITORY', 'MAPPER') THEN 'SKIPS_SERVICE' WHEN to_layer = 'UTIL' THEN 'HELPER' WHEN to_layer = 'CONTROLLER' THEN 'REVERSED' ELSE 'OTHER' END AS tier FROM calls WHERE from_layer <> to_layer",
     "p28_call_filter": lambda d: f"WITH {CALLS} SELECT edge_ord, ((to_name LIKE 'get%' AND length(to_name) <= 15 AND NOT contains(to_name, 'All') AND NOT contains(to_name, 'By')) OR (to_name LIKE 'set%' AND length(to_name) <= 15) OR (to_name LIKE 'is%' AND length(to_name) <= 10) OR {r.has('lower(to_class_name)', 'log|logger|request|response|dto|vo|model|entity|bean')}) AS excluded, {r.has('lower(to_name)', '|'.join(r.DANGEROUS_METHODS))} AS dangerous FROM calls",
     "p29_package_filter": lambda d: "SELECT c.package, CAST(count(*) AS BIGINT) AS n FROM {classes} c WHERE c.package LIKE 'com.%' GROUP BY c.package",
-    "p30_path_predicates": lambda d: f"WITH {CALLS} SELECT edge_ord, from_layer = 'CONTROLLER' AS rest_endpoint, to_layer = 'ENTITY' AS data_model, to_layer IN ('REPOSITORY', 'MAPPER') AS db_operation, to_layer = 'UTIL' AS utility, to_layer = 'CONFIG' AS config, {r.has('lower(to_name)', 'save|update|delete|create', 'starts')} AS transactional FROM calls",
-    "p31_block_type": lambda d: f"SELECT c.id, {r.lookup('c.annotation', [('Controller', 'CONTROLLER'), ('Service', 'SERVICE'), ('Repository', 'REPOSITORY'), ('Mapper', 'MAPPER'), ('Component', 'COMPONENT'), ('Config', 'CONFIG'), ('Entity', 'ENTITY'), ('Util', 'UTIL')], 'OTHER')} AS block FROM {{classes}} c",
     "g4_core_path_weight": lambda d: f"WITH {CALLS} SELECT edge_ord, CAST({r.lookup('from_layer', r.PATH_LAYER_WEIGHTS, 1.0)} + 0.1 * {r.lookup('from_domain', r.DOMAIN_PRIORITY, 1)} + {r.lookup('to_layer', r.PATH_LAYER_WEIGHTS, 1.0)} + 0.1 * {r.lookup('to_domain', r.DOMAIN_PRIORITY, 1)} AS DOUBLE) AS weight, CASE WHEN from_layer = to_layer THEN 0 ELSE 1 END AS layer_cross FROM calls",
     "r3_method_name_weight": lambda d: f"SELECT m.id, CAST({NAME_WEIGHT} AS DOUBLE) AS weight FROM {{methods}} m",
     "r5_intent_weight": lambda d: f"WITH {CALLS}, {INTENT} SELECT id, round(least(100, 0.40 * upstream + 0.35 * importance + 0.25 * least(frequency, 100)), 6) AS intent FROM intent",
