@@ -27,7 +27,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("name")
     form = [F.concat(n, F.lit("Test.java")), F.concat(n, F.lit("Spec.kt")), F.concat("stem", F.lit("Test.java")), F.concat(F.lower(n), F.lit("IT.java")), F.concat(F.lit("Abstract"), n, F.lit("Tests.java")), F.lit("Test.java")]
     folder = F.when(F.col("doc_id") % 6 == 3, "src/test/integration/").otherwise(F.concat(F.lit("src/test/"), "source", F.lit("/")))
-    tests = told.join(named, "doc_id").select(F.concat(folder, F.element_at(F.array(*form), (F.col("doc_id") % 6 + 1).cast("int"))).alias("path"), (1 + F.col("quality")).cast("long").alias("n_methods"))
+    tests = told.join(named.hint("merge"), "doc_id").select(F.concat(folder, F.element_at(F.array(*form), (F.col("doc_id") % 6 + 1).cast("int"))).alias("path"), (1 + F.col("quality")).cast("long").alias("n_methods"))
     every = business.unionByName(tests).groupBy("path").agg(F.sum("n_methods").alias("n_methods"))
     name = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
     return every.select("path", name.alias("name"), F.lower("path").rlike("test|spec").alias("is_test"), "n_methods")
@@ -46,8 +46,9 @@ def tests_of_files(f: DataFrame) -> tuple[DataFrame, DataFrame]:
     tests = f.where("is_test").select(F.col("path").alias("test_path"), "n_methods", F.lower("name").alias("t"), F.lower(stem_of(F.col("name"))).alias("stem"))
     whole = containing(business.select("b"), tests.select("t")).select(F.col("needle").alias("b"), F.col("hay").alias("t"))
     part = containing(tests.select("stem"), business.select("b")).select(F.col("needle").alias("stem"), F.col("hay").alias("b"))
-    pairs = business.join(whole, "b").join(tests, "t").select("path", "test_path", "n_methods")
-    pairs = pairs.unionByName(business.join(part, "b").join(tests, "stem").select("path", "test_path", "n_methods"))
+    # sorted joins: tables of names would be held by the driver, one for each join, as long as each is just small enough to be sent out
+    pairs = business.join(whole.hint("merge"), "b").join(tests.hint("merge"), "t").select("path", "test_path", "n_methods")
+    pairs = pairs.unionByName(business.join(part.hint("merge"), "b").join(tests.hint("merge"), "stem").select("path", "test_path", "n_methods"))
     return pairs.distinct(), tests.where("stem = ''")
 
 
@@ -63,7 +64,7 @@ def coverage(f: DataFrame) -> DataFrame:
     mine = pairs.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("n_methods").alias("m"), integration.alias("i"))
     everywhere = of_all.agg(F.count(F.lit(1)).alias("n_all"), F.coalesce(F.sum("n_methods"), F.lit(0)).alias("m_all"), F.coalesce(integration, F.lit(False)).alias("i_all"))
     # a test of every file contains no business name, unless that is empty too
-    out = f.where(~F.col("is_test")).select("path", F.col("n_methods").alias("own")).join(mine, "path", "left").crossJoin(F.broadcast(everywhere))  # one row
+    out = f.where(~F.col("is_test")).select("path", F.col("n_methods").alias("own")).join(mine.hint("merge"), "path", "left").crossJoin(F.broadcast(everywhere))  # one row
     n, m = F.coalesce("n", F.lit(0)) + F.col("n_all"), F.coalesce("m", F.lit(0)) + F.col("m_all")
     kind = F.when(n == 0, "NO_TESTS").when(n == 1, "BASIC_COVERAGE").when(F.coalesce("i", F.lit(False)) | F.col("i_all"), "COMPREHENSIVE_COVERAGE").otherwise("PARTIAL_COVERAGE")
     complete = F.when(n == 0, 0.0).when(F.col("own") > 0, F.least(m / F.col("own"), F.lit(1.0))).otherwise(1.0)
@@ -83,7 +84,7 @@ def a19_coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j19_missing_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Business files that the pairs of names leave without a test of their own."""
     f = files(spark, sf_dir)
-    return f.where(~F.col("is_test")).select("path").join(tests_of_files(f)[0], "path", "left_anti")
+    return f.where(~F.col("is_test")).select("path").join(tests_of_files(f)[0].hint("merge"), "path", "left_anti")
 
 
 def j14_changed_files_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

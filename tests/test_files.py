@@ -55,3 +55,10 @@ def test_segments_of_a_hunk(spark):
     rows = [("p", 1, i, *x.split("|")) for i, x in enumerate(lines)] + [("p", 2, 20, "DELETED", "protected void c(int x) {"), ("p", 2, 21, "DELETED", "for (;;) {}"), ("q", 1, 0, "ADDED", "no start")]
     got = file_queries.segments(spark.createDataFrame(rows, "path string, hunk long, ix long, kind string, content string")).orderBy("path", "hunk", "segment").collect()
     assert [(r["hunk"], r["signature"], r["added"], r["deleted"], r["n_lines"], r["complexity"], r["change"]) for r in got] == [(1, "public int a(int n) {", 1, 1, 3, 2, "MODIFIED"), (1, "private void b() {", 1, 0, 2, 1, "ADDED"), (2, "protected void c(int x) {", 0, 1, 1, 1, "DELETED")]
+
+
+@pytest.mark.parametrize("name", ["j13_tests_of_files", "j19_missing_tests"])
+def test_tables_of_names_stay_out_of_the_driver(spark, sf_dir, name):
+    df = file_queries.FILES[name](spark, sf_dir)
+    df.collect()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
