@@ -95,3 +95,14 @@ def test_odd_texts(spark):
     df = spark.createDataFrame([(None, None), ("", ""), ("a", None), (None, "a\n"), ("x\n" * 3000, "x\n" * 2999)], "a string, b string")
     got = df.select(diff.line_diff(F.col("a"), F.col("b")).alias("d")).select("d.lcs", "d.added", "d.removed").collect()
     assert [tuple(r) for r in got] == [(0, 0, 0), (0, 0, 0), (0, 0, 1), (0, 2, 0), (3000, 0, 1)]
+
+
+def test_diffs_are_sent_on_by_size():
+    import pandas as pd
+
+    old, new = pd.Series(["a\nb", None, "x" * 50, "q", ""]), pd.Series(["a", "c", "y", "q", None])
+    parts = list(diff.diffs(iter([(old, new), (old[:0], new[:0]), (old, new)]), chars=300))
+    whole = list(diff.diffs(iter([(old, new)])))
+    assert len(whole) == 1 and len(parts) > 2
+    both = pd.concat(parts, ignore_index=True)
+    assert both.equals(pd.concat([whole[0]] * 2, ignore_index=True))
