@@ -111,6 +111,22 @@ def test_receivers_in_nested_blocks(spark):
     assert next(r["annotations"] for r in got if r["name"] == "outer") == ["Inject"]
 
 
+def test_receivers_are_resolved_by_one_scan(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    many = "class M { " + "".join(f"void m{i}(A{i} repo) {{ repo.x{i}(); }} " for i in range(300)) + "}"
+    files = spark.createDataFrame([("p", SHADOWED), ("q", many), ("r", None), ("s", "class N { A a; }")], "path string, text string").mapInArrow(counted, "path string, text string")
+    got = scanner.resolved(files).collect()
+    assert read.value == 4
+    assert {r["name"]: r["receiver_type"] for r in got if r["path"] == "q"} == {f"x{i}": f"A{i}" for i in range(300)}
+    assert {r["path"] for r in got} == {"p", "q"}
+
+
 @pytest.mark.parametrize("text", ["", None, "class A {", "} ) ]", "class A { void f() { g(", 'class A { void f() { "open', "/* open", "x -> { y(", "class A { void f() { if (a { b(); } } }"])
 def test_broken_texts(text):
     scanner.methods_in(text)
