@@ -47,3 +47,7 @@ def grouped(pairs):
 def test_p22_call_type(made):
     got = made.rows("p22_call_type", "edge_ord", F.col("kind") == "STATIC")
     assert got == Counter((e.ord, made.methods[e.t]["is_static"]) for e in made.calls)
+
+
+def test_p23_confidence(made):
+    assert made.rows("p23_confidence", "edge_ord", "call_type", "confidence") == Counter((e.ord, e.type, dict(CONFIDENCE).get(e.type, 0.8)) for e in made.edges)
