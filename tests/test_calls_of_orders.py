@@ -51,3 +51,10 @@ def test_p22_call_type(made):
 
 def test_p23_confidence(made):
     assert made.rows("p23_confidence", "edge_ord", "call_type", "confidence") == Counter((e.ord, e.type, dict(CONFIDENCE).get(e.type, 0.8)) for e in made.edges)
+
+
+def test_p28_call_filter(made):
+    words = ("delete", "remove", "update", "save")  # verbs of names that are dangerous
+    got = {k: n for k, n in made.rows("p28_call_filter", "edge_ord", "dangerous").items()}
+    assert set(got.values()) == {1} and {o for o, _ in got} == {e.ord for e in made.calls}
+    assert {e.ord for e in made.calls if made.methods[e.t]["name"].startswith(words)} <= {o for o, dangerous in got if dangerous}
