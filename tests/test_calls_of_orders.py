@@ -58,3 +58,7 @@ def test_p28_call_filter(made):
     got = {k: n for k, n in made.rows("p28_call_filter", "edge_ord", "dangerous").items()}
     assert set(got.values()) == {1} and {o for o, _ in got} == {e.ord for e in made.calls}
     assert {e.ord for e in made.calls if made.methods[e.t]["name"].startswith(words)} <= {o for o, dangerous in got if dangerous}
+
+
+def test_j2_valid_calls(made):
+    assert made.rows("j2_valid_calls", "from_id", "to_id", "call_type", "line", "from_class", "to_class") == Counter((e.f, e.t, e.type, e.line, e.fc["id"], e.tc["id"]) for e in made.calls)
