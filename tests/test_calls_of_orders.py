@@ -62,3 +62,7 @@ def test_p28_call_filter(made):
 
 def test_j2_valid_calls(made):
     assert made.rows("j2_valid_calls", "from_id", "to_id", "call_type", "line", "from_class", "to_class") == Counter((e.f, e.t, e.type, e.line, e.fc["id"], e.tc["id"]) for e in made.calls)
+
+
+def test_j9_cross_layer_calls(made):
+    assert made.rows("j9_cross_layer_calls", "from_id", "to_id", "from_layer", "to_layer") == Counter((e.f, e.t, e.fc["layer"], e.tc["layer"]) for e in made.calls if e.fc["layer"] != e.tc["layer"])
