@@ -66,3 +66,8 @@ def test_j2_valid_calls(made):
 
 def test_j9_cross_layer_calls(made):
     assert made.rows("j9_cross_layer_calls", "from_id", "to_id", "from_layer", "to_layer") == Counter((e.f, e.t, e.fc["layer"], e.tc["layer"]) for e in made.calls if e.fc["layer"] != e.tc["layer"])
+
+
+def test_j10_optional_call_stats(made):
+    out, into = grouped((e.f, e.t) for e in made.edges), grouped((e.t, e.f) for e in made.edges)
+    assert made.rows("j10_optional_call_stats", "id", "n_out", "n_in") == Counter((m, len(out[m]), len(into[m])) for m in made.methods)
