@@ -71,3 +71,8 @@ def test_j9_cross_layer_calls(made):
 def test_j10_optional_call_stats(made):
     out, into = grouped((e.f, e.t) for e in made.edges), grouped((e.t, e.f) for e in made.edges)
     assert made.rows("j10_optional_call_stats", "id", "n_out", "n_in") == Counter((m, len(out[m]), len(into[m])) for m in made.methods)
+
+
+def test_j11_foreign_dependencies(made):
+    to = grouped((e.fc["id"], e.tc["id"]) for e in made.calls if e.fc["id"] != e.tc["id"])
+    assert made.rows("j11_foreign_dependencies", "id", "n_dependencies") == Counter((c, len(to[c])) for c in made.classes)
