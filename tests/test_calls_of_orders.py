@@ -76,3 +76,7 @@ def test_j10_optional_call_stats(made):
 def test_j11_foreign_dependencies(made):
     to = grouped((e.fc["id"], e.tc["id"]) for e in made.calls if e.fc["id"] != e.tc["id"])
     assert made.rows("j11_foreign_dependencies", "id", "n_dependencies") == Counter((c, len(to[c])) for c in made.classes)
+
+
+def test_j15_methods_with_calls(made):
+    assert made.rows("j15_methods_with_calls", "id") == Counter((m,) for m in {e.f for e in made.edges} & set(made.methods))
