@@ -80,3 +80,11 @@ def test_j11_foreign_dependencies(made):
 
 def test_j15_methods_with_calls(made):
     assert made.rows("j15_methods_with_calls", "id") == Counter((m,) for m in {e.f for e in made.edges} & set(made.methods))
+
+
+def test_j20_consecutive_pairs(made):
+    by = defaultdict(list)
+    for e in made.calls:
+        by[e.f].append((e.line, e.ord, e.t))
+    want = Counter((f, a[0], a[2], b[2]) for f, x in by.items() for a, b in zip(sorted(x), sorted(x)[1:], strict=False))
+    assert made.rows("j20_consecutive_pairs", "from_id", "line", "to_id", "next_id") == want
