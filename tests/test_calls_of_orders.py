@@ -88,3 +88,9 @@ def test_j20_consecutive_pairs(made):
         by[e.f].append((e.line, e.ord, e.t))
     want = Counter((f, a[0], a[2], b[2]) for f, x in by.items() for a, b in zip(sorted(x), sorted(x)[1:], strict=False))
     assert made.rows("j20_consecutive_pairs", "from_id", "line", "to_id", "next_id") == want
+
+
+def test_a1_graph_totals(made):
+    c = made.classes.values()
+    want = {"classes": len(c), "methods": len(made.methods), "edges": len(made.edges), "interfaces": sum(x["is_interface"] for x in c), "extends": sum(x["super_id"] is not None for x in c)}
+    assert made.rows("a1_graph_totals", "what", "n") == Counter(want.items())
