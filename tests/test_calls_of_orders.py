@@ -94,3 +94,7 @@ def test_a1_graph_totals(made):
     c = made.classes.values()
     want = {"classes": len(c), "methods": len(made.methods), "edges": len(made.edges), "interfaces": sum(x["is_interface"] for x in c), "extends": sum(x["super_id"] is not None for x in c)}
     assert made.rows("a1_graph_totals", "what", "n") == Counter(want.items())
+
+
+def test_a1_call_type_distribution(made):
+    assert made.rows("a1_call_type_distribution", "call_type", "n") == Counter(Counter(e.type for e in made.edges).items())
