@@ -98,3 +98,8 @@ def test_a1_graph_totals(made):
 
 def test_a1_call_type_distribution(made):
     assert made.rows("a1_call_type_distribution", "call_type", "n") == Counter(Counter(e.type for e in made.edges).items())
+
+
+def test_a7_degrees(made):
+    out, into = Counter(e.f for e in made.edges), Counter(e.t for e in made.edges)
+    assert made.rows("a7_degrees", "id", "out_degree", "in_degree") == Counter((m, out[m], into[m]) for m in out.keys() | into.keys())
