@@ -103,3 +103,8 @@ def test_a1_call_type_distribution(made):
 def test_a7_degrees(made):
     out, into = Counter(e.f for e in made.edges), Counter(e.t for e in made.edges)
     assert made.rows("a7_degrees", "id", "out_degree", "in_degree") == Counter((m, out[m], into[m]) for m in out.keys() | into.keys())
+
+
+def test_a9_caller_layers(made):
+    callers = {(e.tc["id"], e.fc["layer"], e.fc["name"], made.methods[e.f]["name"]) for e in made.calls}
+    assert made.rows("a9_caller_layers", "to_class", "from_layer", "n_callers") == Counter((*k, n) for k, n in Counter(x[:2] for x in callers).items())
