@@ -108,3 +108,8 @@ def test_a7_degrees(made):
 def test_a9_caller_layers(made):
     callers = {(e.tc["id"], e.fc["layer"], e.fc["name"], made.methods[e.f]["name"]) for e in made.calls}
     assert made.rows("a9_caller_layers", "to_class", "from_layer", "n_callers") == Counter((*k, n) for k, n in Counter(x[:2] for x in callers).items())
+
+
+def test_a10_distinct_neighbours(made):
+    ids, names = grouped((e.fc["id"], e.tc["id"]) for e in made.calls), grouped((e.fc["id"], e.tc["name"]) for e in made.calls)
+    assert made.rows("a10_distinct_neighbours", "from_class", "n", "names") == Counter((c, len(ids[c]), ",".join(sorted(names[c]))) for c in ids)
