@@ -113,3 +113,8 @@ def test_a9_caller_layers(made):
 def test_a10_distinct_neighbours(made):
     ids, names = grouped((e.fc["id"], e.tc["id"]) for e in made.calls), grouped((e.fc["id"], e.tc["name"]) for e in made.calls)
     assert made.rows("a10_distinct_neighbours", "from_class", "n", "names") == Counter((c, len(ids[c]), ",".join(sorted(names[c]))) for c in ids)
+
+
+def test_a11_first_neighbours(made):
+    layers, names = grouped((e.fc["id"], e.tc["layer"]) for e in made.calls), grouped((e.fc["id"], e.tc["name"]) for e in made.calls)
+    assert made.rows("a11_first_neighbours", "from_class", "layers", "names") == Counter((c, ",".join(sorted(layers[c])[:3]), ",".join(sorted(names[c])[:5])) for c in names)
