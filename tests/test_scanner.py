@@ -1,7 +1,9 @@
 """The source scanner on nested, commented and broken texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from callscope.plans.text_queries import source_files
 from callscope.sources import scanner
 
 TEXT = '''
@@ -144,3 +146,8 @@ def test_files(spark):
     assert got.where("path = 'a'").count() == 1 and got.where("path = 'b'").isEmpty()
     assert scanner.sites(got).where("path = 'c' AND method = 'work'").count() == 32
     assert scanner.scanned(files.limit(0)).isEmpty()
+
+
+def test_made_files_are_dealt_over_all_cores(spark, sf_dir):
+    files = source_files(spark, sf_dir).select(F.spark_partition_id().alias("task"))
+    assert files.distinct().count() >= spark.sparkContext.defaultParallelism
