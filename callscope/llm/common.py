@@ -68,6 +68,18 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def small_broadcasts(spark: SparkSession, most: int = 256 * 1024) -> Iterator[None]:
+    """Jobs inside broadcast no table of more bytes, though the session allow it: the driver builds several at once, each many times its compressed size."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, allowed = spark.conf.get(name), spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    spark.conf.set(name, str(min(allowed, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import encoded, materialize, mix64, parallelism, sliced, small_batches
+from callscope.llm.common import encoded, materialize, mix64, parallelism, sliced, small_batches, small_broadcasts
 
 SPLIT, BLOCK, BLOCK_BYTES = 24, 768, 2_000_000
 _words: dict[bytes, int] = {}
@@ -297,8 +297,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     return out.join(out.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component")
 
 
-def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hashes: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row."""
+def found_classes(docs: DataFrame, *, shingle_words: int, similarity: float, n_hashes: int, text: str, key: str) -> DataFrame:
     scheme = Scheme(similarity, n_hashes)
     signs = materialize(signed(docs, scheme, shingle_words, text, key), "dup-signs")
     reps = materialize(signs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "dup-classes")
@@ -328,7 +327,13 @@ def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hash
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def classes_of(docs: DataFrame, *, shingle_words: int, similarity: float, n_hashes: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row."""
+    with small_broadcasts(docs.sparkSession):  # written inside, as a plan takes the limit of when it runs
+        return materialize(found_classes(docs, shingle_words=shingle_words, similarity=similarity, n_hashes=n_hashes, text=text, key=key), "dup-found")
+
+
 def drop_near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents of which no smaller id is a near-duplicate, with all their columns."""
     gone = classes_of(docs, shingle_words=shingle_words, similarity=similarity, text=text, key=key).where("not kept").select(F.col("doc_id").alias("__dup_id")).distinct()
-    return docs.join(gone, docs[key] == gone["__dup_id"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[key] == gone["__dup_id"], "left_anti")  # ids that go grow with the input: never broadcast

@@ -84,6 +84,28 @@ def test_components(spark):
     assert got == want and links_without_loops
 
 
+def test_what_grows_with_the_input_is_not_broadcast(spark, docs, monkeypatch):
+    name, allowed, write = "spark.sql.autoBroadcastJoinThreshold", [], neardup.materialize
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold
+
+    def seen(df, label):
+        allowed.append(limit())
+        return write(df, label)
+
+    monkeypatch.setattr(neardup, "materialize", seen)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10m")
+    try:
+        out = neardup.drop_near_duplicates(docs)
+        assert limit() == 10 * 1024 * 1024
+        out.count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert len(allowed) > 5 and max(allowed) <= 256 * 1024
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.85])
 def test_pigeonhole_finds_all_signatures_within_the_distance(similarity):
     import numpy as np
